@@ -10,6 +10,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def cents(value: Column) -> Column:
+    """Whole cents, so that sums do not depend on the order of rows."""
+    return F.floor(value * 100 + 0.5)
+
+
+def mean_of_cents(value: Column) -> Column:
+    return F.sum(cents(value)) / F.count(F.lit(1)) / 100.0
+
+
 def unit_price() -> Column:
     return F.col("l_extendedprice") / F.col("l_quantity")
 
@@ -19,7 +28,7 @@ def flag_panel(spark: SparkSession, folder: str, unit: str = "week") -> DataFram
     return (table(spark, folder, "lineitem")
             .groupBy(F.concat("l_returnflag", "l_linestatus").alias("symbol"),
                      F.date_trunc(unit, "l_shipdate").cast("timestamp_ntz").alias("ts"))
-            .agg(F.round(F.avg(unit_price()), 4).alias("price")))
+            .agg(mean_of_cents(unit_price()).alias("price")))
 
 
 def brand_panel(spark: SparkSession, folder: str, unit: str = "week") -> DataFrame:
@@ -28,7 +37,7 @@ def brand_panel(spark: SparkSession, folder: str, unit: str = "week") -> DataFra
     return (table(spark, folder, "lineitem")
             .join(parts, F.col("l_partkey") == F.col("p_partkey"))
             .groupBy("symbol", F.date_trunc(unit, "l_shipdate").cast("timestamp_ntz").alias("ts"))
-            .agg(F.round(F.avg(unit_price()), 4).alias("price")))
+            .agg(mean_of_cents(unit_price()).alias("price")))
 
 
 def ohlc_panel(spark: SparkSession, folder: str, unit: str = "week") -> DataFrame:
@@ -47,8 +56,8 @@ def minute_events(spark: SparkSession, folder: str, unit: str = "hour") -> DataF
     return (table(spark, folder, "events")
             .groupBy(F.col("event_type").alias("symbol"),
                      F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("ts"))
-            .agg((F.round(F.avg("value"), 4) + 1.0).alias("price"),
-                 F.round(F.sum("value"), 4).alias("volume"),
+            .agg((mean_of_cents(F.col("value")) + 1.0).alias("price"),
+                 (F.sum(cents(F.col("value"))) / 100.0).alias("volume"),
                  F.count(F.lit(1)).cast("double").alias("trade_count")))
 
 
