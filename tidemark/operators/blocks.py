@@ -116,14 +116,7 @@ def full_frame(agg: Callable[[Column], Column], value: Column, n: int, window: W
     return F.when(F.count(value).over(frame) == n, agg(value).over(frame))
 
 
-def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column,
-                value: str, out: str) -> DataFrame:
-    """Inclusive running maximum."""
-    tagged = df.withColumn("_bucket", bucket)
-    inner = (Window.partitionBy(*keys, "_bucket").orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, 0))
-    tops = tagged.groupBy(*keys, "_bucket").agg(F.max(value).alias("_top"))
-    carry = tops.select(*keys, "_bucket", F.max("_top").over(_before(keys, "_bucket")).alias("_carry"))
-    return (tagged.join(carry, [*keys, "_bucket"])
-            .withColumn(out, F.greatest(F.max(value).over(inner), F.col("_carry")))
-            .drop("_bucket", "_carry"))
+
+def correlation(x: str, y: str, over: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Pearson correlation that is NULL, not an error, for a constant side."""
+    return F.try_divide(over(F.covar_pop(x, y)), over(F.stddev_pop(x)) * over(F.stddev_pop(y)))

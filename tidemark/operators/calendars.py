@@ -96,8 +96,8 @@ def rolling_folds(calendar: DataFrame, train: int, test: int, step: int, purge:
 def expanding_windows(span: DataFrame, windows: int = 5) -> DataFrame:
     """Cut one (first, last) range into equal test blocks; the last block takes the remainder."""
     size = F.floor((F.col("last") - F.col("first")) / windows)
-    k = F.col("window")
-    return (span.withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
+    k = F.col("block")
+    return (span.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
             .select(k, (F.col("first") + k * size).alias("test_start"),
                     F.when(k == windows - 1, F.col("last"))
                     .otherwise(F.col("first") + (k + 1) * size).alias("test_stop")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
-from .blocks import BLOCK_ROWS, carried_last, in_blocks
+from .blocks import BLOCK_ROWS, carried_last, correlation, in_blocks
 from .rolling import per_symbol
 
 
@@ -50,7 +50,7 @@ def rank_ic(scored: DataFrame, section: Sequence[str] = ("ts", "variant"), minim
     ranked = (both.withColumn("_rs", average_rank(section, "score", F.lit(True)))
               .withColumn("_rf", average_rank(section, "fwd", F.lit(True))))
     return ranked.groupBy(*section).agg(
-        F.when(F.count(F.lit(1)) >= minimum, F.corr("_rs", "_rf")).alias("ic"),
+        F.when(F.count(F.lit(1)) >= minimum, correlation("_rs", "_rf")).alias("ic"),
         F.count(F.lit(1)).alias("n"))
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_ROWS, full_frame, in_blocks, lag, running_max, running_sum, time_bucket
+from .blocks import BLOCK_ROWS, correlation, full_frame, in_blocks, lag, time_bucket
 
 TRADING_DAYS = 252
 YEAR_SECONDS = 365 * 86_400
@@ -95,8 +95,8 @@ def bar_features(bars: DataFrame, vol_rows: int = 30, vwap_rows: int = 20, trade
                 "mid_price_return": F.log(mid) - lag(F.log(mid), 1, w)}
 
     def second(w: WindowSpec) -> dict[str, Column]:
-        vwap = (full_frame(F.sum, F.col("price") * F.col("volume"), vwap_rows, w)
-                / full_frame(F.sum, F.col("volume"), vwap_rows, w))
+        vwap = F.try_divide(full_frame(F.sum, F.col("price") * F.col("volume"), vwap_rows, w),
+                            full_frame(F.sum, F.col("volume"), vwap_rows, w))
         bv, av = F.col("bid_volume"), F.col("ask_volume")
         return {"realized_vol": sd("log_return", vol_rows, w),
                 "orderbook_imbalance": (bv - av) / (bv + av + eps),
@@ -157,13 +157,16 @@ def extended_channels(panel: DataFrame, market: str) -> DataFrame:
     def compute(d: DataFrame, w: WindowSpec) -> DataFrame:
         d = d.withColumn("ret", change(w)).withColumn("vol", floored(sd("ret", 63, w)))
         both = w.rowsBetween(-62, 0)
-        pairs = F.count(F.when(F.col("ret").isNotNull() & F.col("market_ret").isNotNull(), 1)).over(both)
+        paired = F.col("ret").isNotNull() & F.col("market_ret").isNotNull()
+        d = d.withColumn("_own", F.when(paired, F.col("ret"))).withColumn("_market", F.when(paired, F.col("market_ret")))
+        corr = correlation("_own", "_market", lambda agg: agg.over(both))
         return d.withColumns({
             "skip_momentum": (lag("price", 21, w) / lag("price", 147, w) - 1) / F.col("vol") / math.sqrt(126),
             "vol_ratio": F.log(floored(sd("ret", 21, w)) / floored(sd("ret", 126, w))),
             "drawdown": (F.col("price") / full_frame(F.max, F.col("price"), 252, w) - 1)
             / F.col("vol") / math.sqrt(252),
-            "market_corr": F.when(pairs == 63, clip(F.corr("ret", "market_ret").over(both), 1))})
+            "market_corr": F.when(F.count("_own").over(both) == 63, clip(corr, 1))
+        }).drop("_own", "_market")
     return in_blocks(panel.join(index, "pos", "left"), ["symbol"], compute, 252)
 
 
@@ -206,28 +209,44 @@ def bar_momentum(panel: DataFrame, n: int = 20) -> DataFrame:
 def market_relative(panel: DataFrame, reference: DataFrame) -> DataFrame:
     """Log return minus the reference's log return on the symbol's own rows; gaps become 0.
 
-    ``reference`` rows are (symbol, ts, ref_log) already carried forward onto the symbol's rows.
+    ``reference`` rows are (ts, ref_price), already carried forward onto every timestamp of the panel.
     """
     def cols(w: WindowSpec) -> dict[str, Column]:
         own = F.log("price") - F.log(lag("price", 1, w))
-        ref = F.col("ref_log") - lag("ref_log", 1, w)
+        ref = F.log("ref_price") - F.log(lag("ref_price", 1, w))
         return {"market_relative_return": F.coalesce(own - ref, F.lit(0.0))}
-    return per_symbol(panel.join(reference, ["symbol", "ts"], "left"), cols, 1)
+    return per_symbol(panel.join(reference, "ts", "left"), cols, 1)
 
 
-def equity(returns_table: DataFrame, keys: Sequence[str] = ("scenario",), value: str = "net") -> DataFrame:
-    """Running product of 1 + r.  Returns at or below -1 are carried as sign and zero counts."""
-    g = 1 + F.col(value)
-    bucket = time_bucket("ts", YEAR_SECONDS)
-    out = running_sum(returns_table, keys, ["ts"], bucket, {
-        "_log": F.when(g != 0, F.log(F.abs(g))), "_neg": F.when(g < 0, 1.0), "_zero": F.when(g == 0, 1.0)})
-    value_col = F.when(F.col("_zero") > 0, 0.0).otherwise(
-        F.exp("_log") * F.when(F.col("_neg") % 2 == 1, -1.0).otherwise(1.0))
-    return out.withColumn("equity", value_col).drop("_log", "_neg", "_zero")
+def equity(returns_table: DataFrame, keys: Sequence[str] = ("scenario",), value: str = "net",
+           seconds: int = YEAR_SECONDS) -> DataFrame:
+    """Compounded equity from 1.0, its running peak, and the two drawdowns.
 
-
-def drawdown_path(curve: DataFrame, keys: Sequence[str] = ("scenario",), start_peak: bool = True) -> DataFrame:
-    """Distance from the running peak; ``start_peak`` counts the starting equity 1.0 as a peak."""
-    peaked = running_max(curve, keys, ["ts"], time_bucket("ts", YEAR_SECONDS), "equity", "peak")
-    peak = F.greatest(F.col("peak"), F.lit(1.0)) if start_peak else F.col("peak")
-    return peaked.withColumn("drawdown", F.col("equity") / peak - 1).drop("peak")
+    ``drawdown`` counts the starting equity 1.0 as a peak, ``path_drawdown`` does not.  Time is cut into
+    buckets: a bucket's own curve starts at 1, and its growth, high and low carry to the later ones.
+    """
+    keys = list(keys)
+    inner = Window.partitionBy(*keys, "_bucket").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    own = (returns_table.withColumn("_bucket", time_bucket("ts", seconds))
+           .withColumn("_rel", _product(1 + F.col(value), inner))
+           .withColumn("_high", F.max("_rel").over(inner)).withColumn("_low", F.min("_rel").over(inner)))
+    ends = own.groupBy(*keys, "_bucket").agg(F.product(1 + F.col(value)).alias("_growth"),
+                                             F.max("_rel").alias("_top"), F.min("_rel").alias("_bottom"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.withColumn("_start", F.coalesce(_product(F.col("_growth"), earlier), F.lit(1.0)))
+    starts = starts.withColumn("_peak0", F.max(F.when(F.col("_start") >= 0, F.col("_start") * F.col("_top"))
+                                               .otherwise(F.col("_start") * F.col("_bottom"))).over(earlier))
+    out = own.join(starts.select(*keys, "_bucket", "_start", "_peak0"), [*keys, "_bucket"])
+    high = F.when(F.col("_start") >= 0, F.col("_start") * F.col("_high")).otherwise(F.col("_start") * F.col("_low"))
+    out = out.withColumn("equity", F.col("_start") * F.col("_rel")).withColumn("peak", F.greatest(high, F.col("_peak0")))
+    return (out.withColumn("drawdown", F.col("equity") / F.greatest(F.col("peak"), F.lit(1.0)) - 1)
+            .withColumn("path_drawdown", F.col("equity") / F.col("peak") - 1)
+            .drop("_bucket", "_rel", "_high", "_low", "_start", "_peak0"))
+
+
+def _product(x: Column, frame: WindowSpec) -> Column:
+    """Running product by logarithms, with zeros and signs counted apart."""
+    size = F.exp(F.sum(F.when(x != 0, F.log(F.abs(x)))).over(frame))
+    negatives = F.count_if(x < 0).over(frame)
+    return F.when(F.count_if(x == 0).over(frame) > 0, 0.0).otherwise(
+        F.coalesce(size, F.lit(1.0)) * F.when(negatives % 2 == 1, -1.0).otherwise(1.0))

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REGISTRY, Query
 
-_MODULES = ("features", "alignment", "crosssection", "tables", "statistics", "resampling",
+_MODULES = ("features", "alignment", "crosssection", "tablechecks", "statistics", "resampling",
             "accounting", "events", "learning", "streams")
 
 

@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import headline_score
-from ..operators import blocks, calendars, ranking, rolling
+from ..operators import blocks, ranking, rolling
 from ..sources import tables
 from . import ctes as c
+from . import panels
 from .registry import query
 
 W = c.W
 
 
-def _aligned(spark, folder, unit="day"):
-    return calendars.on_common_calendar(tables.flag_panel(spark, folder, unit))
-
-
-def _bars(spark, folder):
-    return blocks.numbered(rolling.quote_from_bar(tables.minute_events(spark, folder)), ["symbol"])
+_aligned = panels.aligned
+_bars = panels.quoted_bars
 
 
 @query("returns_simple_log", "W1 W2 J2", "symbol:s ts:t ret:d log_ret:d", f"""
@@ -174,15 +171,7 @@ def bar_momentum_scores(spark, folder):
     return rolling.bar_momentum(_bars(spark, folder), 20)
 
 
-def _net(spark, folder):
-    """Weekly returns of each symbol, as scenario series."""
-    p = calendars.on_common_calendar(tables.flag_panel(spark, folder, "week"))
-    return (rolling.returns(p).where(F.col("ret").isNotNull())
-            .select(F.col("symbol").alias("scenario"), "ts", "pos", F.col("ret").alias("net")))
-
-
-NET = (f"{c.flag('week')}, {c.aligned()}, net AS (SELECT * FROM (SELECT symbol AS scenario, ts, pos, "
-       f"price / lag(price) OVER {W} - 1 AS net FROM p) WHERE net IS NOT NULL)")
+NET = panels.NET
 EQ = "(PARTITION BY scenario ORDER BY ts)"
 
 
@@ -191,9 +180,8 @@ WITH {NET}, e AS (SELECT *, exp(sum(ln(1 + net)) OVER {EQ}) AS equity FROM net)
 SELECT scenario, ts, equity, equity / greatest(1.0, max(equity) OVER {EQ}) - 1 AS dd_start,
  equity / max(equity) OVER {EQ} - 1 AS dd_path FROM e""")
 def equity_and_drawdown(spark, folder):
-    e = rolling.equity(_net(spark, folder))
-    a = rolling.drawdown_path(e).withColumnRenamed("drawdown", "dd_start")
-    return rolling.drawdown_path(a, start_peak=False).withColumnRenamed("drawdown", "dd_path")
+    e = rolling.equity(panels.net_weekly(spark, folder))
+    return e.withColumnsRenamed({"drawdown": "dd_start", "path_drawdown": "dd_path"})
 
 
 @query("headline_sentiment", "P18", "doc_id:i score:d", f"""

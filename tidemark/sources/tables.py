@@ -2,9 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def kept(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """Persist a derived panel once per session: the two-level windows read it more than once.
+
+    Spilled to disk when it does not fit; a lost executor's part is rebuilt from the tables.
+    """
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _KEPT:
+        _KEPT[full] = build().persist(StorageLevel.MEMORY_AND_DISK)
+    return _KEPT[full]
+
+
+def release() -> None:
+    """Drop every panel kept by :func:`kept`."""
+    for df in _KEPT.values():
+        df.unpersist()
+    _KEPT.clear()
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
