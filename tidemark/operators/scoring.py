@@ -39,21 +39,22 @@ def diagnostics(per_bar: DataFrame) -> DataFrame:
     """Per variant: rank-IC level and stability over folds, spread, gross-1 equity, turnover, break-even.
 
     ``per_bar`` is (fold, variant, ts, ic, spread, turnover).  Equity compounds half the spread, which is
-    the return of a book with gross exposure 1.
+    the return of a book with gross exposure 1.  Fold means that cancel to rounding noise are not positive.
     """
     gross1 = per_bar.where(F.col("spread").isNotNull()).select(
         F.col("variant").alias("scenario"), "ts", (F.col("spread") / 2).alias("net"))
     curve = equity(gross1).groupBy("scenario").agg(
-        (F.max_by("equity", "ts") - 1).alias("compounded_gross1"),
+        F.max_by("equity", "ts").alias("final_equity"),
         F.least(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown_gross1"))
     flat = per_bar.groupBy("variant").agg(
         F.avg("ic").alias("mean_ic"), F.count("ic").alias("n_ic"), F.avg("spread").alias("mean_spread"),
         F.avg("turnover").alias("mean_turnover"))
     folds = (per_bar.where(F.col("ic").isNotNull()).groupBy("variant", "fold").agg(F.avg("ic").alias("_m"))
              .groupBy("variant").agg(F.stddev_pop("_m").alias("ic_sd_folds"),
-                                     F.avg((F.col("_m") > 0).cast("double")).alias("share_folds_positive"),
+                                     F.avg((F.col("_m") > 1e-12).cast("double")).alias("share_folds_positive"),
                                      F.count(F.lit(1)).alias("folds")))
     out = (flat.join(folds, "variant", "left")
            .join(curve.withColumnRenamed("scenario", "variant"), "variant", "left"))
+    out = out.withColumn("compounded_gross1", F.col("final_equity") - 1)
     return out.withColumn("breakeven_cost", F.when(
         F.col("mean_turnover") != 0, F.col("mean_spread") / 2 / F.col("mean_turnover")))

@@ -107,16 +107,17 @@ def per_bar(spark, folder):
 
 
 @query("signal_diagnostics", "A21 A11 A2", "variant:s mean_ic:d n_ic:i mean_spread:d mean_turnover:d ic_sd_folds:d share_folds_positive:d "
-       "folds:i compounded_gross1:d max_drawdown_gross1:d breakeven_cost:d", f"""
+       "folds:i log_growth_gross1:d max_drawdown_gross1:d breakeven_cost:d", f"""
 WITH {PER_BAR_SQL}, e AS (SELECT variant, ts, exp(sum(ln(abs(1 + spread / 2))) OVER v) * CASE WHEN sum(CASE WHEN spread < -2 THEN 1 ELSE 0 END) OVER v % 2 = 1 THEN -1 ELSE 1 END AS eq FROM pb WHERE spread IS NOT NULL WINDOW v AS (PARTITION BY variant ORDER BY ts)),
 dd AS (SELECT variant, ts, eq, eq / greatest(1, max(eq) OVER (PARTITION BY variant ORDER BY ts)) - 1 AS d FROM e),
-cv AS (SELECT variant, arg_max(eq, ts) - 1 AS compounded_gross1, least(min(d), 0) AS max_drawdown_gross1 FROM dd GROUP BY 1),
-fo AS (SELECT variant, stddev_pop(m) AS ic_sd_folds, avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) AS share_folds_positive, count(*) AS folds
+cv AS (SELECT variant, ln(arg_max(eq, ts)) AS log_growth_gross1, least(min(d), 0) AS max_drawdown_gross1 FROM dd GROUP BY 1),
+fo AS (SELECT variant, stddev_pop(m) AS ic_sd_folds, avg(CASE WHEN m > 1e-12 THEN 1.0 ELSE 0.0 END) AS share_folds_positive, count(*) AS folds
  FROM (SELECT variant, fold, avg(ic) AS m FROM pb WHERE ic IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
 fl AS (SELECT variant, avg(ic) AS mean_ic, count(ic) AS n_ic, avg(spread) AS mean_spread, avg(turnover) AS mean_turnover FROM pb GROUP BY 1)
 SELECT *, mean_spread / 2 / mean_turnover AS breakeven_cost FROM fl JOIN fo USING (variant) JOIN cv USING (variant)""")
 def signal_diagnostics(spark, folder):
-    return scoring.diagnostics(per_bar(spark, folder))
+    d = scoring.diagnostics(per_bar(spark, folder))
+    return d.withColumn("log_growth_gross1", F.log("final_equity"))
 
 
 HYST_SQL = f"""{panels.FORECASTS}, ed AS (SELECT symbol, ts, pos, mu / (sigma * sigma + 1e-6) AS edge FROM fc),

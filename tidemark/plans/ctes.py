@@ -31,7 +31,7 @@ def ohlc(unit: str = "week", name: str = "ohlc") -> str:
 
 def bars(unit: str = "hour", name: str = "bars") -> str:
     ts = TS.format(unit=unit, col="ts")
-    return (f"{name} AS (SELECT event_type AS symbol, {ts} AS ts, sum(floor(value * 100 + 0.5)) / count(*) / 100.0 + 1.0 AS price, "
+    return (f"{name} AS (SELECT event_type AS symbol, {ts} AS ts, sum(floor(value * 100 + 0.5)) / count(*) / 100.0 + 100.0 AS price, "
             f"sum(floor(value * 100 + 0.5)) / 100.0 AS volume, CAST(count(*) AS DOUBLE) AS trade_count FROM events GROUP BY 1, 2)")
 
 

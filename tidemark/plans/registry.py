@@ -40,8 +40,9 @@ class Query:
 def _spark_cell(name: str, kind: str) -> Column:
     c = F.col(name)
     if kind == "d":
-        r = F.round(c.cast("double"), 6)
-        return F.when(F.isnan(r), None).when(r == 0, F.lit(0.0)).otherwise(r).alias(name)
+        x = c.cast("double")
+        r = F.floor(x * 1e6 + 0.5) / 1e6
+        return F.when(F.isnan(x), None).when(F.abs(x) >= 1e9, x).when(r == 0, F.lit(0.0)).otherwise(r).alias(name)
     if kind in "ib":
         return c.cast("long").alias(name)
     if kind == "t":
@@ -51,8 +52,10 @@ def _spark_cell(name: str, kind: str) -> Column:
 
 def _sql_cell(name: str, kind: str) -> str:
     if kind == "d":
-        r = f"round(CAST({name} AS DOUBLE), 6)"
-        return f"CASE WHEN isnan({r}) THEN NULL WHEN {r} = 0 THEN 0.0::DOUBLE ELSE {r} END AS {name}"
+        x = f"CAST({name} AS DOUBLE)"
+        r = f"floor({x} * 1e6 + 0.5) / 1e6"
+        return (f"CASE WHEN isnan({x}) THEN NULL WHEN abs({x}) >= 1e9 THEN {x} WHEN {r} = 0 THEN 0.0::DOUBLE "
+                f"ELSE {r} END AS {name}")
     if kind in "ib":
         return f"CAST({name} AS BIGINT) AS {name}"
     if kind == "t":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,14 +23,27 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder the cluster names in ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        local = spark.sparkContext.master.startswith("local")
-        if configured is None and not local:
+_BASES: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under ``spark.checkpoint.dir``; a local one only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        spark.sparkContext.setCheckpointDir(
-            configured or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return df.checkpoint()
+        app = spark.sparkContext.applicationId
+        if app not in _BASES:
+            _BASES[app] = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        base = _BASES[app]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a result to the shared folder and read it back.
+
+    Cuts the lineage: later steps read only the columns they need, and a lost executor costs no rerun.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,17 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.calendars import common_calendar
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a local one only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    stamp = spark.range(1).select(F.expr("uuid()")).first()[0]
-    return f"{base.rstrip('/')}/{name}-{stamp}"
+from ..session import scratch
 
 
 def build_or_load(spark: SparkSession, path: str, build, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -108,3 +96,7 @@ def bar_tradeable() -> Column:
     """Label view, stricter: open and close also lie inside [low, high]."""
     return F.coalesce(bar_usable() & (F.col("low") <= F.least("open", "close"))
                       & (F.greatest("open", "close") <= F.col("high")), F.lit(False))
+
+
+__all__ = ["scratch", "build_or_load", "load_panel", "row_digest", "fingerprint", "table_fingerprint",
+           "manifest", "panel_faults", "require_sound", "bar_usable", "bar_tradeable"]

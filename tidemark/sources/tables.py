@@ -4,31 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 _KEPT: dict[tuple, DataFrame] = {}
 
 
 def kept(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """Persist a derived panel once per session: the two-level windows read it more than once.
-
-    Spilled to disk when it does not fit; a lost executor's part is rebuilt from the tables.
-    """
+    """Store a derived panel once per session: the two-level windows read it more than once."""
     full = (spark.sparkContext.applicationId, *key)
     if full not in _KEPT:
-        _KEPT[full] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        _KEPT[full] = stored(build(), str(key[0]))
     return _KEPT[full]
 
 
-def release() -> None:
-    """Drop every panel kept by :func:`kept`."""
-    for df in _KEPT.values():
-        df.unpersist()
-    _KEPT.clear()
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -79,7 +70,7 @@ def minute_events(spark: SparkSession, folder: str, unit: str = "hour") -> DataF
     return (table(spark, folder, "events")
             .groupBy(F.col("event_type").alias("symbol"),
                      F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("ts"))
-            .agg((mean_of_cents(F.col("value")) + 1.0).alias("price"),
+            .agg((mean_of_cents(F.col("value")) + 100.0).alias("price"),
                  (F.sum(cents(F.col("value"))) / 100.0).alias("volume"),
                  F.count(F.lit(1)).cast("double").alias("trade_count")))
 
