@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .blocks import running_sum
 from .rolling import per_symbol
 
@@ -40,13 +41,13 @@ def segments(decisions: DataFrame, last_pos: Column) -> DataFrame:
 
 def segment_rows(panel: DataFrame, segs: DataFrame) -> DataFrame:
     """Panel rows per segment with growth since the fill: before (g0) and after (g1) the row's return."""
-    spread = segs.select("schedule", "seg", "fill", "stop", F.explode(F.sequence("fill", "stop")).alias("pos"))
+    spread = segs.select("schedule", "seg", "next_seg", "fill", "stop", F.explode(F.sequence("fill", "stop")).alias("pos"))
     rows = levels(panel).select("symbol", "pos", "ret", "level").join(spread, "pos")
     start = rows.where(F.col("pos") == F.col("fill")).select("schedule", "seg", "symbol", F.col("level").alias("_l0"))
     return (rows.where(F.col("pos") > F.col("fill")).join(start, ["schedule", "seg", "symbol"])
             .withColumn("g1", F.exp(F.col("level") - F.col("_l0")))
             .withColumn("g0", F.exp(F.col("level") - F.log1p("ret") - F.col("_l0")))
-            .select("schedule", "seg", "symbol", "pos", "stop", "ret", "g0", "g1"))
+            .select("schedule", "seg", "next_seg", "symbol", "pos", "stop", "ret", "g0", "g1"))
 
 
 def _value_path(days: Column, borrow_rate: Column) -> Column:
@@ -76,47 +77,46 @@ def lagged_returns(panel: DataFrame, cash: DataFrame, targets: DataFrame, costs:
     """
     keys = list(keys)
     bk = [*keys, "cost_mult", "borrow_bp"]
-    last = panel.select(F.max("pos")).scalar()
-    segs = segments(targets, last)
-    rows = segment_rows(panel, segs)
+    segs = stored(segments(targets, panel.select(F.max("pos")).scalar()), "segments")
+    rows = stored(segment_rows(panel, segs), "segment-rows")
+    wanted = (targets.withColumnRenamed("decision_pos", "seg")
+              .join(segs.select("schedule", "seg", "is_first"), ["schedule", "seg"]))
     w = F.col("weight")
-    held = targets.withColumnRenamed("decision_pos", "seg").join(rows, ["schedule", "seg", "symbol"])
-    daily = held.groupBy(*keys, "schedule", "seg", "pos").agg(
-        F.sum(w * F.col("g0") * F.col("ret")).alias("pnl"), F.sum(F.abs(w) * F.col("g0")).alias("gross0"),
-        F.sum(F.when(w < 0, -w * F.col("g0")).otherwise(0.0)).alias("short0"), F.sum(F.abs(w) * F.col("g1")).alias("gross1"))
-    packed = (daily.join(cash.select("pos", "cash"), "pos").groupBy(*keys, "schedule", "seg")
+    daily = (wanted.join(rows, ["schedule", "seg", "symbol"])
+             .groupBy(*keys, "schedule", "seg", "next_seg", "stop", "pos").agg(
+                 F.sum(w * F.col("g0") * F.col("ret")).alias("pnl"), F.sum(F.abs(w) * F.col("g0")).alias("gross0"),
+                 F.sum(F.when(w < 0, -w * F.col("g0")).otherwise(0.0)).alias("short0"),
+                 F.sum(F.abs(w) * F.col("g1")).alias("gross1")))
+    packed = (daily.join(cash.select("pos", "cash"), "pos").groupBy(*keys, "schedule", "seg", "next_seg", "stop")
               .agg(F.sort_array(F.collect_list(F.struct("pos", "pnl", "gross0", "short0", "gross1", "cash"))).alias("days")))
     grid = costs.select(F.collect_list(F.struct("cost_mult", "borrow_bp"))).scalar()
     path = (packed.withColumn("_c", F.explode(grid)).select("*", "_c.*")
             .withColumn("_r", F.explode(_value_path(F.col("days"), F.col("borrow_bp") / 10_000 / 252 * F.col("cost_mult"))))
-            .select(*bk, "schedule", "seg", "_r.*"))
-    ends = path.groupBy(*bk, "schedule", "seg").agg(F.max_by("after", "pos").alias("_end"))
-    links = segs.where(F.col("next_seg").isNotNull()).select("schedule", "seg", F.col("next_seg").alias("_next"), F.col("stop").alias("pos"))
-    drifted = (held.select(*keys, "schedule", "seg", "symbol", "pos", (w * F.col("g1")).alias("_h"))
-               .join(links, ["schedule", "seg", "pos"])
-               .select(*keys, "schedule", F.col("seg").alias("_from"), F.col("_next").alias("seg"), "symbol", "_h"))
-    fills = segs.select("schedule", "seg", "fill", "is_first")
-    wanted = targets.withColumnRenamed("decision_pos", "seg").join(fills.select("schedule", "seg"), ["schedule", "seg"], "left_semi")
-    moves = wanted.join(drifted, [*keys, "schedule", "seg", "symbol"], "full").drop("_from")
-    prior = ends.join(links.drop("pos"), ["schedule", "seg"]).drop("seg").withColumnRenamed("_next", "seg")
-    first = (wanted.join(fills.where("is_first").select("schedule", "seg"), ["schedule", "seg"], "left_semi")
-             .select(*keys, "schedule", "seg").distinct().withColumn("_c", F.explode(grid))
-             .select(*keys, "_c.*", "schedule", "seg", F.lit(1.0).alias("_end")))
-    known = prior.select(*bk, "schedule", "seg", "_end").unionByName(first)
-    bp = F.coalesce(F.col("bp"), F.lit(default_bp)) if cost_bp is not None else F.lit(default_bp)
+            .select(*bk, "schedule", "next_seg", "stop", "_r.*"))
+    path = stored(path, "value-path")
+    # yesterday's book at each fill: holdings grown over the finished segment, per unit of its closing value
+    closing = rows.where((F.col("pos") == F.col("stop")) & F.col("next_seg").isNotNull())
+    drifted = (wanted.join(closing.select("schedule", "seg", "symbol", "next_seg", "g1"), ["schedule", "seg", "symbol"])
+               .select(*keys, "schedule", F.col("next_seg").alias("seg"), "symbol", (w * F.col("g1")).alias("_h")))
+    worth = (path.where((F.col("pos") == F.col("stop")) & F.col("next_seg").isNotNull())
+             .select(*bk, "schedule", F.col("next_seg").alias("seg"), F.col("after").alias("_end"), F.lit(False).alias("is_first")))
+    opening = (wanted.where("is_first").select(*keys, "schedule", "seg").distinct().withColumn("_c", F.explode(grid))
+               .select(*keys, "_c.*", "schedule", "seg", F.lit(1.0).alias("_end"), F.lit(True).alias("is_first")))
+    moves = wanted.drop("is_first").join(drifted, [*keys, "schedule", "seg", "symbol"], "full")
+    bp = F.lit(default_bp)
     if cost_bp is not None:
-        moves = moves.join(cost_bp, "symbol", "left")
+        moves, bp = moves.join(cost_bp, "symbol", "left"), F.coalesce(F.col("bp"), F.lit(default_bp))
     delta = F.coalesce("weight", F.lit(0.0)) - F.coalesce("_h", F.lit(0.0)) / F.col("_end")
-    trades = (moves.join(known, [*keys, "schedule", "seg"]).groupBy(*bk, "schedule", "seg")
+    trades = (moves.join(worth.unionByName(opening), [*keys, "schedule", "seg"]).groupBy(*bk, "seg", "is_first")
               .agg((F.sum(F.abs(delta) * bp) / 10_000 * F.max("cost_mult")).alias("trade_cost"),
                    F.sum(F.abs(delta)).alias("turnover"))
-              .join(fills, ["schedule", "seg"]).withColumnRenamed("fill", "pos"))
+              .withColumn("pos", F.col("seg") + 1).drop("seg"))
+    zero = F.lit(0.0)
     body = path.select(*bk, "pos", (F.col("pnl") / F.col("before")).alias("gross_pnl"),
                        (F.col("income") / F.col("before")).alias("cash_pnl"),
                        (F.col("borrow") / F.col("before")).alias("borrow_cost"),
                        (F.col("after") / F.col("before")).alias("growth"),
                        (F.col("gross1") / F.when(F.col("after") > 0, F.col("after"))).alias("gross_exposure"), "before")
-    zero = F.lit(0.0)
     head = (trades.where("is_first").join(cash.select("pos", "cash"), "pos")
             .select(*bk, "pos", zero.alias("gross_pnl"), F.col("cash").alias("cash_pnl"), zero.alias("borrow_cost"),
                     (1 + F.col("cash")).alias("growth"), zero.alias("gross_exposure"), F.lit(1.0).alias("before")))
@@ -173,7 +173,7 @@ def self_financing(panel: DataFrame, cash: DataFrame, targets: DataFrame, cost_b
     cash_level = running_sum(cash.select("pos", "cash"), [], ["pos"], F.floor(F.col("pos") / 4096),
                              {"cash_level": F.log1p("cash")})
     segs = segments(targets, panel.select(F.max("pos")).scalar())
-    rows = segment_rows(panel, segs)
+    rows = stored(segment_rows(panel, segs), "segment-rows")
     held = targets.withColumnRenamed("decision_pos", "seg").join(rows, ["schedule", "seg", "symbol"])
     w = F.col("weight")
     sums = held.groupBy(*keys, "schedule", "seg", "pos").agg(
@@ -185,6 +185,7 @@ def self_financing(panel: DataFrame, cash: DataFrame, targets: DataFrame, cost_b
              .join(cash_level, "pos").join(ok.withColumnRenamed("decision_pos", "seg"), [*keys, "schedule", "seg"])
              .withColumn("_v0", F.col("_h0") + rest * F.exp(since - F.log1p("cash")))
              .withColumn("_v1", F.col("_h1") + rest * F.exp(since)))
+    value = stored(value, "value")
     quiet = value.where((F.col("pos") < F.col("stop")) | F.col("next_seg").isNull()).select(
         *keys, "pos", (F.col("_v1") / F.col("_v0")).alias("growth"), (F.col("_h1") / F.col("_v1")).alias("gross"))
     before = (targets.join(segs.where("is_first").select("schedule", F.col("fill").alias("_first")), "schedule")

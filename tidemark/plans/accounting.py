@@ -210,12 +210,12 @@ def screening(spark, folder, unit="week", n_boot=N_BOOT, seed=SEED, keys=()):
     bench = one.where(matched).select("ts", F.log1p("net").alias("_b"))
     logs = one.where(~matched).join(bench, "ts").withColumn("log_excess", F.log1p("net") - F.col("_b"))
     years = statistics.year_driver_ok(statistics.full_years(logs))
-    facts = (boot.join(base, "scenario").join(stress, "scenario").join(years, "scenario", "left")
-             .join(statistics.monthly_sharpe(ex1), "scenario"))
-    abc = tables.stored(statistics.screening_gates(facts), "gates").drop("passed_abc")
-    loo = leave_one_out(spark, signals(spark, folder, unit), r, cash, abc.where("gate_a AND gate_b AND gate_c").select("scenario"))
+    facts = (boot.join(base, "scenario").join(stress, "scenario").join(statistics.monthly_sharpe(ex1), "scenario"))
+    early = tables.stored(statistics.screening_gates(facts), "gates")
+    loo = leave_one_out(spark, signals(spark, folder, unit), r, cash, early.where("passed_abc").select("scenario"))
     loo_ok = loo.groupBy("scenario").agg(F.bool_and(F.col("excess") > 0).alias("loo_ok"))
-    gates = statistics.screening_gates(abc.drop("gate_a", "gate_b", "gate_c", "gate_d", "passed_all").join(loo_ok, "scenario", "left"), )
+    gates = statistics.screening_gates(early.select(*facts.columns)
+                                       .join(years, "scenario", "left").join(loo_ok, "scenario", "left"))
     return gates.withColumnRenamed("scenario", "variant")
 
 

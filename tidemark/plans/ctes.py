@@ -23,9 +23,9 @@ def brand(unit: str = "week", name: str = "panel") -> str:
 def ohlc(unit: str = "week", name: str = "ohlc") -> str:
     ts = TS.format(unit=unit, col="l_shipdate")
     o = "ROW(l_shipdate, l_orderkey, l_linenumber)"
-    p = "l_extendedprice / l_quantity"
-    return (f"{name} AS (SELECT {KEY} AS symbol, {ts} AS ts, round(arg_min({p}, {o}), 4) AS open, "
-            f"round(max({p}), 4) AS high, round(min({p}), 4) AS low, round(arg_max({p}, {o}), 4) AS close "
+    p = "floor(l_extendedprice / l_quantity * 100 + 0.5) / 100.0"
+    return (f"{name} AS (SELECT {KEY} AS symbol, {ts} AS ts, arg_min({p}, {o}) AS open, "
+            f"max({p}) AS high, min({p}) AS low, arg_max({p}, {o}) AS close "
             f"FROM lineitem GROUP BY 1, 2)")
 
 

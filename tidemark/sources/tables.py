@@ -57,12 +57,12 @@ def brand_panel(spark: SparkSession, folder: str, unit: str = "week") -> DataFra
 def ohlc_panel(spark: SparkSession, folder: str, unit: str = "week") -> DataFrame:
     """(symbol, ts, open, high, low, close) of the unit price by return-flag/line-status pair."""
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
-    p = unit_price()
+    p = cents(unit_price()) / 100.0
     return (table(spark, folder, "lineitem")
             .groupBy(F.concat("l_returnflag", "l_linestatus").alias("symbol"),
                      F.date_trunc(unit, "l_shipdate").cast("timestamp_ntz").alias("ts"))
-            .agg(F.round(F.min_by(p, order), 4).alias("open"), F.round(F.max(p), 4).alias("high"),
-                 F.round(F.min(p), 4).alias("low"), F.round(F.max_by(p, order), 4).alias("close")))
+            .agg(F.min_by(p, order).alias("open"), F.max(p).alias("high"),
+                 F.min(p).alias("low"), F.max_by(p, order).alias("close")))
 
 
 def minute_events(spark: SparkSession, folder: str, unit: str = "hour") -> DataFrame:
