@@ -55,8 +55,8 @@ def training_rows(samples: DataFrame, windows: DataFrame, delay: int = 2) -> Dat
     over its own windows without a join.
     """
     held = windows.select(F.sort_array(F.collect_list(F.struct("test_start", "block")))).scalar()
-    spread = samples.where(F.col("y").isNotNull()).withColumn("_w", F.explode(F.filter(
-        held, lambda x: F.col("pos") <= x["test_start"] - delay)))
+    spread = samples.where(F.col("y").isNotNull()).withColumn("_held", held).withColumn("_w", F.explode(F.filter(
+        "_held", lambda x: F.col("pos") <= x["test_start"] - delay))).drop("_held")
     return spread.withColumn("block", F.col("_w.block")).drop("_w")
 
 
@@ -143,8 +143,9 @@ def ridge_weights(moments: DataFrame, penalty_per_feature: float = 1.0) -> DataF
 def owned(samples: DataFrame, windows: DataFrame) -> DataFrame:
     """Each sample with the one window whose test range holds it."""
     held = windows.select(F.sort_array(F.collect_list(F.struct("test_start", "test_stop", "block")))).scalar()
-    mine = F.filter(held, lambda x: (F.col("pos") >= x["test_start"]) & (F.col("pos") < x["test_stop"]))
-    return samples.withColumn("block", F.try_element_at(mine, F.lit(1))["block"]).where(F.col("block").isNotNull())
+    mine = F.filter("_held", lambda x: (F.col("pos") >= x["test_start"]) & (F.col("pos") < x["test_stop"]))
+    return (samples.withColumn("_held", held).withColumn("block", F.try_element_at(mine, F.lit(1))["block"])
+            .drop("_held").where(F.col("block").isNotNull()))
 
 
 def ridge_forecasts(samples: DataFrame, windows: DataFrame, delay: int = 2, subset: Sequence[int] | None = None) -> DataFrame:

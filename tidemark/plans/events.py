@@ -19,7 +19,7 @@ def bars(spark, folder):
     """Daily open/high/low/close with a lifted trend and a few broken bars."""
     def build():
         b = blocks.numbered(tables.ohlc_panel(spark, folder, "day"), ["symbol"])
-        lift = F.exp(F.col("pos") * 0.002)
+        lift = F.exp(F.col("pos") * 0.001)
         out = b
         for x in ("open", "high", "low", "close"):
             out = out.withColumn(x, (100 + F.col(x) / 1000) * lift)
