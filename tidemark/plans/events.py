@@ -238,7 +238,7 @@ def spread_cost_returns(spark, folder):
 OVERLAY = dict(max_step=0.3, max_sigma=0.35, loss_limit=-0.25, lookback=20, cooldown=10, threshold=0.05, slippage_bp=1.0)
 
 
-@query("risk_overlay", "B5 T6", "symbol:s ts:t position:d realized_return:d", f"""
+RISK_SQL = f"""
 WITH RECURSIVE {POS_SQL}, x AS MATERIALIZED (SELECT *, row_number() OVER {W} AS i, (bid + ask) / 2 AS mid FROM ps),
 z AS (SELECT symbol, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, 0.0::DOUBLE AS position, NULL::DOUBLE AS mid, []::DOUBLE[] AS rc, 0 AS rest, 0.0::DOUBLE AS realized_return FROM (SELECT DISTINCT symbol FROM x)
  UNION ALL SELECT symbol, i, ts, np, mid, CASE WHEN trig THEN []::DOUBLE[] ELSE rc2 END, CASE WHEN trig THEN 10 ELSE r1 END, er FROM (
@@ -246,7 +246,10 @@ z AS (SELECT symbol, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, 0.0::DOUBLE AS posit
   SELECT *, CASE WHEN pm IS NULL THEN 0 ELSE position * (mid - pm) / pm END - abs(np - position) * ((ask - bid) / 2 / mid + 1 / 1e4) AS er FROM (
   SELECT *, greatest(rest - 1, 0) AS r1, CASE WHEN rest > 0 THEN 0.0 WHEN abs(tg - position) < 0.05 THEN position ELSE position + greatest(-0.3, least(0.3, tg - position)) END AS np FROM (
   SELECT x.symbol, x.i, x.ts, x.bid, x.ask, x.mid, z.position, z.mid AS pm, z.rc, z.rest, CASE WHEN x.sigma > 0.35 THEN 0.0 ELSE x.target END AS tg FROM z JOIN x ON x.symbol = z.symbol AND x.i = z.i + 1))))))
-SELECT symbol, ts, position, realized_return FROM z WHERE i > 0""")
+SELECT symbol, ts, position, realized_return FROM z WHERE i > 0"""
+
+
+@query("risk_overlay", "B5", "symbol:s ts:t position:d realized_return:d", RISK_SQL)
 def risk_overlay(spark, folder):
     return accounting.risk_overlay(positioned(spark, folder), **OVERLAY)
 
