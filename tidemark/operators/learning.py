@@ -12,6 +12,7 @@ from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .blocks import in_blocks, numbered
 
 STEPS = 20
@@ -178,7 +179,8 @@ def tree_forecasts(samples: DataFrame, windows: DataFrame, delay: int = 2, subse
     s = subset_channels(samples, subset)
     train = training_rows(s, windows, delay)
     scalers = scaler_arrays(pooled_scaler(train))
-    fit_rows = standardised(train, scalers).withColumn("features", array_to_vector("z"))
+    # boosting reads its input many times
+    fit_rows = stored(standardised(train, scalers).select("block", "z", "y"), "tree-rows").withColumn("features", array_to_vector("z"))
     test_rows = standardised(owned(s, windows), scalers).withColumn("features", array_to_vector("z"))
     out = None
     for (block,) in windows.select("block").orderBy("block").collect():

@@ -16,7 +16,9 @@ from .features import Z_COLUMNS, bar_features_sql, zscore_sql
 from .registry import query
 
 W = c.W
-STAMP = F.timestamp_micros("us")
+def stamp():
+    return F.timestamp_micros("us")
+
 
 
 @query("live_quoted_bars", "T1 J1", "symbol:i event_id:i value:d quote_id:i quote_value:d", """
@@ -34,7 +36,7 @@ def live_quoted_bars(spark, folder):
 def _live(spark, folder):
     bars = replay.replay(panels.quoted_bars(spark, folder))
     return tables.kept(spark, ("live_features", folder), lambda: replay.to_table(
-        stateful.live_features(bars, tuple(Z_COLUMNS)), "features").withColumn("ts", STAMP))
+        stateful.live_features(bars, tuple(Z_COLUMNS)), "features").withColumn("ts", stamp()))
 
 
 @query("live_bar_features", "T2 S12", "symbol:s ts:t " + " ".join(f"{n}:d" for n in stateful.FEATURES), f"""
@@ -65,20 +67,20 @@ def live_news_features(spark, folder):
     both = news.withColumn("is_bar", F.lit(False)).unionByName(bars.withColumn("is_bar", F.lit(True)))
     stream = replay.replay(both)
     live = stateful.live_news(stream.where(~F.col("is_bar")).withColumnRenamed("ts", "created_at"), stream.where("is_bar"), 240)
-    return replay.to_table(live, "news").withColumn("ts", STAMP)
+    return replay.to_table(live, "news").withColumn("ts", stamp())
 
 
 @query("live_sizing", "T6 B5 P16", "symbol:s ts:t position:d realized_return:d", ev.RISK_SQL)
 def live_sizing(spark, folder):
     stream = replay.replay(ev.positioned(spark, folder))
-    return replay.to_table(stateful.live_sizing(stream, **ev.OVERLAY), "sizing").withColumn("ts", STAMP)
+    return replay.to_table(stateful.live_sizing(stream, **ev.OVERLAY), "sizing").withColumn("ts", stamp())
 
 
 @query("live_outcomes", "T7 J11", "symbol:s ts:t entry_price:d outcome:d", f"""
 WITH {panels.QUOTED_BARS}, o AS (SELECT symbol, ts, price AS entry_price, ln(lead(price, 3) OVER {W}) - ln(price) AS outcome FROM b)
 SELECT * FROM o WHERE outcome IS NOT NULL""")
 def live_outcomes(spark, folder):
-    return replay.to_table(stateful.live_outcomes(replay.replay(panels.quoted_bars(spark, folder)), 3), "outcomes").withColumn("ts", STAMP)
+    return replay.to_table(stateful.live_outcomes(replay.replay(panels.quoted_bars(spark, folder)), 3), "outcomes").withColumn("ts", stamp())
 
 
 @query("live_synchronised_book", "T8 X8 X7", "symbol:s ts:t side:i weight:d", f"""

@@ -92,3 +92,8 @@ def headline_feed(spark: SparkSession, folder: str, start: str = "2024-01-01 00:
                            + (F.col("doc_id") % 1160) * (minutes_per_doc * 60_000_000))
         .cast("timestamp_ntz").alias("created_at"),
         F.col("doc_id"), F.col("text").alias("headline"))
+
+
+def release() -> None:
+    """Forget the stored panels, so that the next query derives them again."""
+    _KEPT.clear()
