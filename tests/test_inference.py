@@ -12,8 +12,8 @@ from tidemark.operators import align, blocks, calendars, learning, ranking, resa
 from tidemark.sources import quality, records
 
 
-def u(*parts):
-    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2 ** 32
+def u(*parts, which=0):
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[8 * which:8 * which + 8], 16) / 2 ** 32
 
 
 def months(spark, values, name="s"):
@@ -31,8 +31,8 @@ def test_bootstrap_draws_and_partitions(spark):
         for k in range(1, 61):
             idx = []
             for i in range(n):
-                new = i == 0 or u(7, k, i, "restart") < 1 / 6
-                idx.append(int(u(7, k, i, "start") * n) if new else (idx[-1] + 1) % n)
+                new = i == 0 or u(7, k, i) < 1 / 6
+                idx.append(int(u(7, k, i, which=1) * n) if new else (idx[-1] + 1) % n)
             ann.append(np.exp(12 * v[idx].mean()) - 1)
         want = np.percentile(ann, [5, 2.5, 97.5])
         np.testing.assert_allclose([got[name]["ann_lower_95"], got[name]["ci_low_95"], got[name]["ci_high_95"]], want, rtol=1e-9)

@@ -22,10 +22,19 @@ recall layoff layoffs fraud probe slump slumps
 """.split()
 
 
+def digest(*parts: Column) -> Column:
+    """md5 text of the parts: the same on every machine and in SQL."""
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
+
+
+def unit_draw(md5_text: Column, which: int = 0) -> Column:
+    """One of the four numbers in [0, 1) that a digest holds."""
+    return F.conv(F.substring(md5_text, 1 + 8 * which, 8), 16, 10).cast("double") / 4294967296.0
+
+
 def uniform(*parts: Column) -> Column:
-    """A number in [0, 1) from the md5 of the parts: the same draw on every machine and in SQL."""
-    text = F.concat_ws("|", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    """A number in [0, 1) that depends on the parts alone."""
+    return unit_draw(digest(*parts))
 
 
 def headline_score(text: Column) -> Column:

@@ -85,10 +85,17 @@ def refit_rows(samples: DataFrame, refits: DataFrame) -> DataFrame:
 
 def pooled_scaler(training: DataFrame) -> DataFrame:
     """(block, channel, mean, scale): moments pooled over steps; overlapping sequences count repeatedly."""
-    steps = training.select("block", F.explode("seq").alias("v"))
-    values = steps.select("block", F.posexplode("v").alias("channel", "x"))
-    return values.groupBy("block", "channel").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("_sd")).select(
-        "block", "channel", "mean", F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd")).alias("scale"))
+    steps = F.size("seq")
+    channels = F.sequence(F.lit(0), F.size(F.col("seq")[0]) - 1)
+    means = F.transform(channels, lambda c: F.aggregate("seq", F.lit(0.0), lambda a, v: a + v[c]) / steps)
+    spreads = F.transform(channels, lambda c: F.aggregate(
+        "seq", F.lit(0.0), lambda a, v: a + (v[c] - F.col("_m")[c]) * (v[c] - F.col("_m")[c])) / steps)
+    rows = training.select("block", "seq", means.alias("_m")).select(
+        "block", F.posexplode(F.arrays_zip(F.col("_m").alias("m"), spreads.alias("v"))).alias("channel", "x"))
+    # every sequence has the same length, so pooled variance = mean variance inside + variance of the means
+    pooled = rows.groupBy("block", "channel").agg(
+        F.avg("x.m").alias("mean"), F.sqrt(F.avg("x.v") + F.var_pop("x.m")).alias("_sd"))
+    return pooled.select("block", "channel", "mean", F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd")).alias("scale"))
 
 
 def scaler_arrays(scaler: DataFrame) -> DataFrame:

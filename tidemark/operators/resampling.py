@@ -1,8 +1,9 @@
 """Bootstrap and permutation inference over many scenarios at once.
 
 Draws depend on (seed, length, block length, replicate, position) only, never on the scenario: all
-scenarios of one length share the same resamples.  A resample is stored as counts per original index,
-so a scenario's resampled mean is one equi-join on the index and one sum.
+scenarios of one length share the same resamples.  A replicate is one row holding its picked indices, a scenario
+one row holding its periods (a bounded number of months or days); they meet in an equi-join on length and salt,
+and a resampled mean is a sum inside the row.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import uniform
+from ..functions.scalars import digest, uniform, unit_draw
 
 Keys = Sequence[str]
 
@@ -24,25 +25,47 @@ def indexed(months: DataFrame, keys: Keys, order: str = "month") -> DataFrame:
             .withColumn("n", F.count(F.lit(1)).over(w)))
 
 
-def stationary_draws(lengths: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """(n, block_len, b, i, times): how often index i occurs in replicate b.
+SALTS = 32
 
-    A step restarts at a uniform index with probability 1/block_len, else moves to the successor with
-    wrap-around; the start of the current run is the latest restart at or before the step.
+
+def _arrays(v: DataFrame, keys: list[str], columns: Keys) -> DataFrame:
+    """One row per scenario with its periods in order, copied once per salt so that no length is a hot key."""
+    packed = v.groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct("i", *columns))).alias("_v"))
+    return packed.select(*keys, "n", *[F.col(f"_v.{c}").alias(c) for c in columns]).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _replicates(v: DataFrame, count: int) -> DataFrame:
+    """(n, b, salt) for every scenario length."""
+    return (v.select("n").distinct().withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(count))))
+            .withColumn("salt", F.col("b") % SALTS).repartition("n", "b"))
+
+
+def _rows(n: Column) -> Column:
+    return F.sequence(F.lit(0).cast("long"), n - 1)
+
+
+def stationary_draws(replicates: DataFrame, block_lens: Sequence[float], seed: int) -> DataFrame:
+    """(n, b, salt, which, picks): the resampled indices of replicate b for the block length ``which``.
+
+    A step restarts at a uniform index with probability 1/block length, else moves to the successor with
+    wrap-around; the current run is the latest restart at or before the step.
     """
-    lengths = lengths.select("n", "block_len").distinct()
-    steps = (lengths.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-             .repartition("n", "b")
-             .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))))
-    u1 = uniform(F.lit(seed), F.col("b"), F.col("i"), F.lit("restart"))
-    u2 = uniform(F.lit(seed), F.col("b"), F.col("i"), F.lit("start"))
-    restart = (F.col("i") == 0) | (u1 < 1 / F.col("block_len"))
-    run = Window.partitionBy("n", "block_len", "b").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    begun = F.last(F.when(restart, F.struct(F.col("i").alias("at"), F.floor(u2 * F.col("n")).alias("start"))),
-                   ignorenulls=True).over(run)
+    lens = F.array(*[F.lit(float(x)) for x in block_lens])
+    steps = (replicates.withColumn("i", F.explode(_rows(F.col("n"))))
+             .withColumn("_d", digest(F.lit(seed), F.col("b"), F.col("i")))
+             .withColumn("which", F.explode(F.sequence(F.lit(0), F.lit(len(block_lens) - 1)))))
+    restart = (F.col("i") == 0) | (unit_draw(F.col("_d"), 0) < 1 / lens[F.col("which")])
+    run = Window.partitionBy("n", "b", "which").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    # one whole number carries the latest restart: its row and its start index
+    begun = F.max(F.when(restart, F.col("i") * F.col("n") + F.floor(unit_draw(F.col("_d"), 1) * F.col("n")))).over(run)
     drawn = steps.withColumn("_run", begun).withColumn(
-        "i", (F.col("_run.start") + F.col("i") - F.col("_run.at")) % F.col("n"))
-    return drawn.groupBy("n", "block_len", "b", "i").agg(F.count(F.lit(1)).alias("times"))
+        "pick", (F.col("_run") % F.col("n") + F.col("i") - F.floor(F.col("_run") / F.col("n"))) % F.col("n"))
+    return drawn.groupBy("n", "b", "which", "salt").agg(F.collect_list(F.col("pick").cast("int")).alias("picks"))
+
+
+def _total(picks: str, values: str) -> Column:
+    return F.aggregate(picks, F.lit(0.0), lambda a, j: a + F.col(values)[j])
 
 
 def stationary_bootstrap(months: DataFrame, keys: Keys = ("scenario",), block_lens: Sequence[float] = (6.0,),
@@ -50,24 +73,20 @@ def stationary_bootstrap(months: DataFrame, keys: Keys = ("scenario",), block_le
     """Annualised geometric return from monthly logs with percentile bounds and a one-sided p-value."""
     keys = list(keys)
     v = indexed(months.select(*keys, order, value), keys, order)
-    lens = F.explode(F.array(*[F.lit(float(b)) for b in block_lens]))
-    draws = stationary_draws(v.select("n").distinct().withColumn("block_len", lens), n_boot, seed)
-    means = (draws.join(v, ["n", "i"]).groupBy(*keys, "n", "block_len", "b")
-             .agg((F.sum(F.col(value) * F.col("times")) / F.max("n")).alias("_m")))
-    ann = F.exp(12 * F.col("_m")) - 1
-    boot = (means.withColumn("_ann", ann).groupBy(*keys, "block_len").agg(
-        F.percentile("_ann", F.lit(0.05)).alias("ann_lower_95"), F.percentile("_ann", F.lit(0.025)).alias("ci_low_95"),
-        F.percentile("_ann", F.lit(0.975)).alias("ci_high_95"),
-        ((F.count_if(F.col("_ann") <= 0) + 1) / (F.count(F.lit(1)) + 1)).alias("p_leq_zero")))
+    draws = stationary_draws(_replicates(v, n_boot), block_lens, seed)
+    ann = (draws.join(_arrays(v, keys, [value]), ["n", "salt"])
+           .select(*keys, "which", (F.exp(12 * _total("picks", value) / F.col("n")) - 1).alias("_ann")))
+    lens = F.array(*[F.lit(float(x)) for x in block_lens])
+    boot = ann.groupBy(*keys, "which").agg(
+        F.percentile("_ann", F.array(F.lit(0.05), F.lit(0.025), F.lit(0.975))).alias("_p"),
+        ((F.count_if(F.col("_ann") <= 0) + 1) / (F.count(F.lit(1)) + 1)).alias("p_leq_zero"))
+    boot = boot.select(*keys, lens[F.col("which")].alias("block_len"), "p_leq_zero", F.col("_p")[0].alias("ann_lower_95"),
+                       F.col("_p")[1].alias("ci_low_95"), F.col("_p")[2].alias("ci_high_95"))
     point = v.groupBy(*keys).agg(F.avg(value).alias("mean_monthly"), F.count(F.lit(1)).alias("n_months"))
     return (boot.join(point, keys)
             .withColumn("ann_geom", F.exp(12 * F.col("mean_monthly")) - 1))
 
 
-def _signs(seed: int, b: str, i: str) -> Column:
-    return F.when(uniform(F.lit(seed), F.col(b), F.col(i), F.lit("sign")) < 0.5, -1.0).otherwise(1.0)
-
-
 def sign_flip(periods: DataFrame, keys: Keys = ("scenario",), n_perm: int = 10_000, seed: int = 0,
               value: str = "log_ret", order: str = "month", plus_one: bool = True) -> DataFrame:
     """Two-sided and one-sided sign-flip p-values of a mean.
@@ -76,13 +95,12 @@ def sign_flip(periods: DataFrame, keys: Keys = ("scenario",), n_perm: int = 10_0
     """
     keys = list(keys)
     v = indexed(periods.select(*keys, order, value), keys, order)
-    signs = (v.select("n").distinct()
-             .withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).repartition("n", "b")
-             .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-             .withColumn("sign", _signs(seed, "b", "i")))
+    b = F.col("b")
+    signs = _replicates(v, n_perm).withColumn("signs", F.transform(_rows(F.col("n")), lambda i: F.when(
+        uniform(F.lit(seed), b, i, F.lit("sign")) < 0.5, -1.0).otherwise(1.0)))
     point = v.groupBy(*keys).agg(F.avg(value).alias("observed"), F.count(F.lit(1)).alias("n_periods"))
-    means = (signs.join(v, ["n", "i"]).groupBy(*keys, "b")
-             .agg((F.sum(F.col(value) * F.col("sign")) / F.max("n")).alias("_m")).join(point, keys))
+    flipped = F.aggregate(F.zip_with("signs", value, lambda s, x: s * x), F.lit(0.0), lambda a, x: a + x) / F.col("n")
+    means = (signs.join(_arrays(v, keys, [value]), ["n", "salt"]).select(*keys, flipped.alias("_m")).join(point, keys))
     add = 1 if plus_one else 0
     # permuted sums that equal the observed one up to rounding count as reaching it
     slack = 1e-12 * F.abs("observed")
@@ -102,13 +120,11 @@ def day_bootstrap(values: DataFrame, keys: Keys = ("variant",), n_boot: int = 20
     """Mean over resampled whole days (pooled rows, not the mean of day means), without +1 in p."""
     keys = list(keys)
     v = indexed(day_blocks(values, keys, value), keys, "day")
-    draws = (v.select("n").distinct()
-             .withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).repartition("n", "b")
-             .withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-             .withColumn("i", F.floor(uniform(F.lit(seed), F.col("b"), F.col("k"), F.lit("day")) * F.col("n")))
-             .groupBy("n", "b", "i").agg(F.count(F.lit(1)).alias("times")))
-    means = (draws.join(v, ["n", "i"]).groupBy(*keys, "b")
-             .agg((F.sum(F.col("_sum") * F.col("times")) / F.sum(F.col("_cnt") * F.col("times"))).alias("_m")))
+    b, n = F.col("b"), F.col("n")
+    draws = _replicates(v, n_boot).withColumn("picks", F.transform(_rows(n), lambda k: F.floor(
+        uniform(F.lit(seed), b, k, F.lit("day")) * n).cast("int")))
+    means = (draws.join(_arrays(v, keys, ["_sum", "_cnt"]), ["n", "salt"])
+             .select(*keys, (_total("picks", "_sum") / _total("picks", "_cnt")).alias("_m")))
     boot = means.groupBy(*keys).agg(
         F.percentile("_m", F.lit(0.025)).alias("ci_low_95"), F.percentile("_m", F.lit(0.975)).alias("ci_high_95"),
         F.avg((F.col("_m") <= 0).cast("double")).alias("p_leq_zero"))

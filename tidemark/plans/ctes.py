@@ -66,9 +66,9 @@ def words(column: str = "headline") -> str:
     return f"(CASE WHEN {p} + {n} > 0 THEN ({p} - {n})::DOUBLE / ({p} + {n}) ELSE 0.0 END)"
 
 
-def uniform(*parts: str) -> str:
+def uniform(*parts: str, which: int = 0) -> str:
     text = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"(CAST(CAST('0x' || substr(md5({text}), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0)"
+    return f"(CAST(CAST('0x' || substr(md5({text}), {1 + 8 * which}, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0)"
 
 
 W = "(PARTITION BY symbol ORDER BY pos)"

@@ -11,7 +11,7 @@ from .registry import query
 
 
 def boot_sql(src: str, seed: int, n_boot: int, lens: str, value: str = "log_ret", order: str = "month", key: str = "scenario") -> str:
-    u1, u2 = c.uniform(str(seed), "b", "i", "'restart'"), c.uniform(str(seed), "b", "i", "'start'")
+    u1, u2 = c.uniform(str(seed), "b", "i"), c.uniform(str(seed), "b", "i", which=1)
     return f"""ix AS (SELECT {key}, {value} AS v, row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS i, count(*) OVER (PARTITION BY {key}) AS n FROM {src}),
 ln AS (SELECT n, bl FROM (SELECT DISTINCT n FROM ix), (SELECT unnest({lens}) AS bl)),
 st0 AS (SELECT n, bl, b, i FROM ln, (SELECT unnest(range(1, {n_boot + 1})) AS b), (SELECT unnest(range(0, (SELECT max(n) FROM ix))) AS i) WHERE i < n),

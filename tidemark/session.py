@@ -16,7 +16,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", memory)
-             .config("spark.ui.enabled", "false")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -17,15 +17,19 @@ def newest(rows: DataFrame, n: int) -> DataFrame:
 def recalibrated_k(matured: DataFrame, rows: int = 256) -> DataFrame:
     """After each micro-batch: k per symbol from the newest ``rows`` matured forecasts so far.
 
-    Batches land in their own folders by id, so a retried batch replaces itself.
+    Only the newest rows are carried from batch to batch.  Each batch writes to folders of its own id, so a
+    retried batch replaces itself.
     """
     spark = matured.sparkSession
     path = scratch(spark, "recalibration")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.select("symbol", "pos", "mu", "sigma").write.mode("overwrite").parquet(f"{path}/matured/batch={batch_id}")
-        seen = spark.read.parquet(f"{path}/matured").where(F.col("batch") <= batch_id)
-        calibrate_k(newest(seen, rows)).write.mode("overwrite").parquet(f"{path}/k/batch={batch_id}")
+        seen = batch.select("symbol", "pos", "mu", "sigma")
+        if batch_id > 0:
+            seen = seen.unionByName(spark.read.parquet(f"{path}/tail/{batch_id - 1}"))
+        newest(seen, rows).write.mode("overwrite").parquet(f"{path}/tail/{batch_id}")
+        tail = spark.read.parquet(f"{path}/tail/{batch_id}")
+        calibrate_k(tail).write.mode("overwrite").parquet(f"{path}/k/batch={batch_id}")
 
     query = (matured.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint")
              .trigger(availableNow=True).start())

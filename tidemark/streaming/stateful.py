@@ -25,6 +25,7 @@ Step = Callable[[dict, dict], tuple[dict, dict | None]]
 def keyed(stream: DataFrame, step: Step, schema: str, order: list[str], key: str = "symbol") -> DataFrame:
     """Fold ``step(state, row) -> (state, output or None)`` over each key's rows."""
     names = [f.split()[0] for f in schema.split(", ")]
+    doubles = [f.split()[0] for f in schema.split(", ") if f.split()[1] == "double"]
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = json.loads(held.get[0]) if held.exists else {}
@@ -35,7 +36,8 @@ def keyed(stream: DataFrame, step: Step, schema: str, order: list[str], key: str
             if result is not None:
                 out.append({key: group[0], **result})
         held.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=names)
+        if out:
+            yield pd.DataFrame(out, columns=names).astype({n: float for n in doubles})
 
     return stream.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
