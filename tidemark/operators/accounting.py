@@ -66,6 +66,25 @@ def _value_path(days: Column, borrow_rate: Column) -> Column:
     return F.aggregate(days, start, step, lambda acc: acc["rows"])
 
 
+def cash_levels(cash: DataFrame) -> DataFrame:
+    return running_sum(cash.select("pos", "cash"), [], ["pos"], F.floor(F.col("pos") / 4096), {"cash_level": F.log1p("cash")})
+
+
+def _long_path(daily: DataFrame, cash: DataFrame) -> DataFrame:
+    """Value rows of segments without shorts, in closed form: nothing is gathered, however long they are.
+
+    The part not invested grows with cash; a negative one (gross above 1) earns and pays nothing.
+    """
+    level = cash_levels(cash)
+    rows = (daily.join(level, "pos").withColumn("_f", F.col("seg") + 1)
+            .join(level.select(F.col("pos").alias("_f"), F.col("cash_level").alias("_c0")), "_f"))
+    rest, since = 1 - F.col("invested"), F.col("cash_level") - F.col("_c0")
+    late = F.when(rest > 0, rest * F.exp(since)).otherwise(rest)
+    early = F.when(rest > 0, rest * F.exp(since - F.log1p("cash"))).otherwise(rest)
+    return rows.withColumns({"before": F.col("gross0") + early, "income": late - early, "borrow": F.lit(0.0),
+                             "after": F.col("gross1") + late})
+
+
 def lagged_returns(panel: DataFrame, cash: DataFrame, targets: DataFrame, costs: DataFrame, cost_bp: DataFrame | None = None,
                    keys: Keys = ("scenario",), default_bp: float = 3.0) -> DataFrame:
     """Daily net return and its parts for many scenarios and cost settings in one job.
@@ -73,7 +92,8 @@ def lagged_returns(panel: DataFrame, cash: DataFrame, targets: DataFrame, costs:
     ``panel`` (symbol, pos, ret), ``cash`` (pos, cash), ``targets`` (keys, schedule, decision_pos, symbol,
     weight) with every decision present, ``costs`` (cost_mult, borrow_bp), ``cost_bp`` (symbol, bp).  Gross
     profit, idle cash and borrow come from yesterday's weights; a fill's cost is charged on the distance from
-    the drifted weights.  ``broke`` marks rows whose growth is not positive; weights are not drifted there.
+    the drifted weights.  Only segments holding shorts are folded day by day: their idle cash depends on the
+    value path.  ``broke`` marks rows whose growth is not positive; weights are not drifted there.
     """
     keys = list(keys)
     bk = [*keys, "cost_mult", "borrow_bp"]
@@ -86,14 +106,15 @@ def lagged_returns(panel: DataFrame, cash: DataFrame, targets: DataFrame, costs:
              .groupBy(*keys, "schedule", "seg", "next_seg", "stop", "pos").agg(
                  F.sum(w * F.col("g0") * F.col("ret")).alias("pnl"), F.sum(F.abs(w) * F.col("g0")).alias("gross0"),
                  F.sum(F.when(w < 0, -w * F.col("g0")).otherwise(0.0)).alias("short0"),
-                 F.sum(F.abs(w) * F.col("g1")).alias("gross1")))
-    packed = (daily.join(cash.select("pos", "cash"), "pos").groupBy(*keys, "schedule", "seg", "next_seg", "stop")
+                 F.sum(F.abs(w) * F.col("g1")).alias("gross1"), F.sum(w).alias("invested")))
+    packed = (daily.where(F.col("short0") > 0).join(cash.select("pos", "cash"), "pos").groupBy(*keys, "schedule", "seg", "next_seg", "stop")
               .agg(F.sort_array(F.collect_list(F.struct("pos", "pnl", "gross0", "short0", "gross1", "cash"))).alias("days")))
     grid = costs.select(F.collect_list(F.struct("cost_mult", "borrow_bp"))).scalar()
     path = (packed.withColumn("_c", F.explode(grid)).select("*", "_c.*")
             .withColumn("_r", F.explode(_value_path(F.col("days"), F.col("borrow_bp") / 10_000 / 252 * F.col("cost_mult"))))
             .select(*bk, "schedule", "next_seg", "stop", "_r.*"))
-    path = stored(path, "value-path")
+    path = stored(path.unionByName(_long_path(daily.where(F.col("short0") == 0), cash).withColumn("_c", F.explode(grid))
+                                   .select("*", "_c.*").select(*path.columns)), "value-path")
     # yesterday's book at each fill: holdings grown over the finished segment, per unit of its closing value
     closing = rows.where((F.col("pos") == F.col("stop")) & F.col("next_seg").isNotNull())
     drifted = (wanted.join(closing.select("schedule", "seg", "symbol", "next_seg", "g1"), ["schedule", "seg", "symbol"])
@@ -170,8 +191,7 @@ def self_financing(panel: DataFrame, cash: DataFrame, targets: DataFrame, cost_b
     bad = targets.groupBy(*keys, "schedule", "decision_pos").agg(F.min("weight").alias("_m"), F.sum("weight").alias("_s"))
     ok = bad.withColumn("invested", F.when((F.col("_m") < 0) | (F.col("_s") > 1 + 1e-10), F.raise_error(
         F.lit("targets must be long-only and sum to at most 1")).cast("double")).otherwise(F.col("_s"))).drop("_m", "_s")
-    cash_level = running_sum(cash.select("pos", "cash"), [], ["pos"], F.floor(F.col("pos") / 4096),
-                             {"cash_level": F.log1p("cash")})
+    cash_level = cash_levels(cash)
     segs = segments(targets, panel.select(F.max("pos")).scalar())
     rows = stored(segment_rows(panel, segs), "segment-rows")
     held = targets.withColumnRenamed("decision_pos", "seg").join(rows, ["schedule", "seg", "symbol"])

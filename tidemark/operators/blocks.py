@@ -75,12 +75,9 @@ def carried_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     inner = (Window.partitionBy(*keys, "_bucket").orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, 0))
     rank = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
-    ends = (tagged.where(F.col("_v").isNotNull()).groupBy(*keys, "_bucket")
-            .agg(F.max_by("_v", rank).alias("_end")))
-    every = tagged.select(*keys, "_bucket").distinct()
-    carry = (every.join(ends, [*keys, "_bucket"], "left")
-             .withColumn("_carry", F.last("_end", ignorenulls=True).over(_before(keys, "_bucket")))
-             .drop("_end"))
+    ends = tagged.groupBy(*keys, "_bucket").agg(
+        F.max_by("_v", F.when(F.col("_v").isNotNull(), rank)).alias("_end"))
+    carry = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(_before(keys, "_bucket"))).drop("_end")
     return (tagged.withColumn("_in", F.last("_v", ignorenulls=True).over(inner))
             .join(carry, [*keys, "_bucket"])
             .withColumn(out, F.coalesce("_in", "_carry"))
