@@ -189,12 +189,13 @@ def tree_forecasts(samples: DataFrame, windows: DataFrame, delay: int = 2, subse
     # boosting reads its input many times
     fit_rows = stored(standardised(train, scalers).select("block", "z", "y"), "tree-rows").withColumn("features", array_to_vector("z"))
     test_rows = standardised(owned(s, windows), scalers).withColumn("features", array_to_vector("z"))
-    out = None
-    for (block,) in windows.select("block").orderBy("block").collect():
+    out = test_rows.where(F.lit(False)).withColumn("forecast", F.lit(0.0))
+    # windows without a mature label fit nothing
+    for (block,) in fit_rows.select("block").distinct().orderBy("block").collect():
         model = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="forecast", maxIter=rounds, maxDepth=depth,
                              stepSize=0.05, subsamplingRate=0.7, featureSubsetStrategy="0.7", minInstancesPerNode=20, seed=7)
         scored = model.fit(fit_rows.where(F.col("block") == block)).transform(test_rows.where(F.col("block") == block))
-        out = scored if out is None else out.unionByName(scored)
+        out = out.unionByName(scored)
     return out.drop("z", "features", "seq")
 
 
