@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def per_chunk(work: Callable[[dict[str, pa.Array], list[str]], pa.RecordBatch],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(column)
-            sizes = pa.compute.binary_length(batch.column(at)).to_pylist()
+            sizes = pc.binary_length(batch.column(at)).to_pylist()
             for a, b in spans(sizes, limit):
                 part = batch.slice(a, b - a)
                 cols = {n: part.column(i) for i, n in enumerate(part.schema.names) if n != column}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .templates import UNITS
+
 SQL: dict[str, str] = {}
 
 SQL["op2_line_frequency"] = r"""
@@ -45,3 +47,46 @@ owners AS (SELECT slot, printf('shard-%02d', (turn - 1) % 64) AS shard FROM clai
 SELECT doc_id, slot::INT AS slot, shard
 FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 8))::BIGINT % 8191 AS slot FROM documents) JOIN owners USING (slot)
 """
+
+_UNITS = ", ".join(f"'{u}'" for u in UNITS)
+
+
+def _windows(name: str, source: str, key: str) -> str:
+    return rf"""
+{name}_found AS (SELECT {key}, regexp_extract_all(text, '(?:[.!?:\n][^\p{{L}}\p{{N}}]*)?(?:\p{{L}}+|\p{{N}}+(?:[.,]\p{{N}}+)*)') AS f FROM {source}),
+{name}_tokens AS (SELECT {key}, generate_subscripts(f, 1) AS i, unnest(f) AS t FROM {name}_found),
+{name}_words AS (SELECT {key}, i, substr(t, 1, 1) IN ('.', '!', '?', ':', chr(10)) AS s,
+  CASE WHEN substr(t, 1, 1) IN ('.', '!', '?', ':', chr(10)) THEN regexp_replace(t, '^[^\p{{L}}\p{{N}}]+', '') ELSE t END AS w FROM {name}_tokens),
+{name}_before AS (SELECT *, lag(w) OVER (PARTITION BY {key} ORDER BY i) AS p FROM {name}_words),
+{name}_kinds AS (SELECT {key}, i, w, CASE WHEN regexp_matches(w, '^\p{{N}}') THEN '<num>'
+  WHEN p IS NOT NULL AND regexp_matches(p, '^\p{{N}}') AND lower(w) IN ({_UNITS}) THEN '<unit>'
+  WHEN p IS NOT NULL AND NOT s AND length(w) > 1 AND lower(w) != w AND lower(substr(w, 2)) = substr(w, 2) THEN '<name>'
+  ELSE lower(w) END AS t FROM {name}_before),
+{name}_windows AS (SELECT * FROM (SELECT {key}, i - 1 AS "at", list(t) OVER o AS win,
+  list(CASE WHEN t IN ('<num>', '<unit>', '<name>') THEN w END) OVER o AS slots, count(*) OVER o AS n
+  FROM {name}_kinds WINDOW o AS (PARTITION BY {key} ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE n = 8)"""
+
+
+SQL["op4_template_leaks"] = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
+items AS (SELECT min(item_id) AS item_id, text FROM benchmark WHERE text IS NOT NULL GROUP BY text),
+{_windows("d", "docs", "r")},
+{_windows("b", "items", "item_id")},
+sizes AS (SELECT item_id, count(*) AS total FROM b_windows GROUP BY item_id),
+hits AS (SELECT d.r, b.item_id, d."at" - b."at" AS diagonal, d."at" AS "at", unnest(range(1, 9)) AS k, b.slots AS a, d.slots AS g
+  FROM d_windows d JOIN b_windows b ON d.win = b.win),
+runs AS (SELECT r, item_id, diagonal, count(DISTINCT "at") AS n_windows, count(DISTINCT CASE WHEN a[k] IS NOT NULL THEN (a[k], g[k]) END) AS n_pairs,
+  count(DISTINCT a[k]) AS n_asked, count(DISTINCT CASE WHEN a[k] != g[k] THEN (a[k], g[k]) END) AS changed FROM hits GROUP BY r, item_id, diagonal)
+SELECT doc_id, item_id, max(n_windows)::BIGINT AS n_windows, min(changed)::BIGINT AS changed_slots
+FROM runs JOIN sizes USING (item_id) JOIN docs USING (r) WHERE n_windows >= least(3, total) AND n_pairs = n_asked GROUP BY r, doc_id, item_id
+"""
+
+SQL["op10_block_labeller"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS body FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '\s+', ' ', 'g'), '<br>', ' ', 'g'), '</?(p|h1)>', chr(10), 'g'),
+  '</?b>|<[a-z/][^>]*$', '', 'g') AS body FROM a),
+c AS (SELECT page_id, url, replace(regexp_replace(replace(body, '&quot;', '"'), '&amp;?', '&', 'g'), chr(160), ' ') AS body FROM b),
+d AS (SELECT page_id, url, coalesce(array_to_string(list_filter(list_transform(string_split(body, chr(10)),
+  lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x != ''), chr(10)), '') AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import grammar, linefilter, lookup, oracles, packing, toxicity, warc
+from . import extraction, forest, grammar, linefilter, lookup, oracles, packing, templates, toxicity, warc
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+@query
+def op4_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = templates.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "changed_slots")
+
+
 @query
 def op5_grammar_shards(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "grammar")
@@ -58,3 +64,16 @@ def op9_lookup_placement(spark: SparkSession, folder: str) -> DataFrame:
     names = [f"shard-{k:02d}" for k in range(lookup.SHARDS)]
     placed = lookup.place(table(spark, folder, "documents"), F.col("doc_id"), names, spread=F.col("text"))
     return placed.select("doc_id", "slot", "shard")
+
+
+@query
+def op10_block_labeller(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return extraction.extract(pages, extraction.train(pages))
+
+
+@query
+def op8_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
+    found = forest.near_duplicates(table(spark, folder, "documents"))
+    named = found.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
+    return found.join(named, "class_key").select("doc_id", "class_id", "n_links")
