@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import packing, toxicity
+from tidemark.llm import forest, packing, suffixes, templates, toxicity
 from tidemark.llm.common import table
 from tidemark.session import stored
 
@@ -18,12 +19,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.not_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return forest.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the long strings that other places of the corpus hold too; ``n_chars`` follows the text."""
+    cut = suffixes.without_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, re-parameterised or not."""
+    return templates.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training sequences."""
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("packing", pack_sequences)]
+STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("n-gram join", one_of_each_class), ("suffix dedup", cut_repeats),
+                                   ("decontamination", drop_leaks), ("packing", pack_sequences)]
 ORACLE_SQL: str | None = None
 
 

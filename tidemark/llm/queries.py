@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import extraction, forest, grammar, linefilter, lookup, oracles, packing, templates, toxicity, warc
+from . import extraction, forest, grammar, linefilter, lookup, oracles, packing, suffixes, templates, toxicity, warc
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,8 @@ def op8_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
     found = forest.near_duplicates(table(spark, folder, "documents"))
     named = found.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
     return found.join(named, "class_key").select("doc_id", "class_id", "n_links")
+
+
+@query
+def op6_suffix_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, folder, "documents"))
