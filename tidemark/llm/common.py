@@ -22,6 +22,16 @@ def text_rows(df: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     return df.select(*columns, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def spans(lengths: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges whose lengths add up to about ``limit``; one longer row is a range of its own."""
     start, total = 0, 0

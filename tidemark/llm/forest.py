@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import per_chunk, ragged
+from .common import per_chunk, ragged, unused
 from .graphs import components
 
 SHINGLE_WORDS = 5
@@ -252,8 +252,9 @@ def one_of_each(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with one row of each class of near duplicates, that of the smallest id (NULL last, then text key); same columns."""
     found = near_duplicates(df, threshold)
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))).alias("_first")
-    chosen = found.groupBy("class_key").agg(first).select(F.col("_first.doc_id").alias("_id"), F.col("_first.text_key").alias("_key"))
-    keyed = df.withColumn("_text_key", text_key(F.col("text"))).withColumn("_doc", F.col("doc_id").cast("long"))
-    kept = keyed.join(chosen, (F.col("_text_key") == F.col("_key")) & F.col("_doc").eqNullSafe(F.col("_id")))
-    once = Window.partitionBy("_text_key", "_doc").orderBy(F.lit(1))
-    return kept.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*df.columns)
+    mine, doc, theirs, other, nth = unused(df, "_text_key", "_doc", "_chosen_key", "_chosen_doc", "_nth")
+    chosen = found.groupBy("class_key").agg(first).select(F.col("_first.doc_id").alias(other), F.col("_first.text_key").alias(theirs))
+    keyed = df.withColumn(mine, text_key(F.col("text"))).withColumn(doc, F.col("doc_id").cast("long"))
+    kept = keyed.join(chosen, (F.col(mine) == F.col(theirs)) & F.col(doc).eqNullSafe(F.col(other)))
+    once = Window.partitionBy(mine, doc).orderBy(F.lit(1))
+    return kept.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*df.columns)

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 SLOTS = 8191
 SHARDS = 64
 LARGEST_TABLE = 1_000_003
@@ -69,6 +71,7 @@ def place(df: DataFrame, key: Column, names: Sequence[str], slots: int = SLOTS,
     """
     key = F.coalesce(key.cast("string"), *([spread.cast("string")] if spread is not None else []), F.lit(""))
     slot = slot_of(key, slots)
-    names_of = F.broadcast(table_frame(df.sparkSession, names, slots, weights)).withColumnRenamed("slot", "_slot")
-    kept = df.drop("slot", "shard").withColumn("slot", slot)
-    return kept.join(names_of, F.col("slot") == F.col("_slot"), "left").drop("_slot")
+    theirs, = unused(df, "_slot")
+    names_of = F.broadcast(table_frame(df.sparkSession, names, slots, weights)).withColumnRenamed("slot", theirs)
+    kept = df.withColumn("slot", slot).drop("shard")
+    return kept.join(names_of, F.col("slot") == F.col(theirs), "left").drop(theirs)

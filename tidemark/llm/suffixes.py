@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import per_chunk, ragged
+from .common import per_chunk, ragged, unused
 from .merging import Run, common_prefix, front_coded, merged
 
 WIDTH = 200
@@ -290,9 +290,12 @@ def covered(size: int, spans: list[tuple[int, int]], width: int = WIDTH) -> list
     return [(a, min(b, size)) for a, b in out]
 
 
-def _cut(df: DataFrame, width: int, reach: int) -> DataFrame:
-    found = repeats(df, width, reach).withColumnRenamed("text_key", "_found")
-    return df.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).join(found, text_key(F.col("_text")) == F.col("_found"), "left").drop("_found")
+def _cut(df: DataFrame, width: int, reach: int) -> tuple[DataFrame, str, str]:
+    """``df`` with its texts, NULL as empty, and their spans; the names of the two columns."""
+    text, spans, found = unused(df, "_text", "_spans", "_found")
+    marks = repeats(df, width, reach).select(F.col("text_key").alias(found), F.col("spans").alias(spans))
+    texts = df.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return texts.join(marks, text_key(F.col(text)) == F.col(found), "left").drop(found), text, spans
 
 
 def deduplicated(df: DataFrame, width: int = WIDTH, reach: int = REACH) -> DataFrame:
@@ -302,7 +305,7 @@ def deduplicated(df: DataFrame, width: int = WIDTH, reach: int = REACH) -> DataF
     UTF-8 bytes, NULL is empty; shorter texts stay whole; repeated rows of at least ``width`` bytes lose everything; ids may be NULL
     or repeat; an empty table gives no rows; further columns are ignored.
     """
-    joined = _cut(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, reach).select("doc_id", "spans", F.col("_text").alias("text"))
+    joined, text, spans = _cut(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,12 +325,12 @@ def deduplicated(df: DataFrame, width: int = WIDTH, reach: int = REACH) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(counts, pa.int64()),
                                               pa.array(digests)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", spans, text).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(df: DataFrame, width: int = WIDTH, reach: int = REACH) -> DataFrame:
     """``df`` with the repeated strings cut out of ``text``; same columns and rows.  Bytes that no longer form a character are dropped."""
-    joined = _cut(df, width, reach)
+    joined, text, spans = _cut(df, width, reach)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -343,4 +346,4 @@ def without_repeats(df: DataFrame, width: int = WIDTH, reach: int = REACH) -> Da
             out.append(b"".join([*pieces, raw[at:]]).decode("utf-8", "ignore"))
         return pd.Series(out)
 
-    return joined.withColumn("text", F.when(F.col("text").isNotNull(), cut(F.col("_text"), F.col("spans")))).select(*df.columns)
+    return joined.withColumn("text", F.when(F.col("text").isNotNull(), cut(F.col(text), F.col(spans)))).select(*df.columns)

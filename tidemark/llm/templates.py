@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 WIDTH = 8
 LEAST = 3
 BROADCAST_WINDOWS = 500_000
@@ -24,10 +26,6 @@ UNITS = ("mm cm m km g kg mg lb lbs oz ml l cl s sec seconds minute minutes min
          "meter meters metre metres gram grams kilogram kilograms kilometer kilometers kilometre kilometres pound pounds").split()
 
 
-def _is_number(word: str) -> str:
-    return f"{word} rlike '^\\\\p{{N}}'"
-
-
 def tokens(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``_template`` and ``_slots`` (the raw token where the template has a placeholder, else NULL), arrays of one length."""
     units = ", ".join(f"'{u}'" for u in UNITS)
@@ -92,6 +90,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, leas
 
 def clean(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """``documents`` without those that hold a benchmark item, with the same columns; every copy of such a document goes."""
-    found = matches(documents, benchmark, width, least).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (text_key(F.col("text")) == F.col("_key"))
+    doc, key = unused(documents, "_doc", "_key")
+    found = matches(documents, benchmark, width, least).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (text_key(F.col("text")) == F.col(key))
     return documents.join(found, same, "left_anti")

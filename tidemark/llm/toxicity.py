@@ -71,18 +71,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, case_weights: np.ndarray, or
     rate = float((labels * w).sum() / w.sum()) if len(labels) else 0.0
     if not 0 < rate < 1:
         return Model(np.zeros(size, dtype=np.float32), float(np.clip(np.log((rate + 1e-3) / (1 - rate + 1e-3)), -7, 7)), orders, bits)
-    lengths = np.array([len(r) for r in rows])
-    bucket, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
-    docs = np.bincount(bucket, minlength=size)
-    toxic = smoothing + np.bincount(bucket, weights=labels[row], minlength=size)
-    other = smoothing + np.bincount(bucket, weights=1.0 - labels[row], minlength=size)
-    ratio = np.log(toxic / (labels.sum() + 2 * smoothing)) - np.log(other / ((1 - labels).sum() + 2 * smoothing))
+    docs, toxic = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32)
+    for r, y in zip(rows, labels):
+        docs[r] += 1
+        if y:
+            toxic[r] += 1
+    ratio = (np.log((smoothing + toxic) / (labels.sum() + 2 * smoothing))
+             - np.log((smoothing + docs - toxic) / ((1 - labels).sum() + 2 * smoothing))).astype(np.float32)
     ratio[docs < least_docs] = 0.0
-    used = ratio[bucket] != 0
-    bucket, row = bucket[used], row[used]
-    names, column = np.unique(bucket, return_inverse=True)
+    names = np.flatnonzero(ratio)
+    place = np.zeros(size, dtype=np.int32)
+    place[names] = np.arange(len(names))
+    rows = [place[r[ratio[r] != 0]] for r in rows]
+    starts = np.cumsum([0, *map(len, rows)])
+    column = np.concatenate(rows)
     value = ratio[names][column]
-    starts = np.searchsorted(row, np.arange(len(rows) + 1))
     weight, bias = np.zeros(len(names)), float(np.log(rate / (1 - rate)))
     grown, grown_bias = np.full(len(names), 1e-2), 1e-2
     rng, w = np.random.default_rng(seed), w / w.mean()
@@ -129,7 +132,7 @@ def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS,
 
     found = (rows.mapInArrow(per_chunk(work), "doc_id long, label int, buckets array<int>")
              .orderBy("label", F.xxhash64("doc_id"), "doc_id", F.xxhash64("buckets")).limit(toxic_rows + other_rows).toArrow())
-    buckets = [np.array(b.values, dtype=np.int64) for b in found.column("buckets").combine_chunks()] if found.num_rows else []
+    buckets = [b.values.to_numpy() for b in found.column("buckets").combine_chunks()] if found.num_rows else []
     label = found.column("label").to_numpy().astype(float) if found.num_rows else np.empty(0)
     seen = {k: max(1, int((label == k).sum())) for k in (0, 1)}
     weight = np.where(label == 1, total.get(1, 0) / seen[1], total.get(0, 0) / seen[0]) if len(label) else np.empty(0)
