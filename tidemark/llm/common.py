@@ -60,6 +60,12 @@ def per_chunk(work: Callable[[dict[str, pa.Array], list[str]], pa.RecordBatch],
     return run
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values once each, in order."""
+    ordered = np.sort(values)
+    return ordered[np.r_[True, ordered[1:] != ordered[:-1]]] if len(ordered) else ordered
+
+
 def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from concatenated values and the number of values in each row."""
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)

@@ -1,6 +1,7 @@
 """Toxicity score of whole texts: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A feature is a hashed n-gram of the lower-cased text (white space as one blank), present or not.  Its value is the log ratio of its
+A feature is a hashed n-gram of the lower-cased text (white space as one blank) that occurs once or more, twice or more, four times or
+more, and so on.  Its value is the log ratio of its
 smoothed rates in toxic and other training texts; a logistic regression is fitted on these values.  Training takes at most ``toxic_rows``
 and ``other_rows`` labelled rows, those with the smallest hashes of their id, and weighs them back to the rates of all labelled
 rows, so that the score is a probability.
@@ -18,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_chunk, ragged, text_rows
+from .common import distinct, per_chunk, ragged, text_rows
 
 BITS = 20
-ORDERS = (4, 5)
+ORDERS = (4, 6)
 TOXIC_ROWS, OTHER_ROWS = 1_500, 2_500
+LEVELS, LEVEL_MIX = 4, 0x5BD1E995
 THRESHOLD = 0.3
 BLANKS = re.compile(r"\s+")
 
@@ -44,7 +46,11 @@ def ngram_keys(texts: list[str], orders: tuple[int, ...] = ORDERS, bits: int = B
             hashed = (hashed ^ hashed >> np.uint32(15)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - bits)
             keys.append((row[:len(mixed)] << np.uint64(32) | hashed)[inside])
     found = np.sort(np.concatenate(keys)) if keys else np.empty(0, dtype=np.uint64)
-    found = found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found
+    if len(found):
+        opens = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+        times, found = np.diff(np.r_[opens, len(found)]), found[opens]
+        more = [found[times >= 1 << level] ^ np.uint64(level * LEVEL_MIX & (1 << bits) - 1) for level in range(1, LEVELS)]
+        found = distinct(np.concatenate([found, *more]))
     return (found >> np.uint64(32)).astype(np.int64), (found & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
@@ -62,7 +68,7 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, case_weights: np.ndarray, orders: tuple[int, ...] = ORDERS, bits: int = BITS,
-        smoothing: float = 1.0, penalty: float = 1e-4, epochs: int = 8, least_docs: int = 5, seed: int = 7) -> Model:
+        smoothing: float = 1.0, penalty: float = 1e-3, epochs: int = 8, least_docs: int = 5, seed: int = 7) -> Model:
     """Fit on the buckets of each training row; buckets in fewer than ``least_docs`` rows get no weight.
 
     With one class only, or no rows, the model is the constant rate.
