@@ -135,3 +135,22 @@ def test_overlay_order_of_rules():
     assert rule.decide(1.0, 0.1) == pytest.approx(0.3)
     rule.position = 0.2
     assert rule.decide(1.0, 0.9) == pytest.approx(0.0)
+
+
+@pytest.mark.parametrize("ret, targets, want", [
+    ([[0, 0], [0, 0], [0, 0], [-1, 0.1], [0.1, 0.1]], {0: [0.5, 0.5]}, [0, 0, -0.45, 0.1]),
+    ([[0], [0], [0.1], [2.0], [0.1]], {0: [-1.0]}, [0, -0.1, -2.444444, -0.122222]),
+    ([[0], [0], [-0.8], [0.1], [0.1]], {0: [2.0]}, [0, -1.6, 0.2, 0.183333]),
+])
+def test_total_loss_and_ruin(spark, ret, targets, want):
+    panel, rate, books = frames(spark, np.array(ret, dtype=float), np.zeros(len(ret)), [("x", "m", targets)])
+    grid = spark.createDataFrame([(1.0, 0.0)], "cost_mult double, borrow_bp double")
+    got = accounting.lagged_returns(panel, rate, books, grid, default_bp=0.0).orderBy("pos").collect()
+    assert [r["net"] for r in got] == pytest.approx(want, abs=1e-6)
+
+
+def test_returns_below_a_total_loss_are_refused(spark):
+    panel, rate, books = frames(spark, np.array([[0.0], [0.0], [-1.2]]), np.zeros(3), [("x", "m", {0: [1.0]})])
+    grid = spark.createDataFrame([(1.0, 0.0)], "cost_mult double, borrow_bp double")
+    with pytest.raises(Exception, match="below -1"):
+        accounting.lagged_returns(panel, rate, books, grid).collect()

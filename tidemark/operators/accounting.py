@@ -22,8 +22,10 @@ Keys = Sequence[str]
 
 
 def levels(panel: DataFrame, rows: int = 4096) -> DataFrame:
-    """Running log return per symbol."""
-    return running_sum(panel, ["symbol"], ["pos"], F.floor(F.col("pos") / rows), {"level": F.log1p(F.col("ret"))})
+    """Running log return per symbol, total losses left out, and how many of those there were; a return below -1 is an error."""
+    ret = F.when(F.col("ret") < -1, F.raise_error(F.lit("a return is below -1")).cast("double")).otherwise(F.col("ret"))
+    return running_sum(panel.withColumn("ret", ret), ["symbol"], ["pos"], F.floor(F.col("pos") / rows), {
+        "level": F.when(F.col("ret") > -1, F.log1p(F.col("ret"))), "losses": (F.col("ret") <= -1).cast("double")})
 
 
 def segments(decisions: DataFrame, last_pos: Column) -> DataFrame:
@@ -40,13 +42,15 @@ def segments(decisions: DataFrame, last_pos: Column) -> DataFrame:
 
 
 def segment_rows(panel: DataFrame, segs: DataFrame) -> DataFrame:
-    """Panel rows per segment with growth since the fill: before (g0) and after (g1) the row's return."""
+    """Panel rows per segment with growth since the fill: before (g0) and after (g1) the row's return; 0 from a total loss on."""
     spread = segs.select("schedule", "seg", "next_seg", "fill", "stop", F.explode(F.sequence("fill", "stop")).alias("pos"))
-    rows = levels(panel).select("symbol", "pos", "ret", "level").join(spread, "pos")
-    start = rows.where(F.col("pos") == F.col("fill")).select("schedule", "seg", "symbol", F.col("level").alias("_l0"))
+    rows = levels(panel).select("symbol", "pos", "ret", "level", "losses").join(spread, "pos")
+    start = rows.where(F.col("pos") == F.col("fill")).select("schedule", "seg", "symbol", F.col("level").alias("_l0"), F.col("losses").alias("_n0"))
+    gone, now = F.col("losses") - F.col("_n0"), (F.col("ret") <= -1).cast("double")
+    own = F.when(F.col("ret") > -1, F.log1p("ret")).otherwise(0.0)
     return (rows.where(F.col("pos") > F.col("fill")).join(start, ["schedule", "seg", "symbol"])
-            .withColumn("g1", F.exp(F.col("level") - F.col("_l0")))
-            .withColumn("g0", F.exp(F.col("level") - F.log1p("ret") - F.col("_l0")))
+            .withColumn("g1", F.when(gone > 0, 0.0).otherwise(F.exp(F.col("level") - F.col("_l0"))))
+            .withColumn("g0", F.when(gone - now > 0, 0.0).otherwise(F.exp(F.col("level") - own - F.col("_l0"))))
             .select("schedule", "seg", "next_seg", "symbol", "pos", "stop", "ret", "g0", "g1"))
 
 
@@ -85,6 +89,25 @@ def _long_path(daily: DataFrame, cash: DataFrame) -> DataFrame:
                              "after": F.col("gross1") + late})
 
 
+def _ruined_path(days: Column, weights: Column, borrow_rate: Column) -> Column:
+    """Like :func:`_value_path`, symbol by symbol: on a day whose growth is not positive neither value nor holdings move."""
+    def total(of: Column, each) -> Column:
+        return F.aggregate(of, F.lit(0.0), lambda a, x: a + each(x))
+
+    def step(acc: Column, d: Column) -> Column:
+        v, h = acc["value"], acc["held"]
+        pnl = total(F.zip_with(h, d["rets"], lambda x, r: x * r), lambda x: x)
+        income = F.greatest(F.lit(0.0), v - total(h, F.abs)) * d["cash"]
+        borrow = total(h, lambda x: F.when(x < 0, -x).otherwise(0.0)) * borrow_rate
+        after = v + pnl + income - borrow
+        held = F.when(after > 0, F.zip_with(h, d["rets"], lambda x, r: x * (1 + r))).otherwise(h)
+        row = F.struct(d["pos"].alias("pos"), v.alias("before"), pnl.alias("pnl"), income.alias("income"), borrow.alias("borrow"),
+                       after.alias("after"), total(held, F.abs).alias("gross1"), held.alias("held"))
+        return F.struct(F.when(after > 0, after).otherwise(v).alias("value"), held.alias("held"), F.array_append(acc["rows"], row).alias("rows"))
+    empty = F.array().cast("array<struct<pos:bigint,before:double,pnl:double,income:double,borrow:double,after:double,gross1:double,held:array<double>>>")
+    return F.aggregate(days, F.struct(F.lit(1.0).alias("value"), weights.alias("held"), empty.alias("rows")), step, lambda acc: acc["rows"])
+
+
 def lagged_returns(panel: DataFrame, cash: DataFrame, targets: DataFrame, costs: DataFrame, cost_bp: DataFrame | None = None,
                    keys: Keys = ("scenario",), default_bp: float = 3.0) -> DataFrame:
     """Daily net return and its parts for many scenarios and cost settings in one job.
@@ -93,7 +116,8 @@ def lagged_returns(panel: DataFrame, cash: DataFrame, targets: DataFrame, costs:
     weight) with every decision present, ``costs`` (cost_mult, borrow_bp), ``cost_bp`` (symbol, bp).  Gross
     profit, idle cash and borrow come from yesterday's weights; a fill's cost is charged on the distance from
     the drifted weights.  Only segments holding shorts are folded day by day: their idle cash depends on the
-    value path.  ``broke`` marks rows whose growth is not positive; weights are not drifted there.
+    value path.  ``broke`` marks rows whose growth is not positive; weights are not drifted there, so segments with such
+    a row are folded again, symbol by symbol; in them every symbol needs a row on every day.  A return of -1 ends a holding until the next fill.
     """
     keys = list(keys)
     bk = [*keys, "cost_mult", "borrow_bp"]
@@ -106,29 +130,48 @@ def lagged_returns(panel: DataFrame, cash: DataFrame, targets: DataFrame, costs:
              .groupBy(*keys, "schedule", "seg", "next_seg", "stop", "pos").agg(
                  F.sum(w * F.col("g0") * F.col("ret")).alias("pnl"), F.sum(F.abs(w) * F.col("g0")).alias("gross0"),
                  F.sum(F.when(w < 0, -w * F.col("g0")).otherwise(0.0)).alias("short0"),
-                 F.sum(F.abs(w) * F.col("g1")).alias("gross1"), F.sum(w).alias("invested")))
-    packed = (daily.where(F.col("short0") > 0).join(cash.select("pos", "cash"), "pos").groupBy(*keys, "schedule", "seg", "next_seg", "stop")
+                 F.sum(F.abs(w) * F.col("g1")).alias("gross1"), F.sum(w).alias("invested"), (F.min(w) < 0).alias("shorts")))
+    packed = (daily.where("shorts").join(cash.select("pos", "cash"), "pos").groupBy(*keys, "schedule", "seg", "next_seg", "stop")
               .agg(F.sort_array(F.collect_list(F.struct("pos", "pnl", "gross0", "short0", "gross1", "cash"))).alias("days")))
     grid = costs.select(F.collect_list(F.struct("cost_mult", "borrow_bp"))).scalar()
     path = (packed.withColumn("_c", F.explode(grid)).select("*", "_c.*")
             .withColumn("_r", F.explode(_value_path(F.col("days"), F.col("borrow_bp") / 10_000 / 252 * F.col("cost_mult"))))
-            .select(*bk, "schedule", "next_seg", "stop", "_r.*"))
-    path = stored(path.unionByName(_long_path(daily.where(F.col("short0") == 0), cash).withColumn("_c", F.explode(grid))
+            .select(*bk, "schedule", "seg", "next_seg", "stop", "_r.*"))
+    path = stored(path.unionByName(_long_path(daily.where("not shorts"), cash).withColumn("_c", F.explode(grid))
                                    .select("*", "_c.*").select(*path.columns)), "value-path")
     # yesterday's book at each fill: holdings grown over the finished segment, per unit of its closing value
     closing = rows.where((F.col("pos") == F.col("stop")) & F.col("next_seg").isNotNull())
     drifted = (wanted.join(closing.select("schedule", "seg", "symbol", "next_seg", "g1"), ["schedule", "seg", "symbol"])
-               .select(*keys, "schedule", F.col("next_seg").alias("seg"), "symbol", (w * F.col("g1")).alias("_h")))
+               .select(*keys, "schedule", "seg", "next_seg", "symbol", (w * F.col("g1")).alias("_h")))
+    ruined = stored(path.where("after <= 0").select(*bk, "schedule", "seg").distinct(), "ruined")
+    by = keys
+    if not ruined.isEmpty():
+        again = (wanted.drop("is_first").join(rows, ["schedule", "seg", "symbol"]).join(ruined, [*keys, "schedule", "seg"])
+                 .groupBy(*bk, "schedule", "seg", "next_seg", "stop", "pos").agg(F.array_sort(F.collect_list(F.struct("symbol", "weight", "ret"))).alias("_x"))
+                 .join(cash.select("pos", "cash"), "pos").groupBy(*bk, "schedule", "seg", "next_seg", "stop")
+                 .agg(F.array_sort(F.collect_list(F.struct("pos", "cash", F.col("_x.ret").alias("rets")))).alias("_days"),
+                      F.min_by("_x.symbol", "pos").alias("_names"), F.min_by("_x.weight", "pos").alias("_weights")))
+        again = stored(again.withColumn("_r", F.explode(_ruined_path(F.col("_days"), F.col("_weights"), F.col("borrow_bp") / 10_000 / 252 * F.col("cost_mult"))))
+                       .select(*bk, "schedule", "seg", "next_seg", "stop", "_names", "_r.*"), "ruined-path")
+        path = path.join(ruined, [*bk, "schedule", "seg"], "left_anti").unionByName(again.select(*path.columns))
+        ends = again.where((F.col("pos") == F.col("stop")) & F.col("next_seg").isNotNull()).select(
+            *bk, "schedule", "seg", "next_seg", F.explode(F.arrays_zip("_names", "held")).alias("_e"))
+        drifted = (drifted.withColumn("_c", F.explode(grid)).select("*", "_c.*").join(ruined, [*bk, "schedule", "seg"], "left_anti").drop("_c")
+                   .unionByName(ends.select(*bk, "schedule", "seg", "next_seg", F.col("_e._names").alias("symbol"), F.col("_e.held").alias("_h"))))
+        wanted = wanted.withColumn("_c", F.explode(grid)).select("*", "_c.*").drop("_c")
+        by = bk
+    drifted = drifted.drop("seg").withColumnRenamed("next_seg", "seg")
+    kept = F.when(F.col("after") > 0, F.col("after")).otherwise(F.col("before"))
     worth = (path.where((F.col("pos") == F.col("stop")) & F.col("next_seg").isNotNull())
-             .select(*bk, "schedule", F.col("next_seg").alias("seg"), F.col("after").alias("_end"), F.lit(False).alias("is_first")))
+             .select(*bk, "schedule", F.col("next_seg").alias("seg"), kept.alias("_end"), F.lit(False).alias("is_first")))
     opening = (wanted.where("is_first").select(*keys, "schedule", "seg").distinct().withColumn("_c", F.explode(grid))
                .select(*keys, "_c.*", "schedule", "seg", F.lit(1.0).alias("_end"), F.lit(True).alias("is_first")))
-    moves = wanted.drop("is_first").join(drifted, [*keys, "schedule", "seg", "symbol"], "full")
+    moves = wanted.drop("is_first").join(drifted, [*by, "schedule", "seg", "symbol"], "full")
     bp = F.lit(default_bp)
     if cost_bp is not None:
         moves, bp = moves.join(cost_bp, "symbol", "left"), F.coalesce(F.col("bp"), F.lit(default_bp))
     delta = F.coalesce("weight", F.lit(0.0)) - F.coalesce("_h", F.lit(0.0)) / F.col("_end")
-    trades = (moves.join(worth.unionByName(opening), [*keys, "schedule", "seg"]).groupBy(*bk, "seg", "is_first")
+    trades = (moves.join(worth.unionByName(opening), [*by, "schedule", "seg"]).groupBy(*bk, "seg", "is_first")
               .agg((F.sum(F.abs(delta) * bp) / 10_000 * F.max("cost_mult")).alias("trade_cost"),
                    F.sum(F.abs(delta)).alias("turnover"))
               .withColumn("pos", F.col("seg") + 1).drop("seg"))
@@ -137,7 +180,7 @@ def lagged_returns(panel: DataFrame, cash: DataFrame, targets: DataFrame, costs:
                        (F.col("income") / F.col("before")).alias("cash_pnl"),
                        (F.col("borrow") / F.col("before")).alias("borrow_cost"),
                        (F.col("after") / F.col("before")).alias("growth"),
-                       (F.col("gross1") / F.when(F.col("after") > 0, F.col("after"))).alias("gross_exposure"), "before")
+                       (F.col("gross1") / kept).alias("gross_exposure"), "before")
     head = (trades.where("is_first").join(cash.select("pos", "cash"), "pos")
             .select(*bk, "pos", zero.alias("gross_pnl"), F.col("cash").alias("cash_pnl"), zero.alias("borrow_cost"),
                     (1 + F.col("cash")).alias("growth"), zero.alias("gross_exposure"), F.lit(1.0).alias("before")))

@@ -95,11 +95,11 @@ pr AS (SELECT scenario, d, stddev_samp(x) * sqrt(252.0) AS risk FROM (SELECT b.s
 tg AS (SELECT b.scenario, b.d, b.symbol, b.base * CASE WHEN risk > 0 THEN least(1, 0.10 / risk) ELSE 1 END AS weight FROM bw b LEFT JOIN pr USING (scenario, d))"""
 
 
-def loop_sql(costs, ladder_alias="cg", targets="tg", first="(SELECT min(d) FROM tg)", keys="scenario", bp="CASE WHEN symbol < 'NF' THEN 1.5 ELSE 3.0 END") -> str:
+def loop_sql(costs, ladder_alias="cg", targets="tg", first="(SELECT min(d) FROM tg)", keys="scenario", panel="r", bp="CASE WHEN symbol < 'NF' THEN 1.5 ELSE 3.0 END") -> str:
     """The accounting loop row by row, weights as lists over the sorted symbols."""
     grid = ", ".join(f"({m}::DOUBLE, {b}::DOUBLE)" for m, b in costs)
-    return f"""dl AS (SELECT pos, list(ret ORDER BY symbol) AS rs, max(cash) AS cash FROM r JOIN ck USING (pos) GROUP BY 1),
-bpl AS (SELECT list({bp} ORDER BY symbol) AS bps, list(0.0::DOUBLE ORDER BY symbol) AS zs FROM (SELECT DISTINCT symbol FROM r)),
+    return f"""dl AS (SELECT pos, list(ret ORDER BY symbol) AS rs, max(cash) AS cash FROM {panel} JOIN ck USING (pos) GROUP BY 1),
+bpl AS (SELECT list({bp} ORDER BY symbol) AS bps, list(0.0::DOUBLE ORDER BY symbol) AS zs FROM (SELECT DISTINCT symbol FROM {panel})),
 tl AS (SELECT {keys}, d + 1 AS fpos, list(weight ORDER BY symbol) AS tw FROM {targets} GROUP BY {keys}, d),
 {ladder_alias} AS (SELECT * FROM (VALUES {grid}) v(cost_mult, borrow_bp)),
 lp AS (SELECT {keys}, cost_mult, borrow_bp, min(fpos) - 1 AS pos, any_value(zs) AS w, 0.0::DOUBLE AS gross_pnl, 0.0::DOUBLE AS cash_pnl, 0.0::DOUBLE AS borrow_cost, 0.0::DOUBLE AS trade_cost, 0.0::DOUBLE AS turnover, 0.0::DOUBLE AS ge
@@ -108,7 +108,7 @@ lp AS (SELECT {keys}, cost_mult, borrow_bp, min(fpos) - 1 AS pos, any_value(zs)
  SELECT {keys}, cost_mult, borrow_bp, pos, CASE WHEN tw IS NULL THEN dw ELSE tw END, gp, cp, bc,
   CASE WHEN tw IS NULL THEN 0.0 ELSE list_sum(list_transform(range(1, len(dw) + 1), lambda i: abs(tw[i] - dw[i]) * bps[i])) / 1e4 * cost_mult END,
   CASE WHEN tw IS NULL THEN 0.0 ELSE list_sum(list_transform(range(1, len(dw) + 1), lambda i: abs(tw[i] - dw[i]))) END, list_sum(list_transform(dw, lambda x: abs(x)))
- FROM (SELECT *, list_transform(range(1, len(w) + 1), lambda i: w[i] * (1 + rs[i]) / (1 + gp + cp - bc)) AS dw
+ FROM (SELECT *, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN 1 + gp + cp - bc > 0 THEN w[i] * (1 + rs[i]) / (1 + gp + cp - bc) ELSE w[i] END) AS dw
   FROM (SELECT {", ".join("lp." + k.strip() for k in keys.split(","))}, lp.cost_mult, lp.borrow_bp, dl.pos, lp.w, dl.rs, tl.tw, bpl.bps, list_dot_product(lp.w, dl.rs) AS gp,
    greatest(0, 1 - list_sum(list_transform(lp.w, lambda x: abs(x)))) * dl.cash AS cp, list_sum(list_transform(lp.w, lambda x: CASE WHEN x < 0 THEN -x ELSE 0 END)) * lp.borrow_bp / 1e4 / 252 * lp.cost_mult AS bc
    FROM lp JOIN dl ON dl.pos = lp.pos + 1 LEFT JOIN tl ON tl.fpos = dl.pos AND {" AND ".join(f"tl.{k.strip()} = lp.{k.strip()}" for k in keys.split(","))}, bpl))),
@@ -133,6 +133,19 @@ def trend_backtest_summary(spark, folder):
     return statistics.annualised(daily(spark, folder), weekly_cash(spark, folder), ["scenario", "cost_mult"])
 
 
+@query("total_loss_book", "B1", "scenario:s cost_mult:d ts:t gross_pnl:d cash_pnl:d borrow_cost:d trade_cost:d turnover:d net:d", f"""
+WITH RECURSIVE {SIGNALS_SQL}, rl AS (SELECT symbol, ts, pos, CASE WHEN (pos + ascii(symbol[2:2])) % 41 = 0 THEN -1.0 ELSE greatest(ret * 20, -0.95) END AS ret FROM r),
+tgl AS (SELECT scenario, d, symbol, weight * 3 AS weight FROM tg), {loop_sql(LADDER, targets='tgl', panel='rl')} SELECT * FROM bk""")
+def total_loss_book(spark, folder):
+    """A leveraged book on a panel where symbols are wiped out now and then and the whole book is ruined on some days."""
+    r = returns_panel(spark, folder)
+    lost = (F.col("pos") + F.ascii(F.substring("symbol", 2, 1))) % 41 == 0
+    harsh = r.withColumn("ret", F.when(lost, -1.0).otherwise(F.greatest(F.col("ret") * 20, F.lit(-0.95))))
+    wide = targets(spark, folder).withColumn("weight", F.col("weight") * 3)
+    out = accounting.lagged_returns(harsh, weekly_cash(spark, folder), wide, cost_grid(spark), symbol_bp(r))
+    return out.join(panels.calendar(spark, folder, "week"), "pos")
+
+
 @query("book_totals", "A15", "scenario:s cost_mult:d total_turnover:d n_rebalances:i max_daily_gross:d trade_cost_sum:d borrow_cost_sum:d", f"""
 WITH RECURSIVE {SIGNALS_SQL}, {loop_sql(LADDER)} SELECT scenario, cost_mult, sum(turnover) AS total_turnover, count(*) FILTER (turnover > 0) AS n_rebalances, max(ge) AS max_daily_gross,
  sum(trade_cost) AS trade_cost_sum, sum(borrow_cost) AS borrow_cost_sum FROM bk GROUP BY 1, 2""")
