@@ -103,6 +103,37 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     return out.drop("_bucket", *[f"_v_{n}" for n in names], *[f"_c_{n}" for n in names])
 
 
+def state_after(df: DataFrame, keys: Sequence[str], flags: str, states: int, step: Callable[[Column, Column], Column],
+                out: str, pos: str = "pos", rows: int = 2048) -> DataFrame:
+    """The state of a small machine after each row; it starts in state 0 and ``step(state, flags)`` gives the next.
+
+    A block of rows is a map from entry state to exit state.  Blocks are mapped in parallel, one map per block meets in a
+    per-key chain, and each block is replayed from its true entry state.
+    """
+    block = F.floor(F.col(pos) / rows)
+    packed = (df.select(*keys, F.col(pos).alias("_pos"), F.col(flags).alias("_flags"), block.alias("_block")).groupBy(*keys, "_block")
+              .agg(F.array_sort(F.collect_list(F.struct("_pos", "_flags"))).alias("_rows")))
+    start = F.array(*[F.lit(s) for s in range(states)])
+    mapped = packed.select(*keys, "_block", F.aggregate(
+        "_rows", start, lambda m, r: F.transform(m, lambda s: step(s, r["_flags"]))).alias("_exit"))
+    entries = F.array().cast("array<struct<block:bigint,state:int>>")
+    chain = (mapped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_exit"))).alias("_maps"))
+             .select(*keys, F.explode(F.aggregate(
+                 "_maps", F.struct(F.lit(0).alias("s"), entries.alias("out")),
+                 lambda a, b: F.struct(F.element_at(b["_exit"], a["s"] + 1).alias("s"), F.array_append(a["out"], F.struct(
+                     b["_block"].alias("block"), a["s"].alias("state"))).alias("out")), lambda a: a["out"])).alias("_e"))
+             .select(*keys, F.col("_e.block").alias("_block"), F.col("_e.state").alias("_entry")))
+    seen = F.array().cast(f"array<struct<{pos}:bigint,{out}:int>>")
+
+    def replay(a: Column, r: Column) -> Column:
+        new = step(a["s"], r["_flags"])
+        return F.struct(new.alias("s"), F.array_append(a["out"], F.struct(r["_pos"].alias(pos), new.alias(out))).alias("out"))
+
+    known = (packed.join(chain, [*keys, "_block"]).select(*keys, F.explode(F.aggregate(
+        "_rows", F.struct(F.col("_entry").alias("s"), seen.alias("out")), replay, lambda a: a["out"])).alias("_e")).select(*keys, "_e.*"))
+    return df.join(known, [*keys, pos])
+
+
 def lag(col: str | Column, n: int, window: WindowSpec) -> Column:
     return F.lag(col, n).over(window)
 

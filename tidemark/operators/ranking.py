@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
-from .blocks import BLOCK_ROWS, carried_last, correlation, in_blocks
+from .blocks import BLOCK_ROWS, correlation, in_blocks, state_after
 from .rolling import per_symbol
 
 
@@ -100,8 +100,8 @@ def hysteresis_sides(ranked: DataFrame, n_long: int, n_short: int, zone: int,
     """Sides with entry in the strict top/bottom and exit on leaving the wider zone.
 
     Input has ``edge``, ``pos`` and ``universe_pos`` (ties keep universe order), all symbols present at
-    each ``pos``.  With ``2 * zone <= universe`` long and short zones are disjoint, so each side is a
-    set/hold/reset latch: the last row that either enters or leaves decides.
+    each ``pos``.  Per symbol this is a machine with the states none, long and short.  Where the zones overlap both sides may be
+    due: a held long then stays long, and otherwise the short is taken.  ``zone_overlap`` marks rows of such a universe.
     """
     if zone < n_long or zone < n_short:
         raise ValueError("zone must cover both entry counts")
@@ -109,14 +109,18 @@ def hysteresis_sides(ranked: DataFrame, n_long: int, n_short: int, zone: int,
     place = F.row_number().over(section.orderBy(F.col("edge").desc(), "universe_pos"))
     df = ranked.withColumn("place", place).withColumn("_n", F.count(F.lit(1)).over(section))
     low = F.col("_n") - F.col("place") + 1
-    df = (df.withColumn("zone_overlap", F.col("_n") < 2 * zone)
-          .withColumn("_le", F.when(F.col("place") <= n_long, 1).when(F.col("place") > zone, 0))
-          .withColumn("_se", F.when(low <= n_short, 1).when(low > zone, 0)))
-    bucket = F.floor(F.col("pos") / rows)
-    for event, out in (("_le", "is_long"), ("_se", "is_short")):
-        df = carried_last(df, [*keys, "symbol"], ["pos"], bucket, F.col(event), out)
-    return (df.withColumn("side", F.coalesce("is_long", F.lit(0)) - F.coalesce("is_short", F.lit(0)))
-            .drop("_n", "_le", "_se", "is_long", "is_short"))
+    flags = ((F.col("place") <= n_long).cast("int") + 2 * (F.col("place") <= zone).cast("int")
+             + 4 * (low <= n_short).cast("int") + 8 * (low <= zone).cast("int"))
+
+    def step(state: Column, found: Column) -> Column:
+        has = lambda bit: found.bitwiseAND(bit) != 0
+        long, short = has(1) | (state == 1) & has(2), has(4) | (state == 2) & has(8)
+        return F.when(long & (~short | (state == 1)), 1).when(short, 2).otherwise(0)
+
+    df = df.withColumn("zone_overlap", F.col("_n") < 2 * zone).withColumn("_flags", flags)
+    df = state_after(df, [*keys, "symbol"], "_flags", 3, step, "_state", rows=min(rows, 2048))
+    side = F.when(F.col("_state") == 1, 1).when(F.col("_state") == 2, -1).otherwise(0)
+    return df.withColumn("side", side).drop("_n", "_flags", "_state")
 
 
 def neutral_weights(sides: DataFrame, gross: float = 1.0, section: Sequence[str] = ("pos",)) -> DataFrame:

@@ -127,11 +127,11 @@ sd AS (SELECT *, coalesce(last_value(le IGNORE NULLS) OVER {W}, 0) - coalesce(la
 nw AS (SELECT *, CASE WHEN side <> 0 THEN side * 0.5 / count(*) OVER (PARTITION BY pos, side) ELSE 0.0 END AS weight FROM sd)"""
 
 
-def hysteresis(spark, folder):
+def hysteresis(spark, folder, zone=2):
     f = panels.forecasts(spark, folder)
     edges = f.select("symbol", "ts", "pos", (F.col("mu") / (F.col("sigma") * F.col("sigma") + 1e-6)).alias("edge"),
                      F.col("symbol").alias("universe_pos"))
-    return ranking.neutral_weights(ranking.hysteresis_sides(edges, 1, 1, 2))
+    return ranking.neutral_weights(ranking.hysteresis_sides(edges, 1, 1, zone))
 
 
 @query("hysteresis_selection", "X8 X7", "symbol:s ts:t place:i side:i weight:d", f"WITH {HYST_SQL} SELECT * FROM nw")
@@ -139,6 +139,20 @@ def hysteresis_selection(spark, folder):
     return hysteresis(spark, folder)
 
 
+@query("hysteresis_overlapping_zones", "X8 X7", "symbol:s ts:t place:i side:i weight:d zone_overlap:b", f"""
+WITH RECURSIVE {panels.FORECASTS}, ed AS (SELECT symbol, ts, pos, mu / (sigma * sigma + 1e-6) AS edge FROM fc),
+pl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY edge DESC, symbol) AS place, count(*) OVER (PARTITION BY pos) AS n,
+ row_number() OVER (PARTITION BY symbol ORDER BY pos) AS nth FROM ed),
+st AS (SELECT symbol, 0::BIGINT AS nth, 0 AS side FROM (SELECT DISTINCT symbol FROM pl) UNION ALL
+ SELECT symbol, nth, CASE WHEN lg AND (NOT sh OR was = 1) THEN 1 WHEN sh THEN -1 ELSE 0 END FROM (
+  SELECT st.symbol, pl.nth, st.side AS was, place <= 1 OR st.side = 1 AND place <= 4 AS lg, n - place < 1 OR st.side = -1 AND n - place < 4 AS sh
+  FROM st JOIN pl ON pl.symbol = st.symbol AND pl.nth = st.nth + 1))
+SELECT symbol, ts, place, side, CASE WHEN side <> 0 THEN side * 0.5 / count(*) OVER (PARTITION BY pos, side) ELSE 0.0 END AS weight, n < 8 AS zone_overlap
+FROM pl JOIN st USING (symbol, nth)""")
+def hysteresis_overlapping_zones(spark, folder):
+    return hysteresis(spark, folder, 4)
+
+
 @query("net_exposure", "A30", "mean_abs_net:d max_abs_net:d bars:i", f"""
 WITH {HYST_SQL}, x AS (SELECT pos, abs(sum(CASE WHEN symbol <> 'view' THEN weight ELSE 0 END)) AS a FROM nw GROUP BY 1)
 SELECT avg(a) AS mean_abs_net, max(a) AS max_abs_net, count(*) AS bars FROM x""")
