@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -212,7 +213,9 @@ def variance_grid(returns: DataFrame, alphas: Sequence[float], betas: Sequence[f
     The recursion is linear in r^2, so var is omega (1 - beta^t)/(1 - beta) + beta^t v0 plus alpha times a
     decayed sum of past r^2: one blocked window per beta, then a plain expression per alpha.
     """
-    history = 1300
+    if not 0 < min(betas) <= max(betas) < 1:
+        raise ValueError("betas lie between 0 and 1")
+    history = math.ceil(math.log(1e-16) / math.log(max(betas)))
     target = returns.groupBy("symbol").agg(F.avg(F.col("ret") * F.col("ret")).alias("v0"))
     spread = returns.select("symbol", "pos", "ret").withColumn("beta", F.explode(F.array(*[F.lit(float(b)) for b in betas])))
 

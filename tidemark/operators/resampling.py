@@ -49,19 +49,20 @@ def stationary_draws(replicates: DataFrame, block_lens: Sequence[float], seed: i
     """(n, b, salt, which, picks): the resampled indices of replicate b for the block length ``which``.
 
     A step restarts at a uniform index with probability 1/block length, else moves to the successor with
-    wrap-around; the current run is the latest restart at or before the step.
+    wrap-around.  The walk of a replicate is folded inside its row.
     """
     lens = F.array(*[F.lit(float(x)) for x in block_lens])
-    steps = (replicates.withColumn("i", F.explode(_rows(F.col("n"))))
-             .withColumn("_d", digest(F.lit(seed), F.col("b"), F.col("i")))
-             .withColumn("which", F.explode(F.sequence(F.lit(0), F.lit(len(block_lens) - 1)))))
-    restart = (F.col("i") == 0) | (unit_draw(F.col("_d"), 0) < 1 / lens[F.col("which")])
-    run = Window.partitionBy("n", "b", "which").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    # one whole number carries the latest restart: its row and its start index
-    begun = F.max(F.when(restart, F.col("i") * F.col("n") + F.floor(unit_draw(F.col("_d"), 1) * F.col("n")))).over(run)
-    drawn = steps.withColumn("_run", begun).withColumn(
-        "pick", (F.col("_run") % F.col("n") + F.col("i") - F.floor(F.col("_run") / F.col("n"))) % F.col("n"))
-    return drawn.groupBy("n", "b", "which", "salt").agg(F.collect_list(F.col("pick").cast("int")).alias("picks"))
+    n = F.col("n")
+    drawn = replicates.withColumn("_d", F.transform(_rows(n), lambda i: digest(F.lit(seed), F.col("b"), i))).withColumn(
+        "which", F.explode(F.sequence(F.lit(0), F.lit(len(block_lens) - 1))))
+
+    def step(a: Column, d: Column) -> Column:
+        restart = (F.size(a["picks"]) == 0) | (unit_draw(d, 0) < 1 / lens[F.col("which")])
+        pick = F.when(restart, F.floor(unit_draw(d, 1) * n)).otherwise((a["at"] + 1) % n).cast("int")
+        return F.struct(pick.alias("at"), F.array_append(a["picks"], pick).alias("picks"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("picks"))
+    return drawn.select("n", "b", "which", "salt", F.aggregate("_d", start, step, lambda a: a["picks"]).alias("picks"))
 
 
 def _total(picks: str, values: str) -> Column:

@@ -205,7 +205,7 @@ def holdout_restart(spark, folder):
     return d.join(panels.calendar(spark, folder, "week"), "pos")
 
 
-N_BOOT, SEED = 300, 11
+N_BOOT, SEED = 10_000, 11
 
 
 def screening(spark, folder, unit="week", n_boot=N_BOOT, seed=SEED, keys=()):
@@ -265,8 +265,7 @@ def trend_screening(spark, folder):
 
 
 LOO_SQL = f"""{SIGNALS_SQL.rsplit('rw AS', 1)[0]} exq AS (SELECT 'loo_' || symbol AS exclude_id, symbol FROM SLEEVES UNION ALL SELECT 'loo_sleeve_' || sleeve, symbol FROM SLEEVES),
-sx AS (SELECT sm.scenario || '#' || i.exclude_id AS scenario, sm.d, sm.symbol, signal, vol FROM sm, (SELECT DISTINCT exclude_id FROM exq) i WHERE sm.scenario IN ('combo_long_flat', 'matched_long')
- AND NOT EXISTS (SELECT 1 FROM exq e WHERE e.exclude_id = i.exclude_id AND e.symbol = sm.symbol)),
+sx AS (SELECT sm.scenario || '#' || i.exclude_id AS scenario, sm.d, sm.symbol, signal, vol FROM sm, (SELECT DISTINCT exclude_id FROM exq) i WHERE NOT EXISTS (SELECT 1 FROM exq e WHERE e.exclude_id = i.exclude_id AND e.symbol = sm.symbol)),
 rw AS (SELECT *, coalesce(CASE WHEN vol > 0 THEN signal / vol END, 0) AS raw FROM sx),
 bw AS (SELECT *, CASE WHEN sum(abs(raw)) OVER g > 0 THEN raw / sum(abs(raw)) OVER g ELSE 0 END AS base FROM rw WINDOW g AS (PARTITION BY scenario, d)),
 pr AS (SELECT scenario, d, stddev_samp(x) * sqrt(252.0) AS risk FROM (SELECT b.scenario, b.d, r.pos, sum(b.base * r.ret) AS x FROM bw b JOIN r ON r.symbol = b.symbol AND r.pos BETWEEN b.d - {TRAIL - 1} AND b.d WHERE base <> 0 GROUP BY 1, 2, 3) GROUP BY 1, 2),
@@ -283,8 +282,9 @@ def _loo_sql() -> str:
 WITH RECURSIVE {_loo_sql()}, {loop_sql(LADDER[:1])}, mo AS (SELECT split_part(scenario, '#', 1) AS s, split_part(scenario, '#', 2) AS e, date_trunc('month', ts) AS month, sum(ln(1 + net)) AS l FROM bk GROUP BY 1, 2, 3)
 SELECT a.s AS scenario, a.e AS exclude_id, exp(sum(a.l - b.l)) - 1 AS excess FROM mo a JOIN mo b ON a.e = b.e AND a.month = b.month AND a.s <> 'matched_long' AND b.s = 'matched_long' GROUP BY 1, 2""")
 def leave_one_out_excess(spark, folder):
-    only = spark.range(1).select(F.lit("combo_long_flat").alias("scenario"))
-    return leave_one_out(spark, signals(spark, folder), returns_panel(spark, folder), weekly_cash(spark, folder), only)
+    every = signals(spark, folder)
+    return leave_one_out(spark, every, returns_panel(spark, folder), weekly_cash(spark, folder),
+                         every.where("scenario <> 'matched_long'").select("scenario").distinct())
 
 
 @query("screening_candidate", "X14 A16", "candidate:s", f"""
@@ -312,10 +312,10 @@ def nav_targets(spark, folder):
 
 NAV_SQL = f"""{SIGNALS_SQL}, nv AS (SELECT symbol, pos, CASE WHEN count(ret) OVER {c.frame(13)} = 13 THEN greatest(stddev_samp(ret) OVER {c.frame(13)}, 1e-6) END AS vol FROM r),
 nt AS (SELECT 'hold' || h AS scenario, nv.symbol, nv.pos AS d, CASE WHEN mom26 > 0 THEN 1 / vol / sum(1 / vol) OVER (PARTITION BY h, nv.pos) ELSE 0 END AS weight FROM nv JOIN sg1 USING (symbol, pos), (VALUES (1), (4)) v(h) WHERE nv.pos >= 60 AND (nv.pos - 60) % h = 0),
-dl AS (SELECT pos, list(ret ORDER BY symbol) AS rs, max(cash) AS cash FROM r JOIN ck USING (pos) WHERE pos >= 50 GROUP BY 1),
+dl AS (SELECT pos, list(ret ORDER BY symbol) AS rs, max(cash) AS cash FROM r JOIN ck USING (pos) GROUP BY 1),
 tl AS (SELECT scenario, d + 1 AS fpos, list(weight ORDER BY symbol) AS tw FROM nt GROUP BY scenario, d),
 zz AS (SELECT list(0.0::DOUBLE ORDER BY symbol) AS zs FROM (SELECT DISTINCT symbol FROM r)),
-lp AS (SELECT scenario, bp, 49::BIGINT AS pos, zs AS w, 0.0::DOUBLE AS growth, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS turnover, 0.0::DOUBLE AS gross FROM (SELECT DISTINCT scenario FROM tl), (VALUES (3.0::DOUBLE), (15.0::DOUBLE)) v(bp), zz
+lp AS (SELECT scenario, bp, 0::BIGINT AS pos, zs AS w, 0.0::DOUBLE AS growth, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS turnover, 0.0::DOUBLE AS gross FROM (SELECT DISTINCT scenario FROM tl), (VALUES (3.0::DOUBLE), (15.0::DOUBLE)) v(bp), zz
  UNION ALL SELECT scenario, bp, pos, CASE WHEN tw IS NULL THEN list_transform(h, lambda x: x / g) ELSE tw END, g, f5, CASE WHEN tw IS NULL THEN 0.0 ELSE f5 / bp * 1e4 END,
   CASE WHEN tw IS NULL THEN list_sum(h) / g ELSE list_sum(tw) END FROM (SELECT *, {{F5}} FROM (SELECT *, list_sum(h) + cv AS g FROM
   (SELECT lp.scenario, lp.bp, dl.pos, tl.tw, list_transform(range(1, len(lp.w) + 1), lambda i: lp.w[i] * (1 + dl.rs[i])) AS h, greatest(0, 1 - list_sum(lp.w)) * (1 + dl.cash) AS cv
@@ -335,10 +335,11 @@ def _nav_sql() -> str:
 
 
 @query("self_financing_value", "B2 M7 P7", "scenario:s cost_bp:d ts:t net:d cost:d turnover:d gross:d", f"""
-WITH RECURSIVE {_nav_sql()} SELECT scenario, bp AS cost_bp, ts, growth - cost - 1 AS net, cost, turnover, gross FROM lp JOIN p_cal USING (pos) WHERE pos >= 50""")
+WITH RECURSIVE {_nav_sql()} SELECT scenario, bp AS cost_bp, ts, growth - cost - 1 AS net, cost, turnover, gross FROM lp JOIN p_cal USING (pos) WHERE pos > 0""")
 def self_financing_value(spark, folder):
-    r = returns_panel(spark, folder).where(F.col("pos") >= 50).withColumn("pos", F.col("pos") - 50)
-    cash = weekly_cash(spark, folder).where(F.col("pos") >= 50).withColumn("pos", F.col("pos") - 50)
-    t = nav_targets(spark, folder).withColumn("decision_pos", F.col("decision_pos") - 50)
-    out = accounting.self_financing(r, cash, t, (3.0, 15.0))
+    # the first calendar row has no return: rows are numbered from the first return on
+    back = F.col("pos") - 1
+    cash = weekly_cash(spark, folder).where("pos > 0").withColumn("pos", back)
+    t = nav_targets(spark, folder).withColumn("decision_pos", F.col("decision_pos") - 1)
+    out = accounting.self_financing(returns_panel(spark, folder).withColumn("pos", back), cash, t, (3.0, 15.0))
     return out.join(cash.select("pos", "ts"), "pos")

@@ -11,15 +11,15 @@ from . import panels
 from .registry import query
 
 W = c.W
-DIGEST_COLUMNS = ["symbol", "us", "milli"]
+DIGEST_COLUMNS = ["symbol", "us", "nano"]
 
 
 def _digestible(panel):
-    return panel.withColumn("us", blocks.micros("ts")).withColumn("milli", F.floor(F.col("price") * 1000).cast("long"))
+    return panel.withColumn("us", blocks.micros("ts")).withColumn("nano", F.floor(F.col("price") * 1e9).cast("long"))
 
 
 DIGEST_SQL = f"""{c.flag('week')}, h AS (SELECT symbol, ts, CAST(CAST('0x' || substr(md5(symbol || '|' || CAST(epoch_us(ts) AS VARCHAR) || '|' ||
- CAST(CAST(floor(price * 1000) AS BIGINT) AS VARCHAR)), 1, 12) AS UBIGINT) AS BIGINT) AS d FROM panel),
+ CAST(CAST(floor(price * 1e9) AS BIGINT) AS VARCHAR)), 1, 12) AS UBIGINT) AS BIGINT) AS d FROM panel),
 f AS (SELECT symbol, count(*) AS rows, sum(d) AS digest_sum, bit_xor(d) AS digest_xor, min(ts) AS first_ts, max(ts) AS last_ts FROM h GROUP BY 1)"""
 
 

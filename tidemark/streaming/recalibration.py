@@ -22,14 +22,17 @@ def recalibrated_k(matured: DataFrame, rows: int = 256) -> DataFrame:
     """
     spark = matured.sparkSession
     path = scratch(spark, "recalibration")
+    done: list[str] = []
 
     def each(batch: DataFrame, batch_id: int) -> None:
         seen = batch.select("symbol", "pos", "mu", "sigma")
-        if batch_id > 0:
-            seen = seen.unionByName(spark.read.parquet(f"{path}/tail/{batch_id - 1}"))
-        newest(seen, rows).write.mode("overwrite").parquet(f"{path}/tail/{batch_id}")
-        tail = spark.read.parquet(f"{path}/tail/{batch_id}")
+        if done:
+            seen = seen.unionByName(spark.read.parquet(done[-1]))
+        here = f"{path}/tail/{batch_id}"
+        newest(seen, rows).write.mode("overwrite").parquet(here)
+        tail = spark.read.parquet(here)
         calibrate_k(tail).write.mode("overwrite").parquet(f"{path}/k/batch={batch_id}")
+        done.append(here)
 
     query = (matured.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint")
              .trigger(availableNow=True).start())
