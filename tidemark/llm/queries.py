@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import scratch, stored
 from . import extraction, forest, grammar, linefilter, lookup, oracles, packing, suffixes, templates, toxicity, warc
 from .common import table
 
@@ -75,7 +75,7 @@ def op10_block_labeller(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
     found = forest.near_duplicates(table(spark, folder, "documents"))
-    named = found.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
+    named = stored(found.groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "class-names")
     return found.join(named, "class_key").select("doc_id", "class_id", "n_links")
 
 
