@@ -32,6 +32,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def smallest_hashes(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
+    """About the ``n`` rows of ``total`` with the smallest hashes of their keys; what a task passes on does not grow with the table."""
+    hashed = F.xxhash64(*keys)
+    share = min(1.0, 4.0 * n / max(1, total))
+    near = df.where(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else df
+    return near.orderBy(F.pmod(hashed, F.lit(1 << 30)), *keys).limit(n)
+
+
 def spans(lengths: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges whose lengths add up to about ``limit``; one longer row is a range of its own."""
     start, total = 0, 0

@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_chunk
+from .common import per_chunk, smallest_hashes
 
 TRAINING_PAGES = 160
 LAYOUTS_PER_PAGE = 6
+LONGEST_TRAINING_PAGE = 40_000
 PATH_BUCKETS, WORD_BUCKETS = 1024, 1024
 PATH_WIDTH, WORD_WIDTH, MEASURES, HIDDEN = 16, 8, 6, 24
 
@@ -386,10 +387,14 @@ def fit(pages: list[str], layouts: int = LAYOUTS_PER_PAGE, epochs: int = 6, batc
 
 
 def train(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> Labeller:
-    """Fit on the ``training_pages`` pages with the smallest hash of their id; NULL html is left out."""
-    order = F.xxhash64("page_id")
-    sample = pages.where(F.col("html").isNotNull() & (F.length("html") <= 40_000)).select("page_id", "html").orderBy(order, "page_id").limit(training_pages)
-    return fit([r["html"] for r in sample.collect()])
+    """Fit on at most ``training_pages`` pages, those with the smallest hashes of their id.
+
+    NULL ids and html and pages of more than ``LONGEST_TRAINING_PAGE`` characters are left out of the training.
+    """
+    known = pages.select("page_id", "html").where(F.col("page_id").isNotNull() & F.col("html").isNotNull())
+    chosen = smallest_hashes(known.select("page_id"), training_pages, known.count(), "page_id").distinct()
+    sample = known.join(F.broadcast(chosen), "page_id").where(F.length("html") <= LONGEST_TRAINING_PAGE)
+    return fit([r["html"] for r in sample.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(training_pages).collect()])
 
 
 def extract(pages: DataFrame, model: Labeller, threshold: float = 0.5) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, per_chunk, ragged, text_rows
+from .common import distinct, per_chunk, ragged, smallest_hashes, text_rows
 
 BITS = 20
 ORDERS = (4, 6)
@@ -126,8 +126,7 @@ def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS,
     kept = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
             .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label")))
     total = {r["label"]: r["n"] for r in kept.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.xxhash64("doc_id")
-    parts = [kept.where(F.col("label") == label).orderBy(order, "doc_id").limit(rows) for label, rows in ((1, toxic_rows), (0, other_rows))]
+    parts = [smallest_hashes(kept.where(F.col("label") == label), rows, total.get(label, 0), "doc_id") for label, rows in ((1, toxic_rows), (0, other_rows))]
     chosen = parts[0].unionByName(parts[1])
     rows = text_rows(documents, "doc_id").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
 
