@@ -138,12 +138,12 @@ def year_driver_ok(years: DataFrame, keys: Keys = SCENARIO) -> DataFrame:
         F.product(F.when(F.col("_r") > 1, 1 + F.col("excess"))) > 1, F.lit(False)).alias("years_ok"))
 
 
-def screening_gates(facts: DataFrame, dd_cap: float = 0.15, floor: float = 0.02) -> DataFrame:
+def screening_gates(facts: DataFrame, dd_cap: float = 0.15, floor: float = 0.02, least_excess: float = 0.0) -> DataFrame:
     """Gates A-D from one row per variant.
 
     Needs ``ann_lower_95, dd_base, dd_stress, cagr_stress, years_ok, loo_ok``.
     """
-    a = F.col("ann_lower_95") > 0
+    a = F.col("ann_lower_95") > least_excess
     b = (F.abs("dd_base") <= dd_cap) & (F.abs("dd_stress") <= dd_cap)
     c = F.col("cagr_stress") >= floor
     out = facts.withColumns({"gate_a": a, "gate_b": b, "gate_c": c, "passed_abc": a & b & c})
