@@ -71,17 +71,20 @@ def cash_rate(calendar: DataFrame, cash: DataFrame, causal: bool) -> DataFrame:
 def news_window(bars: DataFrame, news: DataFrame, minutes: int = 240) -> DataFrame:
     """log1p(count) and mean score of the news in (t - minutes, t] per bar.
 
-    Buckets are one window long; each article is copied into its own and the next bucket.
+    Articles of one symbol and moment are summed before anything else.  Buckets are one window long; each sum is copied into its
+    own and the next bucket.
     """
     width = minutes * 60_000_000
-    n = news.select("symbol", micros("created_at").alias("_us"), F.lit(0).alias("_side"), F.col("score").alias("_score"))
+    n = (news.groupBy("symbol", micros("created_at").alias("_us")).agg(F.sum("score").alias("_score"), F.count("score").alias("_articles"))
+         .withColumn("_side", F.lit(0)))
     n = n.withColumn("_bucket", F.explode(F.array(F.floor(F.col("_us") / width), F.floor(F.col("_us") / width) + 1)))
     rest = [c for c in bars.columns if c != "symbol"]
     b = (bars.select("symbol", micros("ts").alias("_us"), F.lit(1).alias("_side"), F.struct(*rest).alias("_bar"))
          .withColumn("_bucket", F.floor(F.col("_us") / width)))
     frame = Window.partitionBy("symbol", "_bucket").orderBy("_us").rangeBetween(-(width - 1), 0)
     both = n.unionByName(b, allowMissingColumns=True)
-    return (both.withColumn("_n", F.count("_score").over(frame)).withColumn("_mean", F.avg("_score").over(frame))
+    return (both.withColumn("_n", F.coalesce(F.sum("_articles").over(frame), F.lit(0)))
+            .withColumn("_mean", F.try_divide(F.sum("_score").over(frame), F.col("_n")))
             .where(F.col("_side") == 1)
             .select("symbol", "_bar.*", F.log1p(F.col("_n").cast("double")).alias("news_intensity"),
                     F.coalesce("_mean", F.lit(0.0)).alias("news_sentiment")))

@@ -259,8 +259,11 @@ def correlation_factors(returns: DataFrame, factors: int = 2, max_symbols: int =
     units = returns.join(moments, "symbol").withColumn("u", (F.col("ret") - F.col("_m")) / F.col("sd"))
     scores = units.join(table, "symbol").groupBy("pos", "factor").agg(
         (F.sum(F.col("u") * F.col("direction")) / F.sqrt(F.max("eigenvalue"))).alias("score"))
-    fitted = (table.join(scores, "factor").groupBy("symbol", "pos")
-              .agg(F.sum(F.col("score") * F.col("direction") * F.sqrt("eigenvalue")).alias("_f")))
+    # one row of scores per position and one of weights per symbol: the joins are on position and symbol, never on the factor
+    by_pos = scores.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("factor", "score"))).alias("_scores"))
+    by_symbol = table.groupBy("symbol").agg(F.collect_list(F.struct("factor", (F.col("direction") * F.sqrt("eigenvalue")).alias("w"))).alias("_w"))
+    fitted = (units.select("symbol", "pos").join(by_pos, "pos").join(by_symbol, "symbol").select("symbol", "pos", F.aggregate(
+        "_w", F.lit(0.0), lambda total, x: total + x["w"] * F.col("_scores")[x["factor"]]).alias("_f")))
     idio = (units.join(fitted, ["symbol", "pos"]).groupBy("symbol")
             .agg((F.stddev_pop(F.col("u") - F.col("_f")) * F.max("sd")).alias("idio_vol")))
     return (table.join(moments, "symbol").join(idio, "symbol")

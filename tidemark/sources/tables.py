@@ -48,10 +48,10 @@ def flag_panel(spark: SparkSession, folder: str, unit: str = "week") -> DataFram
 def brand_panel(spark: SparkSession, folder: str, unit: str = "week") -> DataFrame:
     """(symbol, ts, price) with the part brand as symbol; ragged at day level."""
     parts = table(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
-    return (table(spark, folder, "lineitem")
-            .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-            .groupBy("symbol", F.date_trunc(unit, "l_shipdate").cast("timestamp_ntz").alias("ts"))
-            .agg(mean_of_cents(unit_price()).alias("price")))
+    sums = (table(spark, folder, "lineitem").groupBy("l_partkey", F.date_trunc(unit, "l_shipdate").cast("timestamp_ntz").alias("ts"))
+            .agg(F.sum(cents(unit_price())).alias("_cents"), F.count(F.lit(1)).alias("_n")))
+    return (sums.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("symbol", "ts")
+            .agg((F.sum("_cents") / F.sum("_n") / 100.0).alias("price")))
 
 
 def ohlc_panel(spark: SparkSession, folder: str, unit: str = "week") -> DataFrame:
