@@ -10,6 +10,7 @@ rows, so that the score is a probability.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, per_chunk, ragged, smallest_hashes, text_rows
+from ..session import stored
+from .common import distinct, per_chunk, smallest_hashes, text_rows
 
 BITS = 20
 ORDERS = (4, 6)
-TOXIC_ROWS, OTHER_ROWS = 1_500, 2_500
+TOXIC_ROWS, OTHER_ROWS = 1_200, 2_000
 LEVELS, LEVEL_MIX = 4, 0x5BD1E995
 THRESHOLD = 0.3
 BLANKS = re.compile(r"\s+")
@@ -90,19 +92,23 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, case_weights: np.ndarray, or
     place[names] = np.arange(len(names))
     rows = [place[r[ratio[r] != 0]] for r in rows]
     starts = np.cumsum([0, *map(len, rows)])
+    n_rows = len(rows)
     column = np.concatenate(rows)
-    value = ratio[names][column]
+    del rows[:]
+    factor = ratio[names]
     weight, bias = np.zeros(len(names)), float(np.log(rate / (1 - rate)))
     grown, grown_bias = np.full(len(names), 1e-2), 1e-2
     rng, w = np.random.default_rng(seed), w / w.mean()
     for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
+        for batch in np.array_split(rng.permutation(n_rows), max(1, n_rows // 64)):
             at = np.concatenate([np.arange(starts[b], starts[b + 1]) for b in batch])
             local = np.repeat(np.arange(len(batch)), starts[batch + 1] - starts[batch])
-            z = np.bincount(local, weights=weight[column[at]] * value[at], minlength=len(batch)) + bias
+            here = column[at]
+            value = factor[here]
+            z = np.bincount(local, weights=weight[here] * value, minlength=len(batch)) + bias
             error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels[batch]) * w[batch] / len(batch)
-            cols, where = np.unique(column[at], return_inverse=True)
-            gradient = np.bincount(where, weights=error[local] * value[at]) + penalty * weight[cols]
+            cols, where = np.unique(here, return_inverse=True)
+            gradient = np.bincount(where, weights=error[local] * value) + penalty * weight[cols]
             grown[cols] += gradient ** 2
             weight[cols] -= 0.3 * gradient / np.sqrt(grown[cols])
             grown_bias += error.sum() ** 2
@@ -132,13 +138,15 @@ def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS,
 
     def work(cols: dict[str, pa.Array], texts: list[str]) -> pa.RecordBatch:
         row, bucket = ngram_keys(texts)
-        return pa.RecordBatch.from_arrays([cols["doc_id"], cols["label"], ragged(bucket.astype(np.int32), np.bincount(row, minlength=len(texts)), pa.int32())],
-                                          names=["doc_id", "label", "buckets"])
-
-    found = (rows.mapInArrow(per_chunk(work), "doc_id long, label int, buckets array<int>")
-             .orderBy("label", F.xxhash64("doc_id"), "doc_id", F.xxhash64("buckets")).limit(toxic_rows + other_rows).toArrow())
-    buckets = [b.values.to_numpy() for b in found.column("buckets").combine_chunks()] if found.num_rows else []
-    label = found.column("label").to_numpy().astype(float) if found.num_rows else np.empty(0)
+        parts = np.split(bucket.astype("<i4"), np.cumsum(np.bincount(row, minlength=len(texts)))[:-1])
+        return pa.RecordBatch.from_arrays([cols["doc_id"], cols["label"], pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "label", "buckets"])
+
+    # read back one partition at a time: the driver holds the sample's buckets once
+    found = stored(rows.mapInArrow(per_chunk(work), "doc_id long, label int, buckets binary"), "toxicity-sample")
+    held = sorted(((r["label"], zlib.crc32(str(r["doc_id"]).encode()), bytes(r["buckets"])) for r in found.toLocalIterator()))[:toxic_rows + other_rows]
+    buckets = [np.frombuffer(b, dtype="<i4") for _, _, b in held]
+    label = np.array([y for y, _, _ in held], dtype=float)
+    del held
     seen = {k: max(1, int((label == k).sum())) for k in (0, 1)}
     weight = np.where(label == 1, total.get(1, 0) / seen[1], total.get(0, 0) / seen[0]) if len(label) else np.empty(0)
     return fit(buckets, label, weight)
