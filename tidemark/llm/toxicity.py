@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import distinct, per_chunk, smallest_hashes, text_rows
+from .common import distinct, per_chunk, smallest_hashes, spans, text_rows
 
 BITS = 20
 ORDERS = (4, 6)
@@ -177,6 +177,7 @@ def not_toxic(documents: DataFrame, model: Model, threshold: float = THRESHOLD)
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(shared.value.score(texts.tolist()))
+            held = texts.tolist()
+            yield pd.Series(np.concatenate([np.empty(0), *(shared.value.score(held[a:b]) for a, b in spans([len(t) for t in held]))]))
 
     return documents.where(~(scored(F.coalesce(F.col("text").cast("string"), F.lit(""))) >= threshold))
