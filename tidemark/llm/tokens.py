@@ -12,7 +12,7 @@ import os
 import string
 from array import array
 
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 500_000
 PIECE_CHARS = 48
 MARKS = string.punctuation
 
