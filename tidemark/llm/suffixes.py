@@ -260,7 +260,7 @@ def repeats(df: DataFrame, width: int = WIDTH, reach: int = REACH) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     long = df.select(F.col("doc_id").cast("long").alias("_id"), text.alias("text")).where(F.octet_length("text") >= width)
     heads = stored(_heads(long.select(short_key(F.col("text")).alias("key"), "text"), width, reach), "heads")
-    common = heads.groupBy("head").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    common = stored(heads.groupBy("head").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "common-heads")
     hits = stored(heads.join(common, "head", "left_semi"), "hits")
     buckets = max(1, -(-hits.count() // RECORDS_PER_BUCKET))
     wanted = hits.groupBy("key").agg(F.collect_set("head").alias("heads"))
