@@ -30,6 +30,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit >= 0.85 * (got.toxic == 1).sum() and hit >= 0.95 * (got.predicted == 1).sum()
 
 
+def test_repeated_ids_take_no_places_of_the_other_class(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    once = toxicity.train(docs, labels, 40, 60)
+    twice = toxicity.train(docs.union(docs), labels, 40, 60)
+    assert once.weights.any() and np.array_equal(once.weights, twice.weights) and once.bias == twice.bias
+    # an id of the sample that a third of all rows share: it fills the free places of its own class only, after every other id
+    mild = min(r["doc_id"] for r in docs.join(labels, "doc_id").where("toxic = 0").where(~toxicity.held_out(labels["doc_id"])).select("doc_id").collect())
+    few = docs.join(labels.where("toxic = 1"), "doc_id").select(*docs.columns).union(docs.where(f"doc_id = {mild}"))
+    hot = few.union(spark.range(3_000).selectExpr(f"{mild} as doc_id", "concat('quiet words number ', id) as text"))
+    got = toxicity.train(hot, labels.where(f"toxic = 1 or doc_id = {mild}"), 40, 60)
+    assert got.weights.any()
+
+
+def test_sample_holds_every_id_before_any_second_text(spark):
+    keys = spark.createDataFrame([(1, 0, k) for k in range(500)] + [(d, 0, d) for d in range(2, 12)] + [(50, 1, 1), (50, 1, 2)], "doc_id long, label int, _key long")
+    got = toxicity.one_text_first(keys, {1: 5, 0: 20}).collect()
+    assert len(got) == len(set(got)) == 22 and {r["doc_id"] for r in got} == {*range(1, 12), 50} and sum(r["label"] for r in got) == 2
+
+
 def test_constant_model_without_both_classes(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = toxicity.train(docs, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int"))

@@ -123,18 +123,33 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def one_text_first(keys: DataFrame, bounds: dict[int, int]) -> DataFrame:
+    """Of distinct (doc_id, label, _key) at most ``bounds[label]`` rows a label: one of every id, then those with the smallest hashes."""
+    first = keys.groupBy("doc_id", "label").agg(F.min("_key").alias("_key"))
+    others = keys.join(F.broadcast(first.select("doc_id", "_key")), ["doc_id", "_key"], "left_anti")
+    firsts, more = ({r["label"]: r["n"] for r in df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()} for df in (first, others))
+    for label, rows in bounds.items():
+        room = rows - firsts.get(label, 0)
+        if room > 0 and more.get(label):
+            first = first.unionByName(smallest_hashes(others.where(F.col("label") == label), room, more[label], "doc_id", "_key").select(*first.columns))
+    return first
+
+
 def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> Model:
     """Fit on a bounded sample of the labelled documents that are not held out.
 
     Labels with a NULL id or class are left out; an id with several labels is toxic if one of them says so.  Documents that share an id
-    all take its label, up to the bound.
+    all take its label; equal ones count once, and each class has a bound of its own.
     """
     kept = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
             .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label")))
     total = {r["label"]: r["n"] for r in kept.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = [smallest_hashes(kept.where(F.col("label") == label), rows, total.get(label, 0), "doc_id") for label, rows in ((1, toxic_rows), (0, other_rows))]
+    bounds = {1: toxic_rows, 0: other_rows}
+    parts = [smallest_hashes(kept.where(F.col("label") == label), rows, total.get(label, 0), "doc_id") for label, rows in bounds.items()]
     chosen = parts[0].unionByName(parts[1])
-    rows = text_rows(documents, "doc_id").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    texts_of = text_rows(documents, "doc_id").withColumn("_key", F.xxhash64("text"))
+    picked = one_text_first(stored(texts_of.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "_key").distinct(), "toxicity-keys"), bounds)
+    rows = (texts_of.join(F.broadcast(picked), ["doc_id", "_key"]).dropDuplicates(["doc_id", "_key"]).select("doc_id", "label", "text"))
 
     def work(cols: dict[str, pa.Array], texts: list[str]) -> pa.RecordBatch:
         row, bucket = ngram_keys(texts)
@@ -143,7 +158,7 @@ def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS,
 
     # read back one partition at a time: the driver holds the sample's buckets once
     found = stored(rows.mapInArrow(per_chunk(work), "doc_id long, label int, buckets binary"), "toxicity-sample")
-    held = sorted(((r["label"], zlib.crc32(str(r["doc_id"]).encode()), bytes(r["buckets"])) for r in found.toLocalIterator()))[:toxic_rows + other_rows]
+    held = sorted(((r["label"], zlib.crc32(str(r["doc_id"]).encode()), bytes(r["buckets"])) for r in found.toLocalIterator()))
     buckets = [np.frombuffer(b, dtype="<i4") for _, _, b in held]
     label = np.array([y for y, _, _ in held], dtype=float)
     del held
