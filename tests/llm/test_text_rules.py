@@ -79,6 +79,17 @@ def test_reparameterised_items_are_found_and_slots_must_agree(spark):
     assert set(found) == {(1, 9), (4, 9)} and found[1, 9] > 0 and found[4, 9] == 0
 
 
+def test_short_items_are_found_wherever_they_stand(spark):
+    nine, five = "What is the capital city of France and Spain", "Name 3 red fruits quickly"
+    items = [(1, nine), (2, five), (3, "42"), (4, "Paris"), (5, "Days go by and nobody ever counts them here")]
+    docs = [(1, f"and as shown here {nine} we say"), (2, f"as shown here {five} and so on"), (3, "here 7 more and Berlin too"), (4, "so 42 it is"),
+            (5, "we went to Paris once"), (6, nine), (7, "please, name 8 red fruits quickly or go"), (8, "all 12 Days go by and nobody ever counts them here"),
+            (9, "here Give 3 red fruits quickly"), (10, None)]
+    got = templates.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["n_windows"], r["changed_slots"]) for r in got} == {
+        (1, 1): (2, 0), (2, 2): (1, 0), (4, 3): (1, 0), (5, 4): (1, 0), (6, 1): (2, 0), (7, 2): (1, 1), (8, 5): (2, 0)}
+
+
 def test_the_join_beyond_the_broadcast_bound_gives_the_same(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     want = sorted(map(tuple, templates.matches(docs, items).collect()))

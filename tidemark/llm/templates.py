@@ -46,16 +46,44 @@ def tokens(df: DataFrame, text: str = "text") -> DataFrame:
             .drop("_found", "_starts", "_words"))
 
 
-def windows(df: DataFrame, *keys: str, width: int = WIDTH) -> DataFrame:
-    """(keys, position, window hash, slot values of the window or NULL if it has none), a row for each window of each text."""
-    made = f"""transform(if(size(_template) >= {width}, sequence(1, size(_template) - {width - 1}), array()), i -> struct(
-        cast(i - 1 as int) as at, xxhash64(slice(_template, i, {width})) as window,
-        if(size(_some) > 0, array_compact(slice(_slots, i, {width})), null) as slots))"""
+def windows(df: DataFrame, *keys: str, width: int = WIDTH, shorter: list[int] | None = None) -> DataFrame:
+    """(keys, position, window hash, slot values of the window or NULL if it has none), a row for each window of each text.
+
+    The windows are of ``width`` tokens and of each of the lengths ``shorter``.
+    """
+    made = ", ".join(f"""transform(if(size(_template) >= {n}, sequence(1, size(_template) - {n - 1}), array()), i -> struct(
+        cast(i - 1 as int) as at, xxhash64(slice(_template, i, {n})) as window,
+        if(size(_some) > 0, array_compact(slice(_slots, i, {n})), null) as slots))""" for n in [width, *(shorter or [])])
     return (tokens(df).withColumn("_some", F.array_compact("_slots"))
-            .select(*keys, F.explode(F.expr(made)).alias("_w"))
+            .select(*keys, F.explode(F.expr(f"concat({made})" if shorter else made)).alias("_w"))
             .select(*keys, F.col("_w.at").alias("at"), F.col("_w.window").alias("window"), F.col("_w.slots").alias("slots")))
 
 
+def asked_windows(items: DataFrame, width: int, least: int) -> DataFrame:
+    """(item_id, item_at, window, item_slots, item_windows, verbatim) of (item_id, text): the windows to look for.
+
+    An item shorter than ``width`` has one window of its full length.  Where all windows of an item must match, its first one is there in
+    each form the first word can take behind other text (plain, ``<name>``, ``<unit>``), as one position.  The first ``verbatim`` slots
+    must be the item's own: in an item shorter than ``width`` those of a window without any plain word, and the first word.
+    """
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    made = (tokens(items).withColumn("_n", F.size("_template")).where("_n > 0").withColumn("_width", F.least(F.lit(width), F.col("_n")))
+            .withColumn("item_windows", F.col("_n") - F.col("_width") + 1)
+            .withColumn("_first", F.regexp_extract("text", r"\p{L}+|\p{N}+", 0)))
+    strict = made.select("item_id", "item_windows", "_width", "_n", F.posexplode(F.expr("transform(sequence(1, item_windows), i -> struct(slice(_template, i, _width) as t, slice(_slots, i, _width) as s))")).alias("item_at", "_w"))
+    others = (made.where((F.col("item_windows") <= least) & (F.element_at("_template", 1) != "<num>"))
+              .withColumn("_form", F.explode(F.expr(f"""array_compact(array(
+                  if(length(_first) > 1 and lower(_first) != _first and lower(substr(_first, 2)) = substr(_first, 2), '<name>', null),
+                  if(lower(_first) in ({units}), '<unit>', null)))""")))
+              .select("item_id", "item_windows", "_width", "_n", F.lit(0).alias("item_at"), F.expr(
+                  """struct(concat(array(_form), slice(_template, 2, _width - 1)) as t, concat(array(_first), slice(_slots, 2, _width - 1)) as s)""").alias("_w"), F.lit(1).alias("_lead")))
+    bare = F.forall("_w.t", lambda t: F.ascii(t) == 60)
+    verbatim = F.when(F.col("_n") >= width, 0).when(bare, F.col("_n")).otherwise(F.col("_lead"))
+    return (strict.withColumn("_lead", F.lit(0)).unionByName(others)
+            .select("item_id", "item_at", F.xxhash64("_w.t").alias("window"), F.array_compact("_w.s").alias("item_slots"), F.col("item_windows").cast("long"),
+                    verbatim.cast("int").alias("verbatim")))
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
@@ -63,20 +91,22 @@ def text_key(text: Column) -> Column:
 def matches(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """(doc_id, text_key, item_id, n_windows, changed_slots): documents that hold a benchmark item or a re-parameterised one.
 
-    Items with one template and equal slots are taken as one, under their smallest id.  Items of fewer than ``width`` tokens have no
-    window and are never found.  NULL texts hold nothing, ids may be NULL, repeated documents are reported once for each
+    Items with one text are taken as one, under their smallest id.  Items of fewer than ``width`` tokens are found by one window of their
+    length, items without any token never.  NULL texts hold nothing, ids may be NULL, repeated documents are reported once for each
     distinct (doc_id, text), further columns are ignored, an empty table on either side gives no rows.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"),
                             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = (benchmark.where(F.col("text").isNotNull()).groupBy(F.col("text").cast("string").alias("text"))
              .agg(F.min(F.col("item_id").cast("long")).alias("item_id")))
-    asked = (windows(items, "item_id", width=width).withColumnRenamed("at", "item_at").withColumnRenamed("slots", "item_slots"))
-    sizes = asked.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
-    asked = asked.join(sizes, "item_id")
+    asked = asked_windows(items, width, least)
+    sizes = items.select(F.size(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("n")).where(F.col("n").between(1, width - 1)).distinct()
+    shorter = sorted(r["n"] for r in sizes.collect())
     if asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         asked = F.broadcast(asked)
-    hits = windows(docs, "doc_id", "text_key", width=width).join(asked, "window")
+    hits = windows(docs, "doc_id", "text_key", width=width, shorter=shorter).join(asked, "window")
+    if shorter:
+        hits = hits.where((F.col("verbatim") == 0) | (F.slice("item_slots", 1, F.col("verbatim")) == F.slice("slots", 1, F.col("verbatim"))))
     same = ["doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")]
     pairs = F.when(F.col("slots").isNotNull() & (F.size("slots") > 0), F.arrays_zip(F.col("item_slots").alias("asked"), F.col("slots").alias("given")))
     runs = (hits.groupBy(*same).agg(F.count_distinct("at").alias("n_windows"), F.max("item_windows").alias("item_windows"),
