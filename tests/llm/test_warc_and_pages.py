@@ -33,6 +33,23 @@ def test_later_records_survive_damage(packed):
     assert list(warc.salvage(b"")) == [] and [g["kind"] for g in warc.salvage(b"junk")] == ["gap"]
 
 
+def test_good_records_of_a_damaged_member_survive():
+    raw = _archive(6, False)
+    names = lambda data: [g["head"]["warc-record-id"][10:-1] for g in warc.salvage(data) if g["kind"] == "record"]
+    gaps = lambda data: [g["reason"] for g in warc.salvage(data) if g["kind"] == "gap"]
+    bad = raw[2].replace(b"<p>page 2</p>", b"<p>page X</p>", 1)
+    inner = gzip.compress(b"".join([*raw[:2], bad, *raw[3:]]), mtime=0)
+    assert names(inner) == ["0", "1", "3", "4", "5"] and len(gaps(inner)) == 1
+    assert f"from byte {len(raw[0] + raw[1])} to {len(raw[0] + raw[1] + bad)}" in gaps(inner)[0]
+    first = gzip.compress(bad + raw[3], mtime=0)
+    assert names(b"junk" + first) == ["3"]
+    whole = gzip.compress(b"".join(raw), 0, mtime=0)  # stored, so that a cut leaves whole records
+    cut = whole[:len(whole) // 2]
+    assert names(cut) == ["0", "1"] and gaps(cut)
+    crc = whole[:-8] + bytes(4) + whole[-4:]
+    assert names(crc + gzip.compress(raw[1], mtime=0)) == ["0", "1", "2", "3", "4", "5", "1"] and len(gaps(crc)) == 1
+
+
 def test_equal_payloads_are_stored_once(spark):
     rows = [(3, "u3", "same", "x"), (9, "u9", "same", "x"), (5, None, "same", "x"), (4, "a\r\nb", "other\r\n\r\nWARC/1.1\r\n", "x"), (6, "u", None, None), (7, "u", "", "x"),
             (8, "long", "é" * 300_000, "x"), (None, "n", "same", "x")]

@@ -95,15 +95,62 @@ class Damaged(Exception):
     """A check failed; the message says which."""
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None, bool]:
+    """What the member at ``at`` holds, its end, and None; or what was inflated before it failed, ``at``, the reason, and whether
+    these bytes are as they were written (the member is only cut off).
+    """
     unzip = zlib.decompressobj(31)
     try:
         raw = unzip.decompress(data[at:] if at == 0 else memoryview(data)[at:])
     except zlib.error as error:
-        raise Damaged("gzip member: " + str(error)) from error
+        return _before_failure(data, at), at, f"gzip member: {error}", False
     if not unzip.eof:
-        raise Damaged("gzip member is cut off")
-    return raw, len(data) - len(unzip.unused_data)
+        return raw + unzip.flush(), at, "gzip member is cut off", True
+    return raw, len(data) - len(unzip.unused_data), None, True
+
+
+def _before_failure(data: bytes, at: int, step: int = 4096) -> bytes:
+    """The bytes inflated before the first error: by pieces, and the piece with the error byte by byte."""
+    unzip, out = zlib.decompressobj(31), []
+    while at < len(data):
+        kept = unzip.copy()
+        try:
+            out.append(unzip.decompress(data[at:at + step]))
+        except zlib.error:
+            if step == 1:
+                break
+            unzip, step = kept, 1
+        else:
+            at += step
+    return b"".join(out)
+
+
+def _parts(raw: bytes, verify: bool, sure: bool = True) -> Iterator[dict]:
+    """Records and gaps of an inflated member; unless the bytes are ``sure``, a verified record has a block digest."""
+
+    def checked(at: int) -> tuple[dict, int]:
+        got, end = _record(raw, at, verify)
+        if verify and not sure and not got["head"].get("warc-block-digest"):
+            raise Damaged("no block digest in a damaged member")
+        return got, end
+
+    at = 0
+    while at < len(raw):
+        try:
+            got, end = checked(at)
+        except Damaged as why:
+            end = len(raw)
+            for found in VERSION.finditer(raw, at + 1):
+                try:
+                    checked(found.start())
+                except Damaged:
+                    continue
+                end = found.start()
+                break
+            yield {"kind": "gap", "reason": str(why), "inner": (at, end)}
+        else:
+            yield {"kind": "record", **got}
+        at = end
 
 
 def _record(data: bytes, at: int, verify: bool) -> tuple[dict, int]:
@@ -140,44 +187,51 @@ def _record(data: bytes, at: int, verify: bool) -> tuple[dict, int]:
 def salvage(data: bytes, verify: bool = True) -> Iterator[dict]:
     """Records and gaps of one archive in order of their bytes; ``start`` and ``end`` are places in ``data``.
 
-    Every byte lies in a record's member or text, in an empty member or in a gap.  An empty archive gives nothing.
+    Every byte lies in a record's member or text, in an empty member or in a gap.  Records and gaps inside one member have its start and
+    end, and the reason of such a gap says which inflated bytes it holds; of a damaged member the bytes before the failure are
+    salvaged.  An empty archive gives nothing.
     """
     at = 0
     while at < len(data):
-        try:
-            if data.startswith(GZIP_MAGIC, at):
-                raw, end = _member(data, at)
-                inside = 0
-                found = []
-                while inside < len(raw):
-                    got, inside = _record(raw, inside, verify)
-                    found.append(got)
-            else:
-                got, end = _record(data, at, verify)
-                found = [got]
-        except Damaged as why:
-            end, reason = _next_valid(data, at + 1, verify), str(why)
-            yield {"kind": "gap", "start": at, "end": end, "reason": reason}
+        if data.startswith(GZIP_MAGIC, at):
+            raw, end, failed, sure = _member(data, at)
+            parts = list(_parts(raw, verify, sure))
+            if failed:
+                end = _next_valid(data, at + 1, verify, raw)
+            if not any(p["kind"] == "record" for p in parts):
+                parts = [{"kind": "gap", "reason": failed or parts[0]["reason"]}] if failed or parts else []
+            elif failed:
+                parts.append({"kind": "gap", "reason": failed, "inner": (len(raw), len(raw))})
         else:
-            for got in found:
-                yield {"kind": "record", "start": at, "end": end, **got}
+            try:
+                got, end = _record(data, at, verify)
+                parts = [{"kind": "record", **got}]
+            except Damaged as why:
+                end = _next_valid(data, at + 1, verify)
+                parts = [{"kind": "gap", "reason": str(why)}]
+        for part in parts:
+            inner = part.pop("inner", None)
+            if inner:
+                part["reason"] += f" (from byte {inner[0]} to {inner[1]} of the inflated member)"
+            yield {"start": at, "end": end, **part}
         at = end
 
 
-def _next_valid(data: bytes, at: int, verify: bool) -> int:
-    """The next place where a record can be read, or the end."""
+def _next_valid(data: bytes, at: int, verify: bool, known: bytes = b"") -> int:
+    """The next place where a record can be read, or the end; plain records that ``known`` holds (stored, not compressed) do not count."""
     places = re.compile(re.escape(GZIP_MAGIC) + rb"|WARC/1\.[01]\r\n")
     for found in places.finditer(data, at):
+        if data.startswith(GZIP_MAGIC, found.start()):
+            raw, _, failed, sure = _member(data, found.start())
+            if not (raw or failed) or any(p["kind"] == "record" for p in _parts(raw, verify, sure)):
+                return found.start()
+            continue
         try:
-            if data.startswith(GZIP_MAGIC, found.start()):
-                raw, _ = _member(data, found.start())
-                if raw:
-                    _record(raw, 0, verify)
-            else:
-                _record(data, found.start(), verify)
+            _, end = _record(data, found.start(), verify)
         except Damaged:
             continue
-        return found.start()
+        if not known or data[found.start():end] not in known:
+            return found.start()
     return len(data)
 
 
