@@ -202,3 +202,20 @@ def test_features_look_back_only(spark, build):
 def test_positions_need_no_shared_calendar(spark):
     df = spark.createDataFrame([("a", "2020-01-01"), ("a", "2021-05-01"), ("b", "2020-06-01")], "symbol string, ts string").withColumn("ts", F.to_timestamp_ntz("ts"))
     assert sorted((r["symbol"], r["pos"]) for r in blocks.numbered(df, ["symbol"]).collect()) == [("a", 0), ("a", 1), ("b", 0)]
+
+
+def test_first_rows_are_scored_by_the_initial_fit(spark):
+    from tidemark.operators import learning
+    rows = [(s, 1_700_000_000 + 86_400 * k, k, [[float((k * 7 + i) % 11)], [float((k * 5 + i) % 13)]], float((k * 3 + i) % 7), 1.0) for i, s in enumerate("ab") for k in range(60)]
+    samples = spark.createDataFrame(rows, "symbol string, t long, pos long, seq array<array<double>>, y double, vol double").selectExpr(
+        "symbol", "timestamp_seconds(t) as ts", "pos", "seq", "y", "vol")
+    got = {(r["symbol"], r["pos"]): r["forecast"] for r in learning.refit_forecasts(samples, 20, every=10, days=15).collect()}
+    assert set(got) == {(s, k) for s in "ab" for k in range(20, 60)}
+    old = [r for r in rows if r[2] <= 18]
+    x, y = np.array([np.ravel(r[3]) for r in old]), np.array([r[4] for r in old])
+    mean, scale = x.mean(), x.std()
+    z = (x - mean) / scale
+    w = np.linalg.solve((z - z.mean(0)).T @ (z - z.mean(0)) + 2 * np.eye(2), (z - z.mean(0)).T @ (y - y.mean()))
+    for r in rows:
+        if 20 <= r[2] < 30:
+            assert abs(got[r[0], r[2]] - (y.mean() + ((np.ravel(r[3]) - mean) / scale - z.mean(0)) @ w)) < 1e-9

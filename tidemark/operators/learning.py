@@ -169,13 +169,18 @@ def ridge_forecasts(samples: DataFrame, windows: DataFrame, delay: int = 2, subs
 
 
 def refit_forecasts(samples: DataFrame, first: int, every: int = 21, days: int = 252, delay: int = 2) -> DataFrame:
-    """Score each row with the latest refit before it; every refit uses its last ``days`` mature days."""
+    """Score each row with the latest refit before it; every refit uses its last ``days`` mature days.
+
+    The first ``every`` rows are scored by an initial fit on all rows mature before ``first``.
+    """
     refits = refit_windows(samples, first, every, days, delay)
-    train = refit_rows(samples, refits)
+    mature = F.col("y").isNotNull() & (F.col("pos") <= first - delay)
+    initial = samples.where(mature).withColumn("block", F.lit(first).cast("long"))
+    train = refit_rows(samples, refits).unionByName(initial)
     scalers = scaler_arrays(pooled_scaler(train))
     fitted = ridge_weights(ridge_moments(standardised(train, scalers)))
     start = F.lit(first) + F.floor((F.col("pos") - first) / every) * every
-    mine = samples.where(F.col("pos") >= first + every).withColumn("block", start)
+    mine = samples.where(F.col("pos") >= first).withColumn("block", start)
     test = standardised(mine, scalers).join(fitted, "block")
     dot = F.aggregate(F.zip_with("z", "weights", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
     return test.withColumn("forecast", dot + F.col("intercept")).drop("z", "weights", "intercept", "seq")
