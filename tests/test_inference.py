@@ -219,3 +219,20 @@ def test_first_rows_are_scored_by_the_initial_fit(spark):
     for r in rows:
         if 20 <= r[2] < 30:
             assert abs(got[r[0], r[2]] - (y.mean() + ((np.ravel(r[3]) - mean) / scale - z.mean(0)) @ w)) < 1e-9
+
+
+def test_moments_with_more_partitions_than_rows(spark):
+    from tidemark.operators import learning
+    rows = [(0, [1.0, 2.0], 3.0), (0, [0.5, 1.0], 1.0), (1, [2.0, 0.0], 0.0), (1, [1.0, 1.0], 1.0)]
+    frame = spark.createDataFrame(rows, "block long, z array<double>, y double")
+    few, many = ({r["block"]: list(r["moments"]) for r in learning.ridge_moments(frame.repartition(n)).collect()} for n in (1, 16))
+    assert few == many and set(few) == {0, 1}
+    assert learning.ridge_moments(frame.where("block > 5")).count() == 0
+
+
+def test_resampled_means_of_zero_are_not_above_zero(spark):
+    thirds = [("v", f"2020-01-{d:02d} 00:00:00", x) for d, x in enumerate([0.1, 0.2, -0.3] * 4, 1)]
+    df = spark.createDataFrame(thirds, "variant string, ts string, ic double").withColumn("ts", F.to_timestamp_ntz("ts"))
+    out = resampling.day_bootstrap(df, n_boot=500, seed=3).first()
+    exact = resampling.day_bootstrap(df.withColumn("ic", F.round(F.col("ic") * 10)), n_boot=500, seed=3).first()
+    assert out["p_leq_zero"] == exact["p_leq_zero"]

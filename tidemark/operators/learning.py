@@ -122,7 +122,8 @@ def _partial_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = np.column_stack([np.ones(len(y)), z, y])
             gram = x.T @ x
             sums[block] = sums[block] + gram if block in sums else gram
-    yield pd.DataFrame({"block": list(sums), "gram": [g.ravel().tolist() for g in sums.values()]})
+    if sums:  # an empty frame has no column type that Arrow could turn into an array
+        yield pd.DataFrame({"block": list(sums), "gram": [g.ravel().tolist() for g in sums.values()]})
 
 
 def ridge_moments(training: DataFrame) -> DataFrame:

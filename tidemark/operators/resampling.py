@@ -65,6 +65,10 @@ def stationary_draws(replicates: DataFrame, block_lens: Sequence[float], seed: i
     return drawn.select("n", "b", "which", "salt", F.aggregate("_d", start, step, lambda a: a["picks"]).alias("picks"))
 
 
+#: Resampled means within this of zero are zero up to rounding, whatever order they were summed in; they count as not above it.
+ZERO = 1e-12
+
+
 def _total(picks: str, values: str) -> Column:
     return F.aggregate(picks, F.lit(0.0), lambda a, j: a + F.col(values)[j])
 
@@ -80,7 +84,7 @@ def stationary_bootstrap(months: DataFrame, keys: Keys = ("scenario",), block_le
     lens = F.array(*[F.lit(float(x)) for x in block_lens])
     boot = ann.groupBy(*keys, "which").agg(
         F.percentile("_ann", F.array(F.lit(0.05), F.lit(0.025), F.lit(0.975))).alias("_p"),
-        ((F.count_if(F.col("_ann") <= 0) + 1) / (F.count(F.lit(1)) + 1)).alias("p_leq_zero"))
+        ((F.count_if(F.col("_ann") <= ZERO) + 1) / (F.count(F.lit(1)) + 1)).alias("p_leq_zero"))
     boot = boot.select(*keys, lens[F.col("which")].alias("block_len"), "p_leq_zero", F.col("_p")[0].alias("ann_lower_95"),
                        F.col("_p")[1].alias("ci_low_95"), F.col("_p")[2].alias("ci_high_95"))
     point = v.groupBy(*keys).agg(F.avg(value).alias("mean_monthly"), F.count(F.lit(1)).alias("n_months"))
@@ -128,7 +132,7 @@ def day_bootstrap(values: DataFrame, keys: Keys = ("variant",), n_boot: int = 20
              .select(*keys, (_total("picks", "_sum") / _total("picks", "_cnt")).alias("_m")))
     boot = means.groupBy(*keys).agg(
         F.percentile("_m", F.lit(0.025)).alias("ci_low_95"), F.percentile("_m", F.lit(0.975)).alias("ci_high_95"),
-        F.avg((F.col("_m") <= 0).cast("double")).alias("p_leq_zero"))
+        F.avg((F.col("_m") <= ZERO).cast("double")).alias("p_leq_zero"))
     point = v.groupBy(*keys).agg((F.sum("_sum") / F.sum("_cnt")).alias("mean"), F.count(F.lit(1)).alias("n_days"))
     return boot.join(point, keys)
 

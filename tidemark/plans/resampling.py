@@ -21,7 +21,7 @@ st1 AS (SELECT *, CASE WHEN i = 0 OR {u1} < 1 / bl THEN i END AS began, CASE WHE
 st2 AS (SELECT n, bl, b, (last_value(origin IGNORE NULLS) OVER w + i - last_value(began IGNORE NULLS) OVER w) % n AS i FROM st1 WINDOW w AS (PARTITION BY n, bl, b ORDER BY i)),
 bm AS (SELECT {key}, bl, b, exp(12 * sum(v) / max(ix.n)) - 1 AS ann FROM st2 JOIN ix ON ix.n = st2.n AND ix.i = st2.i GROUP BY 1, 2, 3),
 bs AS (SELECT {key}, bl AS block_len, quantile_cont(ann, 0.05) AS ann_lower_95, quantile_cont(ann, 0.025) AS ci_low_95, quantile_cont(ann, 0.975) AS ci_high_95,
- (count(*) FILTER (ann <= 0) + 1) / (count(*) + 1) AS p_leq_zero FROM bm GROUP BY 1, 2),
+ (count(*) FILTER (ann <= {resampling.ZERO}) + 1) / (count(*) + 1) AS p_leq_zero FROM bm GROUP BY 1, 2),
 pt AS (SELECT {key}, avg(v) AS mean_monthly, count(*) AS n_months FROM ix GROUP BY 1),
 boot AS (SELECT *, exp(12 * mean_monthly) - 1 AS ann_geom FROM bs JOIN pt USING ({key}))"""
 
@@ -66,7 +66,7 @@ WITH {DAYS_SQL}, ix AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER
 dr AS (SELECT n, b, floor({c.uniform('5', 'b', 'k', chr(39) + 'day' + chr(39))} * n)::BIGINT AS i FROM (SELECT DISTINCT n FROM ix), (SELECT unnest(range(1, {DAY_DRAWS + 1})) AS b), (SELECT unnest(range(0, (SELECT max(n) FROM ix))) AS k) WHERE k < n),
 m AS (SELECT variant, b, sum(s) / sum(ix.k) AS m FROM dr JOIN ix ON ix.n = dr.n AND ix.i = dr.i GROUP BY 1, 2)
 SELECT variant, (SELECT sum(s) / sum(k) FROM dy WHERE dy.variant = m.variant) AS mean, quantile_cont(m, 0.025) AS ci_low_95, quantile_cont(m, 0.975) AS ci_high_95,
- avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0 END) AS p_leq_zero, (SELECT count(*) FROM dy WHERE dy.variant = m.variant) AS n_days FROM m GROUP BY 1""")
+ avg(CASE WHEN m <= {resampling.ZERO} THEN 1.0 ELSE 0 END) AS p_leq_zero, (SELECT count(*) FROM dy WHERE dy.variant = m.variant) AS n_days FROM m GROUP BY 1""")
 def day_block_bootstrap(spark, folder):
     return resampling.day_bootstrap(crosssection.per_bar(spark, folder), n_boot=DAY_DRAWS, seed=5)
 
