@@ -90,3 +90,29 @@ d AS (SELECT page_id, url, coalesce(array_to_string(list_filter(list_transform(s
   lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x != ''), chr(10)), '') AS text FROM c)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
 """
+
+SQL["op11_bloom_slices"] = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+d AS (SELECT row_number() OVER () AS row_id, doc_id, ws, len(ws)::BIGINT AS n FROM t WHERE len(ws) > 0), c AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT row_id, term, count(*)::BIGINT AS tf FROM (SELECT row_id, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), c),
+s AS (SELECT item_id, row_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN d USING (row_id), c GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s JOIN d USING (row_id) WHERE score > 0 QUALIFY rank <= 10
+"""
+
+SQL["op12_trie_frontier"] = r"""
+WITH RECURSIVE k AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384::UBIGINT, a >> 1) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+u AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*)::BIGINT AS n FROM u WHERE length(run) >= 6 GROUP BY 1, 2),
+b AS (SELECT *, list_transform(range(0, octet_length(encode(coalesce(doc_id::VARCHAR, '') || ':' || run))), lambda i: ('0x' || substr(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), 2 * i + 1, 2))::UBIGINT) AS bytes FROM g),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT) AS h FROM b, k),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM v WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w), y AS (SELECT DISTINCT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM x),
+e AS (SELECT a.word, b.word AS near FROM y a JOIN y b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word UNION SELECT y.word, w.word FROM y JOIN w ON w.word = y.cut UNION SELECT w.word, y.word FROM y JOIN w ON w.word = y.cut),
+m AS (SELECT e.word, count(*)::BIGINT AS n_near, arg_min(e.near, (-w.n, e.near)) AS best, max(w.n) AS best_n FROM e JOIN w ON w.word = e.near GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form, CASE WHEN best_n >= 5 * w.n THEN best_n END::BIGINT AS form_n FROM w LEFT JOIN m USING (word)),
+r AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT r.word, r.up, f.form FROM r JOIN f ON f.word = r.up)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.up IS NULL
+"""

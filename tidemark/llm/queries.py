@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch, stored
-from . import extraction, forest, grammar, linefilter, lookup, oracles, packing, suffixes, templates, toxicity, warc
+from . import extraction, forest, grammar, linefilter, lookup, oracles, packing, resync, signatures, spellings, suffixes, templates, toxicity, warc
 from .common import table
+from .tokens import vocabulary
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -82,3 +83,18 @@ def op8_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_suffix_merge(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, folder, "documents"))
+
+
+@query
+def op11_bloom_slices(spark: SparkSession, folder: str) -> DataFrame:
+    return signatures.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op12_trie_frontier(spark: SparkSession, folder: str) -> DataFrame:
+    return spellings.group(table(spark, folder, "documents"))
+
+
+@query
+def op13_resync_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return resync.count(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
