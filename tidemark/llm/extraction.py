@@ -24,6 +24,8 @@ from .common import per_chunk, smallest_hashes
 TRAINING_PAGES = 160
 LAYOUTS_PER_PAGE = 6
 LONGEST_TRAINING_PAGE = 40_000
+SHORT_SHARE = 0.2
+STRANGE_SHARE = 0.25
 PATH_BUCKETS, WORD_BUCKETS = 1024, 1024
 PATH_WIDTH, WORD_WIDTH, MEASURES, HIDDEN = 16, 8, 6, 24
 
@@ -291,6 +293,12 @@ SIDE_SHELLS = {
 }
 
 
+def cut_short(text: str, rng: np.random.Generator) -> str:
+    """The first words of a paragraph as a sentence of its own."""
+    words = " ".join(text.split(" ")[:int(rng.integers(1, 4))]).rstrip(".,;:!?") or "-"
+    return words + (".", ".", "!", "?", "")[int(rng.integers(5))]
+
+
 def laid_out(article: list[str], other: list[str], rng: np.random.Generator) -> str:
     """A page of a random shape; article blocks begin with MARK."""
 
@@ -323,7 +331,9 @@ def laid_out(article: list[str], other: list[str], rng: np.random.Generator) ->
 
     body = []
     for k, text in enumerate(article):
-        safe = MARK + html.escape(text)
+        # a paragraph of a word or two says nothing of its own, so that its path and neighbours must decide
+        kept = cut_short(text, rng) if rng.random() < SHORT_SHARE else text
+        safe = MARK + html.escape(kept)
         tag = "h1" if k == 0 and rng.random() < 0.8 else pick(("p", "p", "p", "p", "p", "p", "h2", "li", "blockquote", "div", "pre", "td"))
         inner = f"<b>{safe}</b>" if rng.random() < 0.1 else safe
         if rng.random() < 0.05:
@@ -354,18 +364,23 @@ def own_labels(page: list[Block]) -> np.ndarray:
 
 
 def fit(pages: list[str], layouts: int = LAYOUTS_PER_PAGE, epochs: int = 6, batch: int = 16, seed: int = 5) -> Labeller:
-    """Train on the pages as they are and on ``layouts`` new shapes of each; pages without both classes only lend nothing.
+    """Train on ``layouts`` new shapes of each page and on the page itself, some article blocks cut to a word or two in all of them.
 
-    With no usable page the labeller stays untrained around one half.
+    Pages without both classes lend nothing; with no usable page the labeller stays untrained around one half.
     """
     rng, describer, cases = np.random.default_rng(seed), Describer(), []
+
+    def add(page: list[Block], label: np.ndarray) -> None:
+        paths, words, measures = describer.describe(page)
+        # some blocks get the words of no language, so that no single word decides
+        strange = rng.random(len(words)) < STRANGE_SHARE
+        cases.append(((paths, [rng.integers(0, WORD_BUCKETS, len(w)) if odd else w for w, odd in zip(words, strange)], measures), label))
+
     for source in pages:
         page = blocks(source)
         y = own_labels(page) if page else np.empty(0)
         if not len(y) or y.all() or not y.any():
             continue
-        if len(page) <= 200:
-            cases.append((describer.describe(page), y))
         article, other = [b.text for b, k in zip(page, y) if k], [b.text for b, k in zip(page, y) if not k]
         for _ in range(layouts):
             first = int(rng.integers(len(article)))
@@ -373,7 +388,11 @@ def fit(pages: list[str], layouts: int = LAYOUTS_PER_PAGE, epochs: int = 6, batc
             label = np.array([MARK in b.text for b in made], dtype=float)
             for b in made:
                 b.text = b.text.replace(MARK, "").strip() or "-"
-            cases.append((describer.describe(made), label))
+            add(made, label)
+        if len(page) <= 200:
+            for b, k in zip(page, y):
+                b.text = cut_short(b.text, rng) if k and rng.random() < SHORT_SHARE else b.text
+            add(page, y)
     model = Labeller()
     steps, total = 0, max(1, epochs * (len(cases) // batch + 1))
     for _ in range(epochs):
