@@ -93,3 +93,18 @@ def test_grammar_expands_to_its_ids(docs):
         for start in range(len(d)):
             n = min(3, len(d) - start)
             assert (rules.span(symbols[a:b], start, n) == d[start:start + n]).all()
+
+
+def test_no_frequent_pair_is_left_and_kept_pieces_change_nothing():
+    rng = np.random.default_rng(3)
+    ids, starts = rng.choice(40, size=5_000, p=np.arange(1, 41)[::-1] / 820).astype("<u4"), np.arange(0, 5_000, 50)
+    rules, symbols, firsts = grammar.compress(ids, starts, base=40, least=5, pairs=7)
+    pairs = Counter()
+    for a, b in zip(firsts, [*firsts[1:], len(symbols)]):
+        part = symbols[a:b].tolist()
+        pairs.update(zip(part, part[1:]))
+    # a run of equal symbols counts each pair once per place it can be replaced at
+    assert all(n < 5 or a == b for (a, b), n in pairs.items()) and (rules.expand(symbols) == ids).all() and len(rules.rules) > 20
+    texts = [" ".join(f"w{k % 37}{k % 11}" for k in range(n, n + 60)) for n in range(30)]
+    wide, narrow = Encoder(vocabulary()), Encoder(vocabulary(), 4)
+    assert [wide.encode(t) for t in texts] == [narrow.encode(t) for t in texts]

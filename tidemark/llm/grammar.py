@@ -1,7 +1,7 @@
 """Token ids in grammar-compressed shards.
 
 Documents in ascending ``doc_id`` order are cut into shards of some million ids.  Inside a shard the most frequent pairs of
-neighbouring symbols are replaced by new symbols, again and again; a pair never spans two documents.  A shard is one row of a
+neighbouring symbols are replaced by new symbols until no pair is left that occurs ``LEAST_COUNT`` times; a pair never spans two documents.  A shard is one row of a
 Parquet folder: the rules as pairs, the number of ids each rule stands for, the remaining symbols, and where each document
 starts in symbols and in ids.  One document, or a range of its ids, is decoded from its own symbols and those lengths.
 """
@@ -24,9 +24,9 @@ from .tokens import encoder, vocabulary
 VOCABULARY = 49_408
 END_ID = 1
 SHARD_IDS = 2_000_000
-ROUNDS = 4
-PAIRS_PER_ROUND = 4_096
-LEAST_COUNT = 64
+PAIRS_PER_ROUND = 65_536
+LEAST_COUNT = 16
+KEPT_PIECES = 1_000_000
 SHARD_SCHEMA = ("part int, seq int, n_ids long, n_docs int, doc_ids array<long>, doc_symbols array<int>, doc_starts array<long>, "
                 "rules binary, lengths binary, symbols binary")
 
@@ -61,14 +61,15 @@ class Grammar:
         return self.expand(symbols[first:last + 1])[start - before:start - before + count]
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, base: int = VOCABULARY, rounds: int = ROUNDS, pairs: int = PAIRS_PER_ROUND,
+def compress(ids: np.ndarray, starts: np.ndarray, base: int = VOCABULARY, pairs: int = PAIRS_PER_ROUND,
              least: int = LEAST_COUNT) -> tuple[Grammar, np.ndarray, np.ndarray]:
-    """The grammar, the remaining symbols and where each document starts in them.  Every document holds one id at least."""
+    """The grammar, the remaining symbols and where each document starts in them.  Every document holds one id at least.
+
+    A round replaces the most frequent pairs at once, ``pairs`` at most; every round that finds one shortens the symbols.
+    """
     symbols, firsts = ids.astype(np.uint32), starts.astype(np.int64)
     rules, lengths = np.empty((0, 2), dtype=np.uint32), np.empty(0, dtype=np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         keys = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
         inside = np.ones(len(keys), dtype=bool)
         inside[firsts[1:] - 1] = False
@@ -105,8 +106,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int = VOCABULARY, rounds
     return Grammar(base, rules, lengths), symbols, firsts
 
 
-def encode_shards(df: DataFrame, tokenizer: str | None = None, shard_ids: int = SHARD_IDS, rounds: int = ROUNDS,
-                  end_id: int = END_ID) -> DataFrame:
+def encode_shards(df: DataFrame, tokenizer: str | None = None, shard_ids: int = SHARD_IDS, end_id: int = END_ID) -> DataFrame:
     """Shards of (``doc_id``, ``text``) in ascending order; (part, seq) numbers them in that order.
 
     NULL texts are empty and hold the end id only.  NULL ids come first.  Rows with equal ids stay next to each other in the
@@ -119,7 +119,7 @@ def encode_shards(df: DataFrame, tokenizer: str | None = None, shard_ids: int =
         F.col("doc_id").asc_nulls_first(), "_salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, KEPT_PIECES).encode
         end = np.array([end_id], dtype="<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
 
@@ -127,7 +127,7 @@ def encode_shards(df: DataFrame, tokenizer: str | None = None, shard_ids: int =
             nonlocal seq
             counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             starts = np.cumsum(counts) - counts
-            grammar, symbols, firsts = compress(np.frombuffer(b"".join(ids), dtype="<u4"), starts, rounds=rounds)
+            grammar, symbols, firsts = compress(np.frombuffer(b"".join(ids), dtype="<u4"), starts)
             row = {"part": part, "seq": seq, "n_ids": int(counts.sum()), "n_docs": len(ids), "doc_ids": names,
                    "doc_symbols": firsts.astype(np.int32), "doc_starts": starts, "rules": grammar.rules.astype("<u4").tobytes(),
                    "lengths": grammar.lengths.astype("<u4").tobytes(), "symbols": symbols.astype("<u4").tobytes()}

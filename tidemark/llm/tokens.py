@@ -29,13 +29,15 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int = KEPT_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
+        self.kept = kept // 2
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
 
@@ -68,19 +70,24 @@ class Encoder:
         for piece in text.replace("\n", " ").split(" "):
             ids = known.get(piece)
             if ids is None:
-                ids = self._piece(piece) if piece else b""
+                ids = self.older.get(piece)
+                if ids is None:
+                    ids = self._piece(piece) if piece else b""
                 if len(piece) <= PIECE_CHARS:
-                    if len(known) >= KEPT_PIECES:
-                        known.clear()
+                    # a full table becomes the older one, so that pieces in use survive
+                    if len(known) >= self.kept:
+                        self.older = known
+                        known = self.pieces = {}
                     known[piece] = ids
             out.append(ids)
         return b"".join(out)
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
+def encoder(path: str, kept: int = KEPT_PIECES) -> Encoder:
+    """One encoder per worker process and vocabulary, with a table of at most ``kept`` pieces."""
     if path not in _OPEN:
         _OPEN[path] = Encoder(path)
+    _OPEN[path].kept = kept // 2
     return _OPEN[path]
 
 
