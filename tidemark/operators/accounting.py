@@ -21,37 +21,39 @@ from .rolling import per_symbol
 Keys = Sequence[str]
 
 
-def levels(panel: DataFrame, rows: int = 4096) -> DataFrame:
-    """Running log return per symbol, total losses left out, and how many of those there were; a return below -1 is an error."""
+def levels(panel: DataFrame, rows: int = 4096, on: Keys = ()) -> DataFrame:
+    """Running log return per symbol (of each panel ``on``), total losses left out, and how many of those there were; a return below -1 is an error."""
     ret = F.when(F.col("ret") < -1, F.raise_error(F.lit("a return is below -1")).cast("double")).otherwise(F.col("ret"))
-    return running_sum(panel.withColumn("ret", ret), ["symbol"], ["pos"], F.floor(F.col("pos") / rows), {
+    return running_sum(panel.withColumn("ret", ret), [*on, "symbol"], ["pos"], F.floor(F.col("pos") / rows), {
         "level": F.when(F.col("ret") > -1, F.log1p(F.col("ret"))), "losses": (F.col("ret") <= -1).cast("double")})
 
 
-def segments(decisions: DataFrame, last_pos: Column) -> DataFrame:
-    """(schedule, seg, fill, stop, next_seg): rows fill+1..stop are earned with the target of ``seg``.
+def segments(decisions: DataFrame, panel: DataFrame, on: Keys = ()) -> DataFrame:
+    """(on, schedule, seg, fill, stop, next_seg): rows fill+1..stop are earned with the target of ``seg``.
 
-    ``decisions`` is (schedule, decision_pos); a decision on the last row never fills.
+    ``decisions`` is (on, schedule, decision_pos); a decision on the last row of its panel never fills.
     """
-    d = (decisions.select("schedule", F.col("decision_pos").alias("seg")).distinct()
-         .withColumn("fill", F.col("seg") + 1).withColumn("_last", last_pos).where(F.col("fill") <= F.col("_last")))
-    w = Window.partitionBy("schedule").orderBy("seg")
+    d = decisions.select(*on, "schedule", F.col("decision_pos").alias("seg")).distinct().withColumn("fill", F.col("seg") + 1)
+    last = panel.groupBy(*on).agg(F.max("pos").alias("_last"))
+    d = d.join(last, list(on)) if on else d.withColumn("_last", last.scalar())
+    d = d.where(F.col("fill") <= F.col("_last"))
+    w = Window.partitionBy(*on, "schedule").orderBy("seg")
     return (d.withColumn("next_seg", F.lead("seg").over(w))
             .withColumn("stop", F.coalesce(F.col("next_seg") + 1, F.col("_last")))
             .withColumn("is_first", F.row_number().over(w) == 1).drop("_last"))
 
 
-def segment_rows(panel: DataFrame, segs: DataFrame) -> DataFrame:
+def segment_rows(panel: DataFrame, segs: DataFrame, on: Keys = ()) -> DataFrame:
     """Panel rows per segment with growth since the fill: before (g0) and after (g1) the row's return; 0 from a total loss on."""
-    spread = segs.select("schedule", "seg", "next_seg", "fill", "stop", F.explode(F.sequence("fill", "stop")).alias("pos"))
-    rows = levels(panel).select("symbol", "pos", "ret", "level", "losses").join(spread, "pos")
-    start = rows.where(F.col("pos") == F.col("fill")).select("schedule", "seg", "symbol", F.col("level").alias("_l0"), F.col("losses").alias("_n0"))
+    spread = segs.select(*on, "schedule", "seg", "next_seg", "fill", "stop", F.explode(F.sequence("fill", "stop")).alias("pos"))
+    rows = levels(panel, on=on).select(*on, "symbol", "pos", "ret", "level", "losses").join(spread, [*on, "pos"])
+    start = rows.where(F.col("pos") == F.col("fill")).select(*on, "schedule", "seg", "symbol", F.col("level").alias("_l0"), F.col("losses").alias("_n0"))
     gone, now = F.col("losses") - F.col("_n0"), (F.col("ret") <= -1).cast("double")
     own = F.when(F.col("ret") > -1, F.log1p("ret")).otherwise(0.0)
-    return (rows.where(F.col("pos") > F.col("fill")).join(start, ["schedule", "seg", "symbol"])
+    return (rows.where(F.col("pos") > F.col("fill")).join(start, [*on, "schedule", "seg", "symbol"])
             .withColumn("g1", F.when(gone > 0, 0.0).otherwise(F.exp(F.col("level") - F.col("_l0"))))
             .withColumn("g0", F.when(gone - now > 0, 0.0).otherwise(F.exp(F.col("level") - own - F.col("_l0"))))
-            .select("schedule", "seg", "next_seg", "symbol", "pos", "stop", "ret", "g0", "g1"))
+            .select(*on, "schedule", "seg", "next_seg", "symbol", "pos", "stop", "ret", "g0", "g1"))
 
 
 def _value_path(days: Column, borrow_rate: Column) -> Column:
@@ -70,18 +72,18 @@ def _value_path(days: Column, borrow_rate: Column) -> Column:
     return F.aggregate(days, start, step, lambda acc: acc["rows"])
 
 
-def cash_levels(cash: DataFrame) -> DataFrame:
-    return running_sum(cash.select("pos", "cash"), [], ["pos"], F.floor(F.col("pos") / 4096), {"cash_level": F.log1p("cash")})
+def cash_levels(cash: DataFrame, on: Keys = ()) -> DataFrame:
+    return running_sum(cash.select(*on, "pos", "cash"), list(on), ["pos"], F.floor(F.col("pos") / 4096), {"cash_level": F.log1p("cash")})
 
 
-def _long_path(daily: DataFrame, cash: DataFrame) -> DataFrame:
+def _long_path(daily: DataFrame, cash: DataFrame, on: Keys = ()) -> DataFrame:
     """Value rows of segments without shorts, in closed form: nothing is gathered, however long they are.
 
     The part not invested grows with cash; a negative one (gross above 1) earns and pays nothing.
     """
-    level = cash_levels(cash)
-    rows = (daily.join(level, "pos").withColumn("_f", F.col("seg") + 1)
-            .join(level.select(F.col("pos").alias("_f"), F.col("cash_level").alias("_c0")), "_f"))
+    level = cash_levels(cash, on)
+    rows = (daily.join(level, [*on, "pos"]).withColumn("_f", F.col("seg") + 1)
+            .join(level.select(*on, F.col("pos").alias("_f"), F.col("cash_level").alias("_c0")), [*on, "_f"]))
     rest, since = 1 - F.col("invested"), F.col("cash_level") - F.col("_c0")
     late = F.when(rest > 0, rest * F.exp(since)).otherwise(rest)
     early = F.when(rest > 0, rest * F.exp(since - F.log1p("cash"))).otherwise(rest)
@@ -109,7 +111,7 @@ def _ruined_path(days: Column, weights: Column, borrow_rate: Column) -> Column:
 
 
 def lagged_returns(panel: DataFrame, cash: DataFrame, targets: DataFrame, costs: DataFrame, cost_bp: DataFrame | None = None,
-                   keys: Keys = ("scenario",), default_bp: float = 3.0) -> DataFrame:
+                   keys: Keys = ("scenario",), default_bp: float = 3.0, on: Keys = ()) -> DataFrame:
     """Daily net return and its parts for many scenarios and cost settings in one job.
 
     ``panel`` (symbol, pos, ret), ``cash`` (pos, cash), ``targets`` (keys, schedule, decision_pos, symbol,
@@ -118,37 +120,41 @@ def lagged_returns(panel: DataFrame, cash: DataFrame, targets: DataFrame, costs:
     the drifted weights.  Only segments holding shorts are folded day by day: their idle cash depends on the
     value path.  ``broke`` marks rows whose growth is not positive; weights are not drifted there, so segments with such
     a row are folded again, symbol by symbol; in them every symbol needs a row on every day.  A return of -1 ends a holding until the next fill.
+
+    ``on`` names the columns of ``keys`` that tell panels apart: ``panel``, ``cash`` and ``targets`` carry them, each panel has positions
+    and a calendar of its own, and all of them are computed at once.
     """
-    keys = list(keys)
+    keys, on = list(keys), list(on)
+    pos = [*on, "pos"]
     bk = [*keys, "cost_mult", "borrow_bp"]
-    segs = stored(segments(targets, panel.select(F.max("pos")).scalar()), "segments")
-    rows = stored(segment_rows(panel, segs), "segment-rows")
+    segs = stored(segments(targets, panel, on), "segments")
+    rows = stored(segment_rows(panel, segs, on), "segment-rows")
     wanted = (targets.withColumnRenamed("decision_pos", "seg")
-              .join(segs.select("schedule", "seg", "is_first"), ["schedule", "seg"]))
+              .join(segs.select(*on, "schedule", "seg", "is_first"), [*on, "schedule", "seg"]))
     w = F.col("weight")
-    daily = (wanted.join(rows, ["schedule", "seg", "symbol"])
+    daily = (wanted.join(rows, [*on, "schedule", "seg", "symbol"])
              .groupBy(*keys, "schedule", "seg", "next_seg", "stop", "pos").agg(
                  F.sum(w * F.col("g0") * F.col("ret")).alias("pnl"), F.sum(F.abs(w) * F.col("g0")).alias("gross0"),
                  F.sum(F.when(w < 0, -w * F.col("g0")).otherwise(0.0)).alias("short0"),
                  F.sum(F.abs(w) * F.col("g1")).alias("gross1"), F.sum(w).alias("invested"), (F.min(w) < 0).alias("shorts")))
-    packed = (daily.where("shorts").join(cash.select("pos", "cash"), "pos").groupBy(*keys, "schedule", "seg", "next_seg", "stop")
+    packed = (daily.where("shorts").join(cash.select(*pos, "cash"), pos).groupBy(*keys, "schedule", "seg", "next_seg", "stop")
               .agg(F.sort_array(F.collect_list(F.struct("pos", "pnl", "gross0", "short0", "gross1", "cash"))).alias("days")))
     grid = costs.select(F.collect_list(F.struct("cost_mult", "borrow_bp"))).scalar()
     path = (packed.withColumn("_c", F.explode(grid)).select("*", "_c.*")
             .withColumn("_r", F.explode(_value_path(F.col("days"), F.col("borrow_bp") / 10_000 / 252 * F.col("cost_mult"))))
             .select(*bk, "schedule", "seg", "next_seg", "stop", "_r.*"))
-    path = stored(path.unionByName(_long_path(daily.where("not shorts"), cash).withColumn("_c", F.explode(grid))
+    path = stored(path.unionByName(_long_path(daily.where("not shorts"), cash, on).withColumn("_c", F.explode(grid))
                                    .select("*", "_c.*").select(*path.columns)), "value-path")
     # yesterday's book at each fill: holdings grown over the finished segment, per unit of its closing value
     closing = rows.where((F.col("pos") == F.col("stop")) & F.col("next_seg").isNotNull())
-    drifted = (wanted.join(closing.select("schedule", "seg", "symbol", "next_seg", "g1"), ["schedule", "seg", "symbol"])
+    drifted = (wanted.join(closing.select(*on, "schedule", "seg", "symbol", "next_seg", "g1"), [*on, "schedule", "seg", "symbol"])
                .select(*keys, "schedule", "seg", "next_seg", "symbol", (w * F.col("g1")).alias("_h")))
     ruined = stored(path.where("after <= 0").select(*bk, "schedule", "seg").distinct(), "ruined")
     by = keys
     if not ruined.isEmpty():
-        again = (wanted.drop("is_first").join(rows, ["schedule", "seg", "symbol"]).join(ruined, [*keys, "schedule", "seg"])
+        again = (wanted.drop("is_first").join(rows, [*on, "schedule", "seg", "symbol"]).join(ruined, [*keys, "schedule", "seg"])
                  .groupBy(*bk, "schedule", "seg", "next_seg", "stop", "pos").agg(F.array_sort(F.collect_list(F.struct("symbol", "weight", "ret"))).alias("_x"))
-                 .join(cash.select("pos", "cash"), "pos").groupBy(*bk, "schedule", "seg", "next_seg", "stop")
+                 .join(cash.select(*pos, "cash"), pos).groupBy(*bk, "schedule", "seg", "next_seg", "stop")
                  .agg(F.array_sort(F.collect_list(F.struct("pos", "cash", F.col("_x.ret").alias("rets")))).alias("_days"),
                       F.min_by("_x.symbol", "pos").alias("_names"), F.min_by("_x.weight", "pos").alias("_weights")))
         again = stored(again.withColumn("_r", F.explode(_ruined_path(F.col("_days"), F.col("_weights"), F.col("borrow_bp") / 10_000 / 252 * F.col("cost_mult"))))
@@ -181,7 +187,7 @@ def lagged_returns(panel: DataFrame, cash: DataFrame, targets: DataFrame, costs:
                        (F.col("borrow") / F.col("before")).alias("borrow_cost"),
                        (F.col("after") / F.col("before")).alias("growth"),
                        (F.col("gross1") / kept).alias("gross_exposure"), "before")
-    head = (trades.where("is_first").join(cash.select("pos", "cash"), "pos")
+    head = (trades.where("is_first").join(cash.select(*pos, "cash"), pos)
             .select(*bk, "pos", zero.alias("gross_pnl"), F.col("cash").alias("cash_pnl"), zero.alias("borrow_cost"),
                     (1 + F.col("cash")).alias("growth"), zero.alias("gross_exposure"), F.lit(1.0).alias("before")))
     out = body.unionByName(head).join(trades.select(*bk, "pos", "trade_cost", "turnover"), [*bk, "pos"], "left")
@@ -201,7 +207,7 @@ def book_totals(daily: DataFrame, keys: Keys) -> DataFrame:
 def contributions(panel: DataFrame, targets: DataFrame, daily: DataFrame, keys: Keys = ("scenario",)) -> DataFrame:
     """Sum of yesterday's weight times today's return per symbol; ``daily`` of one cost setting."""
     keys = list(keys)
-    segs = segments(targets, panel.select(F.max("pos")).scalar())
+    segs = segments(targets, panel)
     held = targets.withColumnRenamed("decision_pos", "seg").join(segment_rows(panel, segs), ["schedule", "seg", "symbol"])
     return (held.join(daily.select(*keys, "pos", "before"), [*keys, "pos"]).groupBy(*keys, "symbol")
             .agg(F.sum(F.col("weight") * F.col("g0") * F.col("ret") / F.col("before")).alias("contribution")))
@@ -235,7 +241,7 @@ def self_financing(panel: DataFrame, cash: DataFrame, targets: DataFrame, cost_b
     ok = bad.withColumn("invested", F.when((F.col("_m") < 0) | (F.col("_s") > 1 + 1e-10), F.raise_error(
         F.lit("targets must be long-only and sum to at most 1")).cast("double")).otherwise(F.col("_s"))).drop("_m", "_s")
     cash_level = cash_levels(cash)
-    segs = segments(targets, panel.select(F.max("pos")).scalar())
+    segs = segments(targets, panel)
     rows = stored(segment_rows(panel, segs), "segment-rows")
     held = targets.withColumnRenamed("decision_pos", "seg").join(rows, ["schedule", "seg", "symbol"])
     w = F.col("weight")

@@ -7,7 +7,7 @@ import importlib
 from .registry import REGISTRY, Query
 
 _MODULES = ("features", "alignment", "crosssection", "tablechecks", "statistics", "resampling",
-            "accounting", "events", "learning", "streams")
+            "accounting", "events", "learning", "streams", "replications")
 
 
 def catalogue() -> dict[str, Query]:
