@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import unused
 
 WIDTH = 8
@@ -59,17 +60,21 @@ def windows(df: DataFrame, *keys: str, width: int = WIDTH, shorter: list[int] |
             .select(*keys, F.col("_w.at").alias("at"), F.col("_w.window").alias("window"), F.col("_w.slots").alias("slots")))
 
 
-def asked_windows(items: DataFrame, width: int, least: int) -> DataFrame:
-    """(item_id, item_at, window, item_slots, item_windows, verbatim) of (item_id, text): the windows to look for.
+def item_tokens(items: DataFrame) -> DataFrame:
+    """(item_id, _template, _slots, _n, _first) of (item_id, text), written once: many windows read the tokens of an item."""
+    made = tokens(items).withColumn("_n", F.size("_template")).where("_n > 0").withColumn("_first", F.regexp_extract("text", r"\p{L}+|\p{N}+", 0))
+    return stored(made.drop("text"), "item-tokens")
+
+
+def asked_windows(made: DataFrame, width: int, least: int) -> DataFrame:
+    """(item_id, item_at, window, item_slots, item_windows, verbatim) of the items' tokens: the windows to look for.
 
     An item shorter than ``width`` has one window of its full length.  Where all windows of an item must match, its first one is there in
     each form the first word can take behind other text (plain, ``<name>``, ``<unit>``), as one position.  The first ``verbatim`` slots
     must be the item's own: in an item shorter than ``width`` those of a window without any plain word, and the first word.
     """
     units = ", ".join(f"'{u}'" for u in UNITS)
-    made = (tokens(items).withColumn("_n", F.size("_template")).where("_n > 0").withColumn("_width", F.least(F.lit(width), F.col("_n")))
-            .withColumn("item_windows", F.col("_n") - F.col("_width") + 1)
-            .withColumn("_first", F.regexp_extract("text", r"\p{L}+|\p{N}+", 0)))
+    made = made.withColumn("_width", F.least(F.lit(width), F.col("_n"))).withColumn("item_windows", F.col("_n") - F.col("_width") + 1)
     strict = made.select("item_id", "item_windows", "_width", "_n", F.posexplode(F.expr("transform(sequence(1, item_windows), i -> struct(slice(_template, i, _width) as t, slice(_slots, i, _width) as s))")).alias("item_at", "_w"))
     others = (made.where((F.col("item_windows") <= least) & (F.element_at("_template", 1) != "<num>"))
               .withColumn("_form", F.explode(F.expr(f"""array_compact(array(
@@ -99,9 +104,9 @@ def matches(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, leas
                             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = (benchmark.where(F.col("text").isNotNull()).groupBy(F.col("text").cast("string").alias("text"))
              .agg(F.min(F.col("item_id").cast("long")).alias("item_id")))
-    asked = asked_windows(items, width, least)
-    sizes = items.select(F.size(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("n")).where(F.col("n").between(1, width - 1)).distinct()
-    shorter = sorted(r["n"] for r in sizes.collect())
+    made = item_tokens(items)
+    asked = stored(asked_windows(made, width, least), "item-windows")
+    shorter = sorted(r["_n"] for r in made.where(F.col("_n") < width).select("_n").distinct().collect())
     if asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         asked = F.broadcast(asked)
     hits = windows(docs, "doc_id", "text_key", width=width, shorter=shorter).join(asked, "window")
