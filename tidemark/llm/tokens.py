@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import string
 from array import array
+from collections.abc import Callable
 
 KEPT_PIECES = 500_000
 PIECE_CHARS = 48
@@ -26,6 +27,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
 
+class Pieces(dict):
+    """Ids of pieces, at most ``kept`` of them; a full table becomes the older one, so that pieces in use survive."""
+
+    def __init__(self, ids_of: Callable[[str], bytes], kept: int) -> None:
+        super().__init__()
+        self.ids_of, self.kept, self.older = ids_of, kept // 2, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.ids_of(piece) if piece else b""
+        if len(piece) <= PIECE_CHARS:
+            if len(self) >= self.kept:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
 
@@ -35,9 +55,7 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
-        self.kept = kept // 2
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces = Pieces(self._piece, kept)
         self.runs: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
 
@@ -66,28 +84,14 @@ class Encoder:
         return self._run(core.lower()) + ids
 
     def encode(self, text: str) -> bytes:
-        known, out = self.pieces, []
-        for piece in text.replace("\n", " ").split(" "):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.older.get(piece)
-                if ids is None:
-                    ids = self._piece(piece) if piece else b""
-                if len(piece) <= PIECE_CHARS:
-                    # a full table becomes the older one, so that pieces in use survive
-                    if len(known) >= self.kept:
-                        self.older = known
-                        known = self.pieces = {}
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def encoder(path: str, kept: int = KEPT_PIECES) -> Encoder:
     """One encoder per worker process and vocabulary, with a table of at most ``kept`` pieces."""
     if path not in _OPEN:
         _OPEN[path] = Encoder(path)
-    _OPEN[path].kept = kept // 2
+    _OPEN[path].pieces.kept = kept // 2
     return _OPEN[path]
 
 
