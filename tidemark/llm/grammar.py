@@ -42,7 +42,7 @@ class Grammar:
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         return np.concatenate([np.ones(self.base, dtype=np.int64), self.lengths])[symbols]
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
+    def _unfold(self, symbols: np.ndarray) -> np.ndarray:
         out = symbols
         while len(out) and (new := out >= self.base).any():
             at = np.cumsum(1 + new) - (1 + new)
@@ -53,6 +53,19 @@ class Grammar:
             out = wide
         return out.astype(np.uint32)
 
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Each distinct symbol is unfolded once, which takes no more room than the result, then copied to its places."""
+        used = np.zeros(self.base + len(self.rules), dtype=bool)
+        used[symbols] = True
+        distinct = np.flatnonzero(used)
+        sizes = np.zeros(len(used), dtype=np.int64)
+        sizes[distinct] = self.sizes(distinct)
+        starts = np.cumsum(sizes) - sizes
+        count = sizes[symbols]
+        place = np.repeat(starts[symbols] - (np.cumsum(count) - count), count)
+        place += np.arange(len(place))
+        return self._unfold(distinct)[place]
+
     def span(self, symbols: np.ndarray, start: int, count: int) -> np.ndarray:
         """Ids ``start`` to ``start + count`` of one document, expanding only the symbols that hold them."""
         ends = np.cumsum(self.sizes(symbols))
@@ -66,14 +79,19 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int = VOCABULARY, pairs:
     """The grammar, the remaining symbols and where each document starts in them.  Every document holds one id at least.
 
     A round replaces the most frequent pairs at once, ``pairs`` at most; every round that finds one shortens the symbols.
+    Once all frequent pairs are replaced none of them is left, and pairs of older symbols only get rarer, so the next round
+    counts the pairs that hold a symbol of the last one.
     """
     symbols, firsts = ids.astype(np.uint32), starts.astype(np.int64)
     rules, lengths = np.empty((0, 2), dtype=np.uint32), np.empty(0, dtype=np.int64)
+    fresh = 0
     while len(symbols) > 1:
-        keys = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-        inside = np.ones(len(keys), dtype=bool)
+        late = symbols >= fresh
+        inside = late[:-1] | late[1:]
         inside[firsts[1:] - 1] = False
-        ordered = np.sort(keys[inside])
+        place = np.flatnonzero(inside)
+        keys = symbols[place].astype(np.uint64) << np.uint64(32) | symbols[place + 1]
+        ordered = np.sort(keys)
         edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, dtype=np.int64)
         counts = np.diff(np.r_[edge, len(ordered)])
         enough = np.flatnonzero(counts >= least)
@@ -81,15 +99,20 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int = VOCABULARY, pairs:
             break
         best = enough[np.argsort(-counts[enough], kind="stable")[:pairs]]
         chosen = np.sort(ordered[edge[best]])
-        # A pair's slot in a small table by hash, so that most positions are settled by one lookup.
+        # A pair's slot in a small table by hash; pairs that share a slot are searched for.
         bits = np.uint64(64 - 18)
         mix = np.uint64(0x9E3779B97F4A7C15)
-        seen = np.zeros(1 << 18, dtype=bool)
-        seen[(chosen * mix >> bits).astype(np.int64)] = True
-        at = np.flatnonzero(seen[(keys * mix >> bits).astype(np.int64)] & inside)
-        rule = np.searchsorted(chosen, keys[at])
-        hit = (rule < len(chosen)) & (chosen[np.minimum(rule, len(chosen) - 1)] == keys[at])
-        at, rule = at[hit], rule[hit]
+        slot = (chosen * mix >> bits).astype(np.int64)
+        table = np.full(1 << 18, -1, dtype=np.int32)
+        table[slot] = np.arange(len(chosen))
+        table[slot[table[slot] != np.arange(len(chosen))]] = -2
+        rule = table[(keys * mix >> bits).astype(np.int64)]
+        near = np.flatnonzero(rule != -1)
+        rule, wanted = rule[near], keys[near]
+        shared = np.flatnonzero(rule == -2)
+        rule[shared] = np.minimum(np.searchsorted(chosen, wanted[shared]), len(chosen) - 1)
+        hit = chosen[rule] == wanted
+        at, rule = place[near[hit]], rule[hit]
         # Where pairs overlap, every second one from the left is taken.
         step = np.arange(len(at))
         opens = np.r_[True, np.diff(at) != 1]
@@ -97,6 +120,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int = VOCABULARY, pairs:
         at, rule = at[taken], rule[taken]
         made = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         size = np.concatenate([np.ones(base, dtype=np.int64), lengths])
+        fresh = base + len(rules) if len(enough) == len(best) else 0
         symbols[at] = (base + len(rules) + rule).astype(np.uint32)
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False

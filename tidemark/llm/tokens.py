@@ -67,7 +67,9 @@ class Encoder:
         if got is None:
             if len(self.runs) >= KEPT_PIECES:
                 self.runs.clear()
-            got = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            # ASCII letters are their own byte-level letters
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            got = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
             self.runs[word] = got
         return got
 
@@ -75,6 +77,8 @@ class Encoder:
         core = piece.rstrip(MARKS)
         if not core.isalpha() or not core.isascii() and max(core) >= "\u0100":
             return self._library(piece)
+        if len(core) == len(piece):
+            return self._run(core.lower())
         tail = piece[len(core):]
         ids = self.tails.get(tail)
         if ids is None:
