@@ -41,6 +41,14 @@ def quoted(src: str = "bars", name: str = "q") -> str:
             f"volume / 2 AS ask_volume FROM {src})")
 
 
+def booked(unit: str = "hour", name: str = "q") -> str:
+    ts, money = TS.format(unit=unit, col="ts"), "floor(value * 100 + 0.5)"
+    return (f"{name} AS (SELECT *, price - spread / 2 AS bid, price + spread / 2 AS ask FROM (SELECT event_type AS symbol, {ts} AS ts, "
+            f"sum({money}) / count(*) / 100.0 + 100.0 AS price, sum({money}) / 100.0 AS volume, CAST(count(*) AS DOUBLE) AS trade_count, "
+            f"(max({money}) - min({money})) / 1e5 + 0.01 AS spread, sum(CASE WHEN user_id % 2 = 0 THEN {money} ELSE 0 END) / 100.0 AS bid_volume, "
+            f"sum(CASE WHEN user_id % 2 = 0 THEN 0 ELSE {money} END) / 100.0 AS ask_volume FROM events GROUP BY 1, 2))")
+
+
 def aligned(src: str = "panel", name: str = "p") -> str:
     return (f"{name}_cal AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS pos FROM {src} GROUP BY ts "
             f"HAVING count(*) = (SELECT count(DISTINCT symbol) FROM {src})), "

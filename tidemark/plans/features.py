@@ -78,15 +78,14 @@ def zscore_sql(cols, src="feat", n=100):
                      f"(stddev_samp({x}) OVER {f} + 1e-8) END AS {x}_z" for x in cols)
 
 
-Z_COLUMNS = [n for n in rolling.BAR_FEATURES if n not in ("orderbook_imbalance", "spread_norm")]
+Z_COLUMNS = list(rolling.BAR_FEATURES)
 
 
 @query("scaled_bar_features", "W10 M8 W19", "symbol:s ts:t " + " ".join(f"{n}_z:d" for n in Z_COLUMNS) + " target:d", f"""
-WITH {c.bars()}, {c.quoted()}, {c.own_pos('q', 'b')}, {bar_features_sql()}
+WITH {panels.BOOKED_BARS}, {bar_features_sql()}
 SELECT symbol, ts, {zscore_sql(Z_COLUMNS)}, ln(lead(price, 1) OVER {W}) - ln(price) AS target FROM feat""")
 def scaled_bar_features(spark, folder):
-    # imbalance and spread are constant on this panel, so their deviation is rounding noise over eps
-    feats = rolling.bar_features(_bars(spark, folder))
+    feats = rolling.bar_features(panels.booked_bars(spark, folder))
     return rolling.forward_log_return(rolling.rolling_zscore(feats, Z_COLUMNS), 1)
 
 

@@ -30,7 +30,13 @@ def quoted_bars(spark: SparkSession, folder: str) -> DataFrame:
         rolling.quote_from_bar(tables.minute_events(spark, folder)), ["symbol"]))
 
 
+def booked_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars whose spread and book sizes vary from bar to bar."""
+    return tables.kept(spark, ("booked", folder), lambda: blocks.numbered(tables.booked_events(spark, folder), ["symbol"]))
+
+
 QUOTED_BARS = f"{c.bars()}, {c.quoted()}, {c.own_pos('q', 'b')}"
+BOOKED_BARS = f"{c.booked()}, {c.own_pos('q', 'b')}"
 
 
 def cash(spark: SparkSession, folder: str, unit: str = "day") -> DataFrame:

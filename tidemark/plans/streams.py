@@ -34,18 +34,18 @@ def live_quoted_bars(spark, folder):
 
 
 def _live(spark, folder):
-    bars = replay.replay(panels.quoted_bars(spark, folder))
+    bars = replay.replay(panels.booked_bars(spark, folder))
     return tables.kept(spark, ("live_features", folder), lambda: replay.to_table(
         stateful.live_features(bars, tuple(Z_COLUMNS)), "features").withColumn("ts", stamp()))
 
 
 @query("live_bar_features", "T2 S12", "symbol:s ts:t " + " ".join(f"{n}:d" for n in stateful.FEATURES), f"""
-WITH {panels.QUOTED_BARS}, {bar_features_sql()} SELECT * FROM feat WHERE pos >= 50""")
+WITH {panels.BOOKED_BARS}, {bar_features_sql()} SELECT * FROM feat WHERE pos >= 50""")
 def live_bar_features(spark, folder):
     return _live(spark, folder)
 
 
-ZS = f"WITH {panels.QUOTED_BARS}, {bar_features_sql()}, z AS (SELECT symbol, ts, pos, {zscore_sql(Z_COLUMNS)} FROM feat)"
+ZS = f"WITH {panels.BOOKED_BARS}, {bar_features_sql()}, z AS (SELECT symbol, ts, pos, {zscore_sql(Z_COLUMNS)} FROM feat)"
 
 
 @query("live_scaled_features", "T3", "symbol:s ts:t " + " ".join(f"{n}_z:d" for n in Z_COLUMNS), f"{ZS} SELECT * FROM z WHERE pos >= 149")

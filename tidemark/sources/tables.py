@@ -75,6 +75,20 @@ def minute_events(spark: SparkSession, folder: str, unit: str = "hour") -> DataF
                  F.count(F.lit(1)).cast("double").alias("trade_count")))
 
 
+def booked_events(spark: SparkSession, folder: str, unit: str = "hour") -> DataFrame:
+    """Bars of ``minute_events`` with a book: even users bid and the others ask, the spread grows with the range of values."""
+    money = cents(F.col("value"))
+    bid = F.sum(F.when(F.col("user_id") % 2 == 0, money).otherwise(0))
+    half = ((F.max(money) - F.min(money)) / 1e5 + 0.01) / 2
+    price = mean_of_cents(F.col("value")) + 100.0
+    return (table(spark, folder, "events")
+            .groupBy(F.col("event_type").alias("symbol"),
+                     F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("ts"))
+            .agg(price.alias("price"), (F.sum(money) / 100.0).alias("volume"), F.count(F.lit(1)).cast("double").alias("trade_count"),
+                 (price - half).alias("bid"), (price + half).alias("ask"), (bid / 100.0).alias("bid_volume"),
+                 ((F.sum(money) - bid) / 100.0).alias("ask_volume")))
+
+
 def ticks(spark: SparkSession, folder: str, kinds: list[str]) -> DataFrame:
     """(symbol, ts, event_id, value): raw events of the given types, user id as symbol."""
     return (table(spark, folder, "events").where(F.col("event_type").isin(kinds))
