@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import numbered
+from .calendars import exact_step_mask
 from .quantiles import exact_percentiles
 from .rolling import equity, trailing_percentile
 
@@ -22,6 +24,25 @@ def calibrate_k(forecast: DataFrame, keys: Sequence[str] = ("symbol",), utilisat
     return ref.select(*keys, F.when(F.col("_ref") < eps, 0.0).otherwise(utilisation * maximum / F.col("_ref")).alias("k"))
 
 
+def fold_positions(folds: DataFrame, first: str, stop: str) -> DataFrame:
+    """(fold, pos): the calendar positions of one slice of every fold; a position may belong to several folds."""
+    last = F.col(stop) - 1
+    return folds.where(last >= F.col(first)).select("fold", F.explode(F.sequence(first, last)).alias("pos"))
+
+
+def walk_forward_k(forecast: DataFrame, folds: DataFrame, **options: float) -> DataFrame:
+    """(fold, symbol, k): k of each fold from the forecasts of its purged training slice only."""
+    training = forecast.join(fold_positions(folds, "train_start", "train_stop"), "pos")
+    return calibrate_k(training, ("fold", "symbol"), **options)
+
+
+def evaluated_bars(calendar: DataFrame, folds: DataFrame, seconds: int) -> DataFrame:
+    """(fold, pos, step): test bars whose forward return spans exactly ``seconds``, numbered inside their fold."""
+    exact = exact_step_mask(calendar.select("ts", "pos"), seconds).where("is_step").drop("is_step")
+    tested = exact.join(fold_positions(folds, "test_start", "test_stop"), "pos")
+    return numbered(tested, ["fold"], pos="step").select("fold", "pos", "step")
+
+
 def score_variants(forecast: DataFrame, k: DataFrame, window: int = 500, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """(symbol, ts, pos, fwd, variant, score) in long form; ``k`` is joined on ``keys``."""
     mu, sigma = F.col("mu"), F.col("sigma")

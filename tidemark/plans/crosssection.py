@@ -22,29 +22,41 @@ def calibrated_k(spark, folder):
     return scoring.calibrate_k(panels.forecasts(spark, folder))
 
 
-SCORES_SQL = f"""{panels.FORECASTS}, {K_SQL},
+TRAIN, TEST, PURGE = 200, 100, 1
+FOLDS_SQL = f"""fd AS (SELECT s, s // {TEST} AS fold FROM (SELECT unnest(range(0, greatest(n - {TRAIN + TEST} + 1, 0), {TEST})) AS s FROM (SELECT count(*) AS n FROM b_cal))),
+kf AS (SELECT symbol, fold, CASE WHEN q < 1e-6 THEN 0.0 ELSE 0.5 / q END AS k FROM
+ (SELECT symbol, fold, quantile_cont(abs(mu / (sigma * sigma + 1e-6)), 0.95) AS q FROM fc JOIN fd ON pos >= s AND pos < s + {TRAIN - PURGE} GROUP BY 1, 2)),
+ex AS (SELECT pos, lead(ts) OVER (ORDER BY ts) - ts = INTERVAL 1 HOUR AS exact FROM b_cal),
+te AS (SELECT fold, ex.pos FROM ex JOIN fd ON ex.pos >= s + {TRAIN} AND ex.pos < s + {TRAIN + TEST} WHERE exact)"""
+SCORES_SQL = f"""{panels.FORECASTS}, {FOLDS_SQL},
 w0 AS (SELECT *, list(mu) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS past,
- exp(ln(lead(price) OVER {W}) - ln(price)) - 1 AS fwd FROM fc),
-w1 AS (SELECT w0.*, mu / (sigma + 1e-6) AS mu_over_sigma, k * mu / (sigma * sigma + 1e-6) AS kelly_edge,
+ exp(ln(lead(price) OVER {W}) - ln(price)) - 1 AS fwd, (price - lag(price, 20) OVER {W}) / lag(price, 20) OVER {W} AS momentum FROM fc),
+w1 AS (SELECT w0.*, te.fold, mu / (sigma + 1e-6) AS mu_over_sigma, k * mu / (sigma * sigma + 1e-6) AS kelly_edge,
  CASE WHEN coalesce(len(past), 0) > 0 THEN len(list_filter(past, lambda v: v <= mu))::DOUBLE / len(past) ELSE 0.5 END AS mu_percentile,
- {c.uniform('7', 'pos', 'w0.symbol')} AS random, (price - lag(price, 20) OVER (PARTITION BY w0.symbol ORDER BY pos)) / lag(price, 20) OVER (PARTITION BY w0.symbol ORDER BY pos) AS momentum
- FROM w0 JOIN kk USING (symbol)),
-sc AS (SELECT symbol, ts, pos, fwd, variant, score FROM (SELECT symbol, ts, pos, fwd, mu, mu_over_sigma, kelly_edge, p_up, mu_percentile,
+ {c.uniform('7', 'w0.pos', 'w0.symbol')} AS random
+ FROM w0 JOIN te USING (pos) JOIN kf ON kf.symbol = w0.symbol AND kf.fold = te.fold),
+sc AS (SELECT symbol, ts, pos, fold, fwd, variant, score FROM (SELECT symbol, ts, pos, fold, fwd, mu, mu_over_sigma, kelly_edge, p_up, mu_percentile,
  random, momentum, -momentum AS reversal FROM w1) UNPIVOT (score FOR variant IN (mu, mu_over_sigma, kelly_edge, p_up, mu_percentile, random, momentum, reversal)))"""
 
 
 def scored(spark, folder):
+    """Test bars of the walk-forward folds; k comes from each fold's training slice, histories run over all bars."""
     def build():
+        calendar = panels.event_aligned(spark, folder).select("ts", "pos").distinct()
+        folds = calendars.rolling_folds(calendar, TRAIN, TEST, TEST, purge=PURGE)
+        bars = scoring.evaluated_bars(calendar, folds, 3600)
         f = panels.forecasts(spark, folder)
         f = scoring.simple_forward(rolling.forward_log_return(f, 1)).select("symbol", "ts", "pos", "price", "fwd", "mu", "sigma", "p_up")
-        model = scoring.score_variants(f, scoring.calibrate_k(f), window=50).select("symbol", "ts", "pos", "fwd", "variant", "score")
-        base = f.select("symbol", "ts", "pos", "price", "fwd")
+        tested = f.join(bars, "pos", "left")
+        keep = ["symbol", "ts", "pos", "fold", "step", "fwd", "variant", "score"]
+        model = scoring.score_variants(tested, scoring.walk_forward_k(f, folds), 50, ("fold", "symbol")).select(*keep)
+        base = tested.select("symbol", "ts", "pos", "fold", "step", "price", "fwd")
         rnd = ranking.hash_scores(base, 7).withColumn("variant", F.lit("random"))
         mom = rolling.bar_momentum(base, 20)
         rows = [rnd, mom.withColumn("score", F.col("momentum")).withColumn("variant", F.lit("momentum")),
                 mom.withColumn("score", F.col("reversal")).withColumn("variant", F.lit("reversal"))]
         for r in rows:
-            model = model.unionByName(r.select(*model.columns))
+            model = model.unionByName(r.where(F.col("fold").isNotNull()).select(*keep))
         return model
     return tables.kept(spark, ("scored", folder), build)
 
@@ -74,14 +86,13 @@ def gross_spread(spark, folder):
     return ranking.gross_spread(scored(spark, folder), 2, 2)
 
 
-BOOK_SQL = f"""{RANK_SQL}, book AS (SELECT *, pos // 100 AS fold, CASE WHEN place > n - 2 THEN -0.25 WHEN place <= 2 THEN 0.25 ELSE 0.0 END AS weight
+BOOK_SQL = f"""{RANK_SQL}, book AS (SELECT *, CASE WHEN place > n - 2 THEN -0.25 WHEN place <= 2 THEN 0.25 ELSE 0.0 END AS weight
  FROM rk WHERE n >= 4), tv AS (SELECT fold, variant, ts, sum(abs(weight - coalesce(pw, 0))) AS turnover FROM
  (SELECT *, lag(weight) OVER (PARTITION BY fold, variant, symbol ORDER BY pos) AS pw FROM book) GROUP BY 1, 2, 3)"""
 
 
 def _book(spark, folder):
-    b = ranking.ranked_book(scored(spark, folder), 2, 2)
-    return b.withColumn("fold", F.floor(F.col("pos") / 100)).withColumn("step", F.col("pos") % 100)
+    return ranking.ranked_book(scored(spark, folder), 2, 2)
 
 
 @query("ranked_book_weights", "X5", "symbol:s ts:t variant:s weight:d", f"WITH {BOOK_SQL} SELECT symbol, ts, variant, weight FROM book")
