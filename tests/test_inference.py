@@ -236,3 +236,13 @@ def test_resampled_means_of_zero_are_not_above_zero(spark):
     out = resampling.day_bootstrap(df, n_boot=500, seed=3).first()
     exact = resampling.day_bootstrap(df.withColumn("ic", F.round(F.col("ic") * 10)), n_boot=500, seed=3).first()
     assert out["p_leq_zero"] == exact["p_leq_zero"]
+
+
+def test_trees_score_every_window_and_skip_one_without_labels(spark):
+    rows = [(s, p, [[float(p % 2)], [float((p + k) % 3)]], float(p % 2) - 0.5 if p >= 20 else None)
+            for k, s in enumerate("ab") for p in range(120)]
+    samples = spark.createDataFrame(rows, "symbol string, pos long, seq array<array<double>>, y double")
+    windows = spark.createDataFrame([(0, 10, 60), (1, 60, 90), (2, 90, 120)], "block int, test_start long, test_stop long")
+    got = learning.tree_forecasts(samples, windows, rounds=3, depth=2, leaf_rows=5).collect()
+    assert {r["block"] for r in got} == {1, 2} and len(got) == 120
+    assert all((r["forecast"] > 0) == (r["pos"] % 2 == 1) for r in got)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.stat import Correlation, Summarizer
@@ -188,21 +190,30 @@ def refit_forecasts(samples: DataFrame, first: int, every: int = 21, days: int =
 
 
 def tree_forecasts(samples: DataFrame, windows: DataFrame, delay: int = 2, subset: Sequence[int] | None = None,
-                   rounds: int = 20, depth: int = 4) -> DataFrame:
-    """Boosted trees on the same standardised vectors; one distributed fit per window (a handful)."""
+                   rounds: int = 300, depth: int = 4, leaf_rows: int = 200, at_once: int = 8) -> DataFrame:
+    """Boosted trees on the same standardised vectors; one distributed fit per window (a handful), ``at_once`` of them together.
+
+    A window without a mature label fits nothing and gives no forecast.
+    """
     s = subset_channels(samples, subset)
     train = training_rows(s, windows, delay)
     scalers = scaler_arrays(pooled_scaler(train))
     # boosting reads its input many times
     fit_rows = stored(standardised(train, scalers).select("block", "z", "y"), "tree-rows").withColumn("features", array_to_vector("z"))
     test_rows = standardised(owned(s, windows), scalers).withColumn("features", array_to_vector("z"))
+    trees = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="forecast", maxIter=rounds, maxDepth=depth, stepSize=0.05,
+                         subsamplingRate=0.7, featureSubsetStrategy="0.7", minInstancesPerNode=leaf_rows, seed=7)
+
+    @inheritable_thread_target(samples.sparkSession)
+    def scored(block: int) -> DataFrame:
+        model = trees.fit(fit_rows.where(F.col("block") == block))
+        return model.transform(test_rows.where(F.col("block") == block))
+
+    blocks = [r[0] for r in fit_rows.select("block").distinct().orderBy("block").collect()]
     out = test_rows.where(F.lit(False)).withColumn("forecast", F.lit(0.0))
-    # windows without a mature label fit nothing
-    for (block,) in fit_rows.select("block").distinct().orderBy("block").collect():
-        model = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="forecast", maxIter=rounds, maxDepth=depth,
-                             stepSize=0.05, subsamplingRate=0.7, featureSubsetStrategy="0.7", minInstancesPerNode=20, seed=7)
-        scored = model.fit(fit_rows.where(F.col("block") == block)).transform(test_rows.where(F.col("block") == block))
-        out = out.unionByName(scored)
+    with ThreadPoolExecutor(at_once) as pool:
+        for part in pool.map(scored, blocks):
+            out = out.unionByName(part)
     return out.drop("z", "features", "seq")
 
 

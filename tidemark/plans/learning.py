@@ -112,12 +112,15 @@ def refit_ridge_forecasts(spark, folder):
     return learning.refit_forecasts(base_samples(spark, folder), FIRST)
 
 
+TREE_ROUNDS = 20
+
+
 @query("feature_model_grid", "M4 M6 A19", "cell:s n_labels:i direction_accuracy:d always_up_accuracy:d normalized_mse:d label_second_moment:d long_share:d")
 def feature_model_grid(spark, folder):
-    s, w = samples(spark, folder), windows(spark, folder, n=2)
+    s, w = samples(spark, folder), windows(spark, folder)
     base = list(range(len(BASE)))
     cells = {"base_ridge": learning.ridge_forecasts(s, w, subset=base), "ext_ridge": learning.ridge_forecasts(s, w),
-             "base_trees": learning.tree_forecasts(s, w, subset=base, rounds=5), "ext_trees": learning.tree_forecasts(s, w, rounds=5)}
+             "base_trees": learning.tree_forecasts(s, w, subset=base, rounds=TREE_ROUNDS), "ext_trees": learning.tree_forecasts(s, w, rounds=TREE_ROUNDS)}
     rows = None
     for name, f in cells.items():
         part = f.select(F.lit(name).alias("cell"), "forecast", "y")
