@@ -208,10 +208,8 @@ def holdout_restart(spark, folder):
 N_BOOT, SEED = 10_000, 11
 
 
-def screening(spark, folder, unit="week", n_boot=N_BOOT, seed=SEED, scale=50.0, **limits):
-    """Gates A-D over all variants; leave-one-out books only for variants that pass A-C."""
-    d = daily(spark, folder, unit, scale)
-    cash, r = weekly_cash(spark, folder, unit), returns_panel(spark, folder, unit, scale)
+def gate_facts(d, cash, n_boot=N_BOOT, seed=SEED):
+    """Per variant: lower bound of the excess over the matched book, drawdowns at single and double costs, stressed growth."""
     matched = F.col("scenario") == "matched_long"
     ex = statistics.excess_months(d.where(~matched), d.where(matched), ["cost_mult"], ["scenario", "cost_mult"])
     ex1 = ex.where(F.col("cost_mult") == 1.0).drop("cost_mult")
@@ -219,11 +217,19 @@ def screening(spark, folder, unit="week", n_boot=N_BOOT, seed=SEED, scale=50.0,
     st = statistics.annualised(d.where(~matched & (F.col("cost_mult") <= 2)), cash, ["scenario", "cost_mult"])
     base = st.where(F.col("cost_mult") == 1).select("scenario", F.col("max_drawdown").alias("dd_base"))
     stress = st.where(F.col("cost_mult") == 2).select("scenario", F.col("max_drawdown").alias("dd_stress"), F.col("cagr").alias("cagr_stress"))
+    return boot.join(base, "scenario").join(stress, "scenario").join(statistics.monthly_sharpe(ex1), "scenario")
+
+
+def screening(spark, folder, unit="week", n_boot=N_BOOT, seed=SEED, scale=50.0, **limits):
+    """Gates A-D over all variants; leave-one-out books only for variants that pass A-C."""
+    d = daily(spark, folder, unit, scale)
+    cash, r = weekly_cash(spark, folder, unit), returns_panel(spark, folder, unit, scale)
+    matched = F.col("scenario") == "matched_long"
+    facts = gate_facts(d, cash, n_boot, seed)
     one = d.where(F.col("cost_mult") == 1)
     bench = one.where(matched).select("ts", F.log1p("net").alias("_b"))
     logs = one.where(~matched).join(bench, "ts").withColumn("log_excess", F.log1p("net") - F.col("_b"))
     years = statistics.year_driver_ok(statistics.full_years(logs))
-    facts = (boot.join(base, "scenario").join(stress, "scenario").join(statistics.monthly_sharpe(ex1), "scenario"))
     early = tables.stored(statistics.screening_gates(facts, **limits), "gates")
     loo = leave_one_out(spark, signals(spark, folder, unit), r, cash, early.where("passed_abc").select("scenario"))
     loo_ok = loo.groupBy("scenario").agg(F.bool_and(F.col("excess") > 0).alias("loo_ok"))
@@ -264,6 +270,37 @@ def trend_screening(spark, folder):
     return screening(spark, folder).withColumn("years_ok", F.coalesce("years_ok", F.lit(False)))
 
 
+HELD_OUT = "ho AS (SELECT * FROM tg WHERE d > (SELECT count(*) * 3 // 5 FROM p_cal))"
+HOLDOUT_SQL = SCREEN_SQL.replace(loop_sql(LADDER), f"{HELD_OUT}, {loop_sql(LADDER, targets='ho')}")
+
+
+def holdout_daily(spark, folder):
+    """Books restarted from cash after the first three fifths of the calendar, so that the entry is paid for, at every cost setting."""
+    def build():
+        r = returns_panel(spark, folder)
+        cut = panels.calendar(spark, folder, "week").select(F.floor(F.count(F.lit(1)) * 3 / 5)).scalar()
+        t = targets(spark, folder).where(F.col("decision_pos") > cut)
+        return accounting.lagged_returns(r, weekly_cash(spark, folder), t, cost_grid(spark), symbol_bp(r))
+    return tables.kept(spark, ("holdout_daily", folder), build).join(panels.calendar(spark, folder, "week"), "pos")
+
+
+@query("holdout_gates", "A17 R1", "variant:s ann_lower_95:d dd_base:d dd_stress:d cagr_stress:d gate_a:b gate_b:b gate_c:b passed_all:b", f"""
+WITH RECURSIVE {HOLDOUT_SQL} SELECT *, gate_a AND gate_b AND gate_c AS passed_all FROM g3""")
+def holdout_gates(spark, folder):
+    gates = statistics.screening_gates(gate_facts(holdout_daily(spark, folder), weekly_cash(spark, folder)))
+    return gates.withColumn("passed_all", F.col("passed_abc")).withColumnRenamed("scenario", "variant")
+
+
+@query("holdout_entry_costs", "A17 B6", "scenario:s cost_mult:d entry_ts:t entry_cost:d entry_turnover:d growth:d trade_cost_sum:d borrow_cost_sum:d", f"""
+WITH RECURSIVE {SIGNALS_SQL}, {HELD_OUT}, {loop_sql(LADDER, targets='ho')}
+SELECT scenario, cost_mult, min(ts) AS entry_ts, arg_min(trade_cost, ts) AS entry_cost, arg_min(turnover, ts) AS entry_turnover, product(1 + net) AS growth,
+ sum(trade_cost) AS trade_cost_sum, sum(borrow_cost) AS borrow_cost_sum FROM bk GROUP BY 1, 2""")
+def holdout_entry_costs(spark, folder):
+    return holdout_daily(spark, folder).groupBy("scenario", "cost_mult").agg(
+        F.min("ts").alias("entry_ts"), F.min_by("trade_cost", "ts").alias("entry_cost"), F.min_by("turnover", "ts").alias("entry_turnover"),
+        F.product(1 + F.col("net")).alias("growth"), F.sum("trade_cost").alias("trade_cost_sum"), F.sum("borrow_cost").alias("borrow_cost_sum"))
+
+
 LOO_SQL = f"""{SIGNALS_SQL.rsplit('rw AS', 1)[0]} exq AS (SELECT 'loo_' || symbol AS exclude_id, symbol FROM SLEEVES UNION ALL SELECT 'loo_sleeve_' || sleeve, symbol FROM SLEEVES),
 sx AS (SELECT sm.scenario || '#' || i.exclude_id AS scenario, sm.d, sm.symbol, signal, vol FROM sm, (SELECT DISTINCT exclude_id FROM exq) i WHERE NOT EXISTS (SELECT 1 FROM exq e WHERE e.exclude_id = i.exclude_id AND e.symbol = sm.symbol)),
 rw AS (SELECT *, coalesce(CASE WHEN vol > 0 THEN signal / vol END, 0) AS raw FROM sx),
