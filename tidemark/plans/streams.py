@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import headline_score
-from ..operators import ranking
 from ..sources import tables
 from ..streaming import recalibration, replay, stateful
+from ..streaming.eventtime import after_watermark, watermarked
 from . import crosssection, ctes as c
 from . import events as ev
 from . import panels
@@ -26,17 +26,18 @@ WITH bars AS (SELECT user_id AS symbol, ts, event_id, value FROM events WHERE ev
 quotes AS (SELECT user_id AS symbol, ts, event_id AS quote_id, value AS quote_value FROM events WHERE event_type IN ('view', 'click'))
 SELECT b.symbol, b.event_id, b.value, q.quote_id, q.quote_value FROM bars b ASOF JOIN quotes q ON b.symbol = q.symbol AND b.ts >= q.ts""")
 def live_quoted_bars(spark, folder):
-    stream = replay.replay(tables.table(spark, folder, "events"))
-    quote = F.col("event_type").isin("view", "click")
-    quotes = stream.where(quote).select(F.col("user_id").alias("symbol"), "ts", F.col("event_id").alias("quote_id"), F.col("value").alias("quote_value"))
-    bars = stream.where(F.col("event_type").isin("purchase", "error")).select(F.col("user_id").alias("symbol"), "ts", "event_id", "value")
-    return replay.to_table(stateful.quoted_bars(quotes, bars), "quoted")
+    source = replay.Replay(tables.table(spark, folder, "events").select(
+        F.col("user_id").alias("symbol"), "ts", "event_type", F.col("event_id").alias("id"), "value"))
+    quote, bar = F.col("event_type").isin("view", "click"), F.col("event_type").isin("purchase", "error")
+    rows = after_watermark(watermarked(source.stream), quote | bar).withColumn("is_bar", bar)
+    return source.to_table(stateful.quoted_bars(rows, delay=None), "quoted")
 
 
 def _live(spark, folder):
-    bars = replay.replay(panels.booked_bars(spark, folder))
-    return tables.kept(spark, ("live_features", folder), lambda: replay.to_table(
-        stateful.live_features(bars, tuple(Z_COLUMNS)), "features").withColumn("ts", stamp()))
+    def build():
+        source = replay.Replay(panels.booked_bars(spark, folder))
+        return source.to_table(stateful.live_features(source.stream, tuple(Z_COLUMNS)), "features").withColumn("ts", stamp())
+    return tables.kept(spark, ("live_features", folder), build)
 
 
 @query("live_bar_features", "T2 S12", "symbol:s ts:t " + " ".join(f"{n}:d" for n in stateful.FEATURES), f"""
@@ -65,39 +66,53 @@ def live_news_features(spark, folder):
     news = tables.headline_feed(spark, folder).select("symbol", F.col("created_at").alias("ts"), headline_score(F.col("headline")).alias("score"))
     bars = tables.minute_events(spark, folder).select("symbol", "ts", F.lit(None).cast("double").alias("score"))
     both = news.withColumn("is_bar", F.lit(False)).unionByName(bars.withColumn("is_bar", F.lit(True)))
-    stream = replay.replay(both)
-    live = stateful.live_news(stream.where(~F.col("is_bar")).withColumnRenamed("ts", "created_at"), stream.where("is_bar"), 240)
-    return replay.to_table(live, "news").withColumn("ts", stamp())
+    source = replay.Replay(both)
+    timed, bar = watermarked(source.stream), F.col("is_bar")
+    at_news = after_watermark(timed, ~bar).withColumnRenamed("ts", "created_at")
+    live = stateful.live_news(at_news, after_watermark(timed, bar), 240, delay=None)
+    return source.to_table(live, "news").withColumn("ts", stamp())
 
 
 @query("live_sizing", "T6 B5 P16", "symbol:s ts:t position:d realized_return:d", ev.RISK_SQL)
 def live_sizing(spark, folder):
-    stream = replay.replay(ev.positioned(spark, folder))
-    return replay.to_table(stateful.live_sizing(stream, **ev.OVERLAY), "sizing").withColumn("ts", stamp())
+    source = replay.Replay(ev.positioned(spark, folder))
+    return source.to_table(stateful.live_sizing(source.stream, **ev.OVERLAY), "sizing").withColumn("ts", stamp())
 
 
-@query("live_outcomes", "T7 J11", "symbol:s ts:t entry_price:d outcome:d", f"""
-WITH {panels.QUOTED_BARS}, o AS (SELECT symbol, ts, price AS entry_price, ln(lead(price, 3) OVER {W}) - ln(price) AS outcome FROM b)
-SELECT * FROM o WHERE outcome IS NOT NULL""")
+OUTCOMES = f"""{panels.QUOTED_BARS}, o AS (SELECT * FROM (SELECT symbol, ts, pos, price AS entry_price, ln(lead(price, 3) OVER {W}) - ln(price) AS outcome FROM b)
+WHERE outcome IS NOT NULL)"""
+
+
+def _outcomes(spark, folder):
+    def build():
+        source = replay.Replay(panels.quoted_bars(spark, folder))
+        return source.to_table(stateful.live_outcomes(source.stream, 3), "outcomes").withColumn("ts", stamp())
+    return tables.kept(spark, ("live_outcomes", folder), build)
+
+
+@query("live_outcomes", "T7 J11", "symbol:s ts:t entry_price:d outcome:d", f"WITH {OUTCOMES} SELECT * FROM o")
 def live_outcomes(spark, folder):
-    return replay.to_table(stateful.live_outcomes(replay.replay(panels.quoted_bars(spark, folder)), 3), "outcomes").withColumn("ts", stamp())
+    return _outcomes(spark, folder)
+
+
+@query("live_matured_batches", "T7", "symbol:s ts:t n_ready:i batch_mean:d batch_sd:d", f"""
+WITH {OUTCOMES} SELECT symbol, ts, least(pos + 1, 5000) AS n_ready, avg(outcome) OVER v AS batch_mean, stddev_samp(outcome) OVER v AS batch_sd
+FROM o WINDOW v AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 255 PRECEDING AND CURRENT ROW) QUALIFY pos >= 63""")
+def live_matured_batches(spark, folder):
+    return _outcomes(spark, folder).where(F.col("batch_mean").isNotNull())
 
 
 @query("live_synchronised_book", "T8 X8 X7", "symbol:s ts:t side:i weight:d", f"""
 WITH {crosssection.HYST_SQL} SELECT symbol, ts, side, weight FROM nw""")
 def live_synchronised_book(spark, folder):
-    f = panels.forecasts(spark, folder).select("symbol", "ts", "pos", "mu", "sigma")
-    stream = replay.replay(f)
-    bars = replay.to_table(stateful.synchronised(stream, 5), "bars")
-    rows = bars.select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.explode("members").alias("m")).select("ts", "m.*")
-    rows = rows.join(f.select("ts", "pos").distinct(), "ts").withColumn("universe_pos", F.col("symbol")).withColumn(
-        "edge", F.col("mu") / (F.col("sigma") * F.col("sigma") + 1e-6))
-    return ranking.neutral_weights(ranking.hysteresis_sides(rows, 1, 1, 2))
+    edge = F.col("mu") / (F.col("sigma") * F.col("sigma") + 1e-6)
+    source = replay.Replay(panels.forecasts(spark, folder).select(F.lit("all").alias("universe"), "symbol", "ts", edge.alias("edge")))
+    return source.to_table(stateful.live_book(source.stream, 5, 1, 1, 2), "book").withColumn("ts", stamp())
 
 
 @query("live_recalibrated_k", "T9 A26", "symbol:s k:d", f"""
 WITH {panels.FORECASTS}, l AS (SELECT symbol, max(pos) AS m FROM fc GROUP BY 1)
 SELECT symbol, CASE WHEN q < 1e-6 THEN 0.0 ELSE 0.5 / q END AS k FROM (SELECT fc.symbol, quantile_cont(abs(mu / (sigma * sigma + 1e-6)), 0.95) AS q FROM fc JOIN l ON l.symbol = fc.symbol AND pos > m - 256 GROUP BY 1)""")
 def live_recalibrated_k(spark, folder):
-    k = recalibration.recalibrated_k(replay.replay(panels.forecasts(spark, folder)), 256)
-    return k.where(F.col("batch") == k.select(F.max("batch")).scalar())
+    k = recalibration.recalibrated_k(replay.Replay(panels.forecasts(spark, folder)), 256)
+    return k.join(k.select(F.max("batch").alias("batch")), "batch")

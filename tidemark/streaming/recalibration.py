@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scoring import calibrate_k
 from ..session import scratch
+from .replay import Replay
 
 
 def newest(rows: DataFrame, n: int) -> DataFrame:
@@ -14,27 +15,24 @@ def newest(rows: DataFrame, n: int) -> DataFrame:
     return rows.join(last, "symbol").where(F.col("pos") > F.col("_last") - n).drop("_last")
 
 
-def recalibrated_k(matured: DataFrame, rows: int = 256) -> DataFrame:
+def recalibrated_k(source: Replay, rows: int = 256) -> DataFrame:
     """After each micro-batch: k per symbol from the newest ``rows`` matured forecasts so far.
 
     Only the newest rows are carried from batch to batch.  Each batch writes to folders of its own id, so a
-    retried batch replaces itself.
+    retried batch replaces itself, and a restarted query goes on from the folder of the batch before.
     """
-    spark = matured.sparkSession
-    path = scratch(spark, "recalibration")
-    done: list[str] = []
+    spark, path = source.spark, scratch(source.spark, "recalibration")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        seen = batch.select("symbol", "pos", "mu", "sigma")
-        if done:
-            seen = seen.unionByName(spark.read.parquet(done[-1]))
+        seen = batch.where(F.col("symbol").isNotNull()).select("symbol", "pos", "mu", "sigma")
+        if batch_id > 0:
+            seen = seen.unionByName(spark.read.parquet(f"{path}/tail/{batch_id - 1}"))
         here = f"{path}/tail/{batch_id}"
         newest(seen, rows).write.mode("overwrite").parquet(here)
-        tail = spark.read.parquet(here)
-        calibrate_k(tail).write.mode("overwrite").parquet(f"{path}/k/batch={batch_id}")
-        done.append(here)
+        calibrate_k(spark.read.parquet(here)).write.mode("overwrite").parquet(f"{path}/k/batch={batch_id}")
 
-    query = (matured.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    source.feed(lambda: (source.stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint")
+                         .trigger(availableNow=True).start()))
+    if source.beat is None:
+        return spark.createDataFrame([], "symbol string, k double, batch int")
     return spark.read.parquet(f"{path}/k")
