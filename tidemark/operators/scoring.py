@@ -17,9 +17,10 @@ BASELINES = ("random", "momentum", "reversal")
 
 
 def calibrate_k(forecast: DataFrame, keys: Sequence[str] = ("symbol",), utilisation: float = 0.5,
-                maximum: float = 1.0, percentile: float = 0.95, eps: float = 1e-6) -> DataFrame:
-    """k such that the 95th percentile of |edge| uses half of the maximum position."""
-    edges = forecast.withColumn("_abs_edge", F.abs(F.col("mu") / (F.col("sigma") * F.col("sigma") + eps)))
+                maximum: float = 1.0, percentile: float = 0.95, eps: float = 1e-6, max_edge: float | None = None) -> DataFrame:
+    """k such that the 95th percentile of |edge|, clipped at ``max_edge`` if given, uses half of the maximum position."""
+    size = F.abs(F.col("mu") / (F.col("sigma") * F.col("sigma") + eps))
+    edges = forecast.withColumn("_abs_edge", size if max_edge is None else F.when(size.isNotNull(), F.least(size, F.lit(float(max_edge)))))
     ref = exact_percentiles(edges, keys, "_abs_edge", {"_ref": percentile})
     return ref.select(*keys, F.when(F.col("_ref") < eps, 0.0).otherwise(utilisation * maximum / F.col("_ref")).alias("k"))
 

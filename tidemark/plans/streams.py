@@ -116,3 +116,12 @@ SELECT symbol, CASE WHEN q < 1e-6 THEN 0.0 ELSE 0.5 / q END AS k FROM (SELECT fc
 def live_recalibrated_k(spark, folder):
     k = recalibration.recalibrated_k(replay.Replay(panels.forecasts(spark, folder)), 256)
     return k.join(k.select(F.max("batch").alias("batch")), "batch")
+
+
+@query("live_matured_k", "T9 A26", "symbol:s k:d", f"""
+WITH {panels.FORECASTS}, l AS (SELECT symbol, max(pos) AS m FROM fc GROUP BY 1)
+SELECT symbol, CASE WHEN q < 1e-6 THEN 0.0 ELSE 0.5 / q END AS k FROM (SELECT fc.symbol, quantile_cont(least(abs(mu / (sigma * sigma + 1e-6)), 25.0), 0.95) AS q
+ FROM fc JOIN l ON l.symbol = fc.symbol AND pos > m - 259 AND pos <= m - 3 GROUP BY 1 HAVING count(*) >= 64)""")
+def live_matured_k(spark, folder):
+    k = recalibration.recalibrated_k(replay.Replay(panels.forecasts(spark, folder)), 256, horizon=3, least=64, max_edge=25.0)
+    return k.join(k.select(F.max("batch").alias("batch")), "batch")
