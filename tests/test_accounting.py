@@ -1,6 +1,7 @@
 """Accounting against a plain day-by-day loop and hand values."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,31 @@ def test_self_financing_rejects_leverage(spark):
         accounting.self_financing(panel, rate, targets, (10.0,)).collect()
 
 
+def test_post_fee_value_solves_the_fee_equation(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(60):
+        n = int(rng.integers(0, 7))
+        t = rng.dirichlet(np.ones(n + 1))[:n] * (rng.random(n) > 0.3) if n else np.zeros(0)
+        h = rng.dirichlet(np.ones(n + 1))[:n] * (rng.random(n) > 0.3) if n else np.zeros(0)
+        h = np.where(rng.random(n) < 0.2, t, h)
+        rows.append((i, float(rng.uniform(0.8, 1.2)), float(rng.choice([0.0, 0.001, 0.3, 0.9])), [(float(x), float(y)) for x, y in zip(t, h)]))
+    df = spark.createDataFrame(rows, "i int, g double, rate double, pairs array<struct<t:double,h:double>>")
+    got = df.withColumn("x", accounting._post_fee(F.col("g"), F.col("pairs"), F.col("rate"))).collect()
+    for r in got:
+        fee = r["rate"] * sum(abs(p["t"] * r["x"] - p["h"]) for p in r["pairs"])
+        assert r["x"] + fee == pytest.approx(r["g"], abs=1e-12)
+
+
+def test_self_financing_rejects_total_losses(spark):
+    for ret, rate in (([0.0, -1.0, 0.0], [0.0, 0.0, 0.0]), ([0.0, 0.1, 0.0], [0.0, -1.0, 0.0])):
+        panel, cash, targets = frames(spark, np.array(ret)[:, None], np.array(rate), [("x", "d", {0: [0.5]})])
+        with pytest.raises(Exception, match="-1 or less"):
+            accounting.self_financing(panel, cash, targets, (10.0,)).collect()
+    with pytest.raises(ValueError, match="costs"):
+        accounting.self_financing(panel, cash, targets, (10_000.0,))
+
+
 def test_signal_weights_hand_case(spark):
     df = spark.createDataFrame([("A", 1.0, 0.2), ("B", -1.0, 0.1)], "symbol string, signal double, vol double").withColumn("ts", F.lit(1))
     got = {r["symbol"]: r["base"] for r in ranking.signal_weights(df, ["ts"], F.lit(False)).collect()}
@@ -119,22 +145,24 @@ def test_sequential_rules_across_batches(spark):
         assert g["executed"].tolist() == want
 
 
+def quoted(*rows):
+    return pd.DataFrame(rows, columns=["target", "sigma", "bid", "ask"])
+
+
 def test_overlay_cooldown():
-    rule = accounting.RiskOverlay(max_step=1.0, loss_limit=-0.05, lookback=5, cooldown=3)
-    rule.settle(rule.decide(1.0, 0.1), 100, 100)
-    rule.settle(rule.decide(1.0, 0.1), 94, 94)
-    assert rule.resting == 3
-    assert [rule.decide(1.0, 0.1) for _ in range(3)] == [0.0, 0.0, 0.0]
-    assert rule.resting == 0
+    rule = accounting.Overlay(max_step=1.0, loss_limit=-0.05, lookback=5, cooldown=3)
+    state, _ = rule.run(rule.start, quoted((1.0, 0.1, 100, 100), (1.0, 0.1, 94, 94)))
+    assert state[2] == 3 and state[3:] == []
+    state, out = rule.run(state, quoted(*[(1.0, 0.1, 94, 94)] * 4))
+    assert out["position"] == [0.0, 0.0, 0.0, 1.0] and state[2] == 0
 
 
 def test_overlay_order_of_rules():
-    rule = accounting.RiskOverlay(max_step=0.3, max_sigma=0.5, threshold=0.05)
-    assert rule.decide(0.04, 0.1) == 0.0
-    assert rule.decide(0.05, 0.1) == pytest.approx(0.05)
-    assert rule.decide(1.0, 0.1) == pytest.approx(0.3)
-    rule.position = 0.2
-    assert rule.decide(1.0, 0.9) == pytest.approx(0.0)
+    rule = accounting.Overlay(max_step=0.3, max_sigma=0.5, threshold=0.05)
+    assert rule.wanted(0.0, 0.04, 0.1) == 0.0
+    assert rule.wanted(0.0, 0.05, 0.1) == pytest.approx(0.05)
+    assert rule.wanted(0.0, 1.0, 0.1) == pytest.approx(0.3)
+    assert rule.wanted(0.2, 1.0, 0.9) == pytest.approx(0.0)
 
 
 @pytest.mark.parametrize("ret, targets, want", [

@@ -8,7 +8,9 @@ and not per scenario.  Scenarios meet the panel in one equi-join on (schedule, s
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections import deque
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .blocks import running_sum
 from .rolling import per_symbol
+from .speculation import speculated
 
 Keys = Sequence[str]
 
@@ -214,19 +217,35 @@ def contributions(panel: DataFrame, targets: DataFrame, daily: DataFrame, keys:
 
 
 def _post_fee(growth: Column, pairs: Column, rate: Column) -> Column:
-    """Root of fee = rate * sum|target * (growth - fee) - holding| by 40 halvings."""
-    def due(fee: Column) -> Column:
-        return rate * F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.abs(p["t"] * (growth - fee) - p["h"]))
-    top = rate * (growth + F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["h"]))
-    bounds = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(F.lit(0.0).alias("lo"), top.alias("hi")),
-                         lambda s, _: _halve(s, due))
-    return (bounds["lo"] + bounds["hi"]) / 2
+    """Value x after fees, the root of x + rate * sum|target * x - holding| = growth.
 
+    The left side is piecewise linear and rises with x, as the targets sum to at most 1 and the rate is below 1.  Its kinks are
+    at holding / target.  Kinks at or below the root are passed in order, with the sums of their targets and holdings; the piece
+    after the last of them holds the root.
+    """
+    kinks = F.array_sort(F.transform(F.filter(pairs, lambda p: p["t"] > 0), lambda p: F.struct(
+        (p["h"] / p["t"]).alias("at"), p["t"].alias("t"), p["h"].alias("h"))))
+    zero = F.lit(0.0)
+    all_t = F.aggregate(pairs, zero, lambda a, p: a + p["t"])
+    all_h = F.aggregate(pairs, zero, lambda a, p: a + p["h"])
+
+    def slope(passed: Column) -> Column:
+        return 1 + rate * (2 * passed["t"] - all_t)
+
+    def rest(passed: Column) -> Column:
+        return growth - rate * (all_h - 2 * passed["h"])
+
+    def step(passed: Column, kink: Column) -> Column:
+        below = kink["at"] * slope(passed) <= rest(passed)
+        return F.struct(F.when(below, passed["t"] + kink["t"]).otherwise(passed["t"]).alias("t"),
+                        F.when(below, passed["h"] + kink["h"]).otherwise(passed["h"]).alias("h"))
 
-def _halve(s: Column, due) -> Column:
-    mid = (s["lo"] + s["hi"]) / 2
-    over = mid > due(mid)
-    return F.struct(F.when(over, s["lo"]).otherwise(mid).alias("lo"), F.when(over, mid).otherwise(s["hi"]).alias("hi"))
+    return F.aggregate(kinks, F.struct(zero.alias("t"), zero.alias("h")), step, lambda s: rest(s) / slope(s))
+
+
+def _refused(name: str, note: str) -> Column:
+    value = F.col(name).cast("double")
+    return F.when((value <= -1) | F.isnan(value), F.raise_error(F.lit(note)).cast("double")).otherwise(value)
 
 
 def self_financing(panel: DataFrame, cash: DataFrame, targets: DataFrame, cost_bps: Sequence[float],
@@ -234,9 +253,14 @@ def self_financing(panel: DataFrame, cash: DataFrame, targets: DataFrame, cost_b
     """Long/cash value with fees paid out of the book: net, cost, turnover and gross per row.
 
     Targets are not negative and sum to at most 1; weights refer to the value after fees.  Between fills the
-    value is in closed form: holdings grow with their symbol, the rest with cash.
+    value is in closed form: holdings grow with their symbol, the rest with cash.  Returns and cash rates of -1 or less and
+    costs outside [0, 10000) are errors.
     """
     keys = list(keys)
+    if not all(0 <= b < 10_000 for b in cost_bps):
+        raise ValueError("costs must be at least 0 and below 10000 basis points")
+    panel = panel.withColumn("ret", _refused("ret", "a return is -1 or less, or no number"))
+    cash = cash.withColumn("cash", _refused("cash", "a cash rate is -1 or less, or no number"))
     bad = targets.groupBy(*keys, "schedule", "decision_pos").agg(F.min("weight").alias("_m"), F.sum("weight").alias("_s"))
     ok = bad.withColumn("invested", F.when((F.col("_m") < 0) | (F.col("_s") > 1 + 1e-10), F.raise_error(
         F.lit("targets must be long-only and sum to at most 1")).cast("double")).otherwise(F.col("_s"))).drop("_m", "_s")
@@ -277,9 +301,9 @@ def self_financing(panel: DataFrame, cash: DataFrame, targets: DataFrame, cost_b
     fills = pairs.join(growth_at, [*keys, "schedule", "seg"])
     each = F.explode(F.array(*[F.lit(float(b)) for b in cost_bps]))
     fills = (fills.withColumn("cost_bp", each)
-             .withColumn("cost", _post_fee(F.col("growth"), F.col("pairs"), F.col("cost_bp") / 10_000)))
-    traded = F.aggregate("pairs", F.lit(0.0), lambda a, p: a + F.abs(p["t"] * (F.col("growth") - F.col("cost")) - p["h"]))
-    fills = fills.withColumn("turnover", traded).select(*keys, "cost_bp", "pos", "growth", "gross", "cost", "turnover")
+             .withColumn("_x", _post_fee(F.col("growth"), F.col("pairs"), F.col("cost_bp") / 10_000))
+             .withColumn("turnover", F.aggregate("pairs", F.lit(0.0), lambda a, p: a + F.abs(p["t"] * F.col("_x") - p["h"])))
+             .select(*keys, "cost_bp", "pos", "growth", "gross", (F.col("growth") - F.col("_x")).alias("cost"), "turnover"))
     quiet = quiet.withColumn("cost_bp", each).withColumn("cost", F.lit(0.0)).withColumn("turnover", F.lit(0.0))
     return fills.unionByName(quiet.select(*fills.columns)).withColumn("net", F.col("growth") - F.col("cost") - 1)
 
@@ -295,95 +319,70 @@ def spread_cost_pnl(positions: DataFrame, slippage_bp: float = 0.0) -> DataFrame
     return per_symbol(positions, cols, 1)
 
 
-def in_sequence(df: DataFrame, keys: Keys, order: str, folder, schema: str) -> DataFrame:
-    """Feed each key's rows in order through ``folder()`` objects, a batch at a time.
+class DeadBand:
+    """Keep the executed weight until the target is at least ``threshold`` away from it; a NaN target is taken over and comes out as NULL."""
 
-    For rules whose state depends on their own earlier output.  Keys run in parallel; a key's rows stream
-    through Arrow batches, so memory holds one batch and one state, whatever the length of the series.
-    """
-    keys = list(keys)
+    outputs = "executed double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for pdf in batches:
-            parts = []
-            codes = pdf[keys].apply(tuple, axis=1) if len(keys) > 1 else pdf[keys[0]]
-            starts = (codes != codes.shift()).to_numpy().nonzero()[0].tolist() + [len(pdf)]
-            for a, b in zip(starts, starts[1:]):
-                part = pdf.iloc[a:b]
-                if codes.iloc[a] != current:
-                    current, state = codes.iloc[a], folder()
-                parts.append(state(part))
-            if parts:
-                yield pd.concat(parts)
+    def __init__(self, threshold: float = 0.05):
+        self.threshold, self.start = threshold, [0.0]
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+    def run(self, state: list[float], rows: pd.DataFrame) -> tuple[list[float], dict[str, list]]:
+        held, out = state[0], []
+        for target in rows["weight"].tolist():
+            if not abs(target - held) < self.threshold:
+                held = target
+            out.append(held)
+        return [held], {"executed": out}
 
 
-class DeadBand:
-    """Keep the executed weight until the target is at least ``threshold`` away from it."""
+def dead_band(weights: DataFrame, threshold: float = 0.05, keys: Keys = ("symbol",), pos: str = "pos", **blocks) -> DataFrame:
+    """Executed weight per row, from position to position; ``blocks`` goes to ``speculated``."""
+    return speculated(weights, keys, DeadBand(threshold), pos, **blocks)
 
-    def __init__(self, threshold: float = 0.05):
-        self.threshold, self.held = threshold, 0.0
-
-    def __call__(self, part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for target in part["weight"].to_numpy():
-            if not abs(target - self.held) < self.threshold:
-                self.held = target
-            out.append(self.held)
-        return part.assign(executed=out)
-
-
-def dead_band(weights: DataFrame, threshold: float = 0.05, keys: Keys = ("symbol",), order: str = "pos") -> DataFrame:
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in weights.schema.fields)
-    return in_sequence(weights, keys, order, lambda: DeadBand(threshold), fields + ", executed double")
-
-
-class RiskOverlay:
-    """Cooldown, volatility gate, dead-band and step limit around a raw target, fed by its own returns."""
-
-    def __init__(self, max_step=0.3, max_sigma=None, loss_limit=-0.05, lookback=20, cooldown=10, threshold=0.0,
-                 slippage_bp=0.0, state: dict | None = None):
-        self.max_step, self.max_sigma, self.loss_limit = max_step, max_sigma, loss_limit
-        self.lookback, self.cooldown, self.threshold, self.slippage_bp = lookback, cooldown, threshold, slippage_bp
-        s = state or {}
-        self.position, self.mid = s.get("position", 0.0), s.get("mid")
-        self.recent, self.resting = list(s.get("recent", [])), s.get("resting", 0)
-
-    def state(self) -> dict:
-        return {"position": self.position, "mid": self.mid, "recent": list(self.recent), "resting": self.resting}
-
-    def decide(self, target: float, sigma: float) -> float:
-        if self.resting > 0:
-            self.resting -= 1
-            return 0.0
-        if self.max_sigma is not None and sigma > self.max_sigma:
-            target = 0.0
-        move = target - self.position
-        if abs(move) < self.threshold:
-            return self.position
-        return self.position + min(self.max_step, max(-self.max_step, move))
-
-    def settle(self, position: float, bid: float, ask: float) -> float:
-        mid = (bid + ask) / 2
-        cost = abs(position - self.position) * ((ask - bid) / 2 / mid + self.slippage_bp / 1e4)
-        earned = -cost if self.mid is None else self.position * (mid - self.mid) / self.mid - cost
-        self.position, self.mid = position, mid
-        self.recent = (self.recent + [earned])[-self.lookback:]
-        if self.resting == 0 and sum(self.recent) <= self.loss_limit:
-            self.resting, self.recent = self.cooldown, []
-        return earned
-
-    def __call__(self, part: pd.DataFrame) -> pd.DataFrame:
-        positions, earned = [], []
-        for target, sigma, bid, ask in part[["target", "sigma", "bid", "ask"]].itertuples(index=False):
-            positions.append(self.decide(target, sigma))
-            earned.append(self.settle(positions[-1], bid, ask))
-        return part.assign(position=positions, realized_return=earned)
-
-
-def risk_overlay(rows: DataFrame, keys: Keys = ("symbol",), order: str = "pos", **limits) -> DataFrame:
-    """Position and realised return per row from (target, sigma, bid, ask)."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return in_sequence(rows, keys, order, lambda: RiskOverlay(**limits), fields + ", position double, realized_return double")
+
+class Overlay:
+    """A raw target behind a rest after losses, a volatility gate, a dead band and a step limit, fed by its own returns.
+
+    The state is (position, last mid price or NaN, rows of rest left, newest returns ...).  A step that can reach its goal lands on
+    it exactly, so that two runs that start apart meet.
+    """
+
+    outputs = "position double, realized_return double"
+
+    def __init__(self, max_step: float = 0.3, max_sigma: float | None = None, loss_limit: float = -0.05, lookback: int = 20,
+                 cooldown: int = 10, threshold: float = 0.0, slippage_bp: float = 0.0):
+        self.max_step, self.threshold, self.slippage = max_step, threshold, slippage_bp / 1e4
+        self.max_sigma = math.inf if max_sigma is None else max_sigma
+        self.loss_limit, self.lookback, self.cooldown = loss_limit, lookback, cooldown
+        self.start = [0.0, math.nan, 0.0]
+
+    def wanted(self, position: float, target: float, sigma: float) -> float:
+        goal = 0.0 if sigma > self.max_sigma else target
+        gap = goal - position
+        if abs(gap) < self.threshold:
+            return position
+        return position + math.copysign(self.max_step, gap) if abs(gap) > self.max_step else goal
+
+    def run(self, state: list[float], rows: pd.DataFrame) -> tuple[list[float], dict[str, list]]:
+        position, last, rest, recent = state[0], state[1], int(state[2]), deque(state[3:], maxlen=self.lookback)
+        positions, gains = [], []
+        for target, sigma, bid, ask in rows[["target", "sigma", "bid", "ask"]].itertuples(index=False, name=None):
+            new = 0.0 if rest > 0 else self.wanted(position, target, sigma)
+            rest = max(rest - 1, 0)
+            mid = (bid + ask) / 2
+            moved = 0.0 if math.isnan(last) else position * (mid - last) / last
+            gain = moved - abs(new - position) * ((ask - bid) / 2 / mid + self.slippage)
+            recent.append(gain)
+            if rest == 0 and sum(recent) <= self.loss_limit:
+                rest = self.cooldown
+                recent.clear()
+            position, last = new, mid
+            positions.append(new)
+            gains.append(gain)
+        return [position, last, float(rest), *recent], {"position": positions, "realized_return": gains}
+
+
+def risk_overlay(rows: DataFrame, keys: Keys = ("symbol",), pos: str = "pos", blocks: dict | None = None, **limits) -> DataFrame:
+    """Position and realised return per row from (target, sigma, bid, ask); ``blocks`` goes to ``speculated``."""
+    return speculated(rows, keys, Overlay(**limits), pos, **(blocks or {}))

@@ -12,7 +12,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.accounting import RiskOverlay
+from ..operators.accounting import Overlay
 from .eventtime import Carry, after_watermark, in_event_time, watermarked
 
 FEATURES = ("log_return", "realized_vol", "orderbook_imbalance", "spread_norm", "vwap_deviation", "trade_intensity", "mid_price_return")
@@ -127,14 +127,13 @@ def live_news(news: DataFrame, bars: DataFrame, minutes: int = 240, delay: str |
 
 def live_sizing(rows: DataFrame, delay: str | None = "0 seconds", idle_ms: int | None = None, **limits) -> DataFrame:
     """The risk overlay on a stream of (target, sigma, bid, ask); position, mid, recent returns and rest are carried."""
+    overlay = Overlay(**limits)
+
     def advance(carry: Carry, due: pd.DataFrame) -> tuple[Carry, pd.DataFrame]:
-        state = dict(zip(("position", "mid", "recent", "resting"), carry[0])) if carry else None
-        overlay = RiskOverlay(**limits, state=state)
-        out = overlay(due)[["us", "position", "realized_return"]]
-        s = overlay.state()
-        return [(float(s["position"]), float(s["mid"]), [float(r) for r in s["recent"]], int(s["resting"]))], out
+        state, values = overlay.run(list(carry[0][0]) if carry else list(overlay.start), due)
+        return [([float(v) for v in state],)], pd.DataFrame({"us": due["us"], **values})
 
-    return in_event_time(rows, ["target", "sigma", "bid", "ask"], advance, "position double, mid double, recent array<double>, resting int",
+    return in_event_time(rows, ["target", "sigma", "bid", "ask"], advance, "state array<double>",
                          "symbol string, us long, position double, realized_return double", delay=delay, idle_ms=idle_ms)
 
 
