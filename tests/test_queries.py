@@ -10,7 +10,8 @@ from tools.compare import difference, oracle_connection
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["returns_simple_log", "asof_quotes", "news_window_features", "rank_ic", "hysteresis_selection", "annualised_stats",
           "scaled_bar_features", "signal_diagnostics", "holdout_gates", "stationary_bootstrap", "trend_backtest_daily", "self_financing_value", "risk_overlay", "table_manifest", "total_loss_book", "hysteresis_overlapping_zones",
-          "live_bar_features", "live_sizing", "live_synchronised_book", "live_recalibrated_k"]
+          "live_bar_features", "live_sizing", "live_synchronised_book", "live_recalibrated_k", "live_news_features",
+          "live_matured_batches", "resumed_units"]
 NAMES = sorted(contract.catalogue()) if os.environ.get("TIDEMARK_ALL") else SAMPLE
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import wilson
+from ..session import stored
 
 # Bands of the calibration reading.
 VARIANT_LOW, VARIANT_HIGH, PIPELINE_LIMIT = 0.025, 0.10, 0.15
@@ -21,6 +26,39 @@ def write_scenarios(df: DataFrame, path: str, *by: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def run_units(units: DataFrame, keys: list[str], run: Callable[[DataFrame], DataFrame], path: str, ledger: str) -> DataFrame:
+    """Run ``run(units) -> rows with the unit's keys`` for every unit that the ledger does not call finished; returns the ledger.
+
+    Pending units run as one job, written as one folder per unit.  If the job fails, its units are split in two by the hash of
+    their keys and each part runs alone, down to the unit that fails; that one is recorded with its error and skipped, all others
+    are kept.  A later call takes up failed and missing units only.  Rows are written before the ledger, and a repeated unit
+    replaces its own folder, so a lost driver costs the units of one job.  Units are distinct by their keys and no key is NULL.
+    """
+    spark = units.sparkSession
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.select(*keys).schema) + ", finished boolean, error string"
+    spark.createDataFrame([], schema).write.mode("append").parquet(ledger)
+    done = spark.read.schema(schema).parquet(ledger).where("finished").select(*keys)
+    pending = stored(units.join(done, keys, "left_anti").withColumn("_hash", F.xxhash64(*keys)), "pending-units")
+    parts = [(-2**63, 2**63 - 1)]
+    while parts:
+        low, high = parts.pop()
+        batch = pending.where(F.col("_hash").between(low, high)).drop("_hash")
+        n = batch.count()
+        if n == 0:
+            continue
+        error = None
+        try:
+            write_scenarios(run(batch), path, *keys)
+        except (PySparkException, Py4JJavaError) as failure:
+            if n > 1 and low < high:
+                middle = (low + high) // 2
+                parts += [(middle + 1, high), (low, middle)]
+                continue
+            error = str(failure)[:2000]
+        batch.select(*keys, F.lit(error is None).alias("finished"), F.lit(error).cast("string").alias("error")).write.mode("append").parquet(ledger)
+    return spark.read.schema(schema).parquet(ledger)
+
+
 def read_audit(spark: SparkSession, path: str, wrapped: bool = False) -> DataFrame:
     """Replication records: JSON lines, or whole files holding {"records": [...]}."""
     if not wrapped:
