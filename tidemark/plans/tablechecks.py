@@ -120,31 +120,42 @@ def resumed_units(spark, folder):
     return sums.join(runs, "scenario")
 
 
-AUDIT_SQL = """rec AS (SELECT l_returnflag AS world, l_suppkey AS seed, v, avg(l_discount) > 0.0515 AS hit, count(*) AS n
+def _audit_sql(hit: str) -> str:
+    return f"""rec AS (SELECT l_returnflag AS world, l_suppkey AS seed, v, {hit} AS hit, count(*) AS n
  FROM (SELECT *, 'q' || l_linenumber AS v FROM lineitem) GROUP BY 1, 2, 3),
 runs AS (SELECT world, seed, count(*) AS tests, count(*) FILTER (hit) AS hits, max(CASE WHEN hit AND n > 8 THEN v END) AS candidate FROM rec GROUP BY 1, 2)"""
 
 
-def audit_frame(spark, folder):
-    """Replication records in the stored shape: world, seed, candidate and a map of variant -> passed."""
+AUDIT_SQL = _audit_sql("avg(l_discount) > 0.0515")
+EXACT_AUDIT_SQL = _audit_sql("sum(CAST(floor(l_discount * 1e6 + 0.5) AS BIGINT)) > 51500 * count(l_discount)")
+
+
+def audit_frame(spark, folder, exact=False):
+    """Replication records in the stored shape: world, seed, candidate and a map of variant -> passed.
+
+    A variant passes if its mean discount is above 0.0515.  ``exact`` compares sums of whole millionths; a mean of doubles that
+    stands at 0.0515 falls to either side by the order of its rows.
+    """
+    millionths = F.floor(F.col("l_discount") * 1e6 + 0.5).cast("long")
+    hit = F.sum(millionths) > 51500 * F.count("l_discount") if exact else F.avg("l_discount") > 0.0515
     rows = (tables.table(spark, folder, "lineitem")
             .groupBy(F.col("l_returnflag").alias("world"), F.col("l_suppkey").alias("seed"),
                      F.concat(F.lit("q"), F.col("l_linenumber").cast("string")).alias("v"))
-            .agg((F.avg("l_discount") > 0.0515).alias("hit"), F.count(F.lit(1)).alias("n")))
+            .agg(hit.alias("hit"), F.count(F.lit(1)).alias("n")))
     return rows.groupBy("world", "seed").agg(
         F.max(F.when(F.col("hit") & (F.col("n") > 8), F.col("v"))).alias("candidate"),
         F.map_from_entries(F.collect_list(F.struct("v", "hit"))).alias("gate_a"))
 
 
-def stored_audit(spark, folder):
+def stored_audit(spark, folder, exact=False):
     path = quality.scratch(spark, "audit")
-    audit_frame(spark, folder).write.mode("errorifexists").json(path)
+    audit_frame(spark, folder, exact).write.mode("errorifexists").json(path)
     return records.read_audit(spark, path)
 
 
-@query("audit_record_rows", "S13", "world:s seed:i variant:s hit:b", f"WITH {AUDIT_SQL} SELECT world, seed, v AS variant, hit FROM rec")
+@query("audit_record_rows", "S13", "world:s seed:i variant:s hit:b", f"WITH {EXACT_AUDIT_SQL} SELECT world, seed, v AS variant, hit FROM rec")
 def audit_record_rows(spark, folder):
-    return records.gate_rows(stored_audit(spark, folder))
+    return records.gate_rows(stored_audit(spark, folder, exact=True))
 
 
 RATES_SQL = f"""{AUDIT_SQL}, ra AS (SELECT world, count(*) AS replications, sum(tests) AS tests, sum(hits) AS variant_hits, count(candidate) AS pipeline_hits FROM runs GROUP BY 1),
