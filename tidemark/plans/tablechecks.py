@@ -191,12 +191,12 @@ def clustered_rates(spark, folder):
 
 
 @query("clustered_rate_z", "A24", "world:s main_rate:d control_rate:d z:d", f"""
-WITH {AUDIT_SQL}, m AS (SELECT world, seed % 3 = 0 AS control, hits / tests AS r FROM runs),
+WITH {EXACT_AUDIT_SQL}, m AS (SELECT world, seed % 3 = 0 AS control, hits / tests AS r FROM runs),
 g AS (SELECT world, control, avg(r) AS rate, stddev_samp(r) / sqrt(count(*)) AS se FROM m GROUP BY 1, 2)
 SELECT a.world, a.rate AS main_rate, b.rate AS control_rate, (a.rate - b.rate) / sqrt(a.se * a.se + b.se * b.se) AS z
 FROM g a JOIN g b ON a.world = b.world AND NOT a.control AND b.control""")
 def clustered_rate_z(spark, folder):
-    rows = records.gate_rows(stored_audit(spark, folder))
+    rows = records.gate_rows(stored_audit(spark, folder, exact=True))
     control = F.col("seed") % 3 == 0
     return records.rate_difference(rows.where(~control), rows.where(control))
 
