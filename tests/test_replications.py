@@ -1,10 +1,13 @@
 """Many panels at once against each panel alone."""
 
+import hashlib
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import accounting, calendars, replications, rolling
+from tidemark.operators import accounting, calendars, replications, resampling, rolling
 from tidemark.session import stored
 
 
@@ -67,3 +70,53 @@ def test_records_of_screened_panels(spark):
     s = spark.createDataFrame(rows, "world string, seed long, variant string, gate_a boolean, passed_all boolean, ann_lower_95 double, candidate string").withColumn("dev_end", F.lit("2020-01-31"))
     got = {r["seed"]: r for r in replications.audit_records(s).collect()}
     assert got[1]["gate_a"] == {"x": True, "y": False} and got[1]["candidate"] is None and got[2]["candidate"] == "x"
+
+
+def test_replicates_are_drawn_in_many_tasks_however_small_their_input_is(spark):
+    """The text of the picks is far larger than that of the row they come from, so the size of the latter must not set the tasks."""
+    v = spark.createDataFrame([("s", i, 300, float(i)) for i in range(300)], "scenario string, i long, n long, x double")
+    tasks = resampling._replicates(v, 2000).withColumn("task", F.spark_partition_id())
+    assert tasks.count() == 2000 and tasks.select("task").distinct().count() >= 16
+    assert tasks.groupBy("n", "salt").agg(F.count_distinct("task").alias("k")).where("k > 1").count() == 0
+
+
+def test_the_runs_of_a_replicate_equal_its_walk(spark):
+    n, seed = 40, 5
+    reps = spark.createDataFrame([(n, b, b % 32) for b in range(1, 31)], "n long, b int, salt int")
+    for r in resampling.stationary_draws(reps, (1.0, 6.0, 1e9), seed).collect():
+        at, walk = 0, []
+        for i in range(n):
+            text = hashlib.md5(f"{seed}|{r['b']}|{i}".encode()).hexdigest()
+            again = not walk or int(text[:8], 16) / 2**32 < 1 / (1.0, 6.0, 1e9)[r["which"]]
+            at = int(int(text[8:16], 16) / 2**32 * n) if again else (at + 1) % n
+            walk.append(at)
+        assert r["picks"] == walk
+
+
+def test_long_replicates_take_time_in_proportion(spark):
+    """Twelve times as many periods; a walk that copied its picks at every step took over fifty times as long."""
+    def seconds(n):
+        reps = spark.createDataFrame([(n, b, b % 32) for b in range(8)], "n long, b int, salt int").coalesce(1)
+        began = time.perf_counter()
+        resampling.stationary_draws(reps, (6.0,), 3).agg(F.sum(F.size("picks"))).collect()
+        reps = resampling.stationary_draws(reps, (6.0,), 3).agg(F.sum(F.aggregate("picks", F.lit(0).cast("long"), lambda a, x: a + x))).collect()
+        return time.perf_counter() - began
+    seconds(100)
+    assert seconds(36_000) < 36 * seconds(3_000)
+
+
+def test_days_of_a_book_are_joined_once(spark, monkeypatch):
+    """Books with and without shorts read the stored days; each join of their own would add its sort memory to the same task."""
+    joins = {}
+
+    def counted(df, name):
+        joins[name] = df._jdf.queryExecution().sparkPlan().toString().count("Join")
+        return stored(df, name)
+    monkeypatch.setattr(accounting, "stored", counted)
+    returns = spark.createDataFrame([(s, p, 0.01) for s in "ab" for p in range(1, 30)], "symbol string, pos long, ret double")
+    cash = returns.select("pos").distinct().withColumn("cash", F.lit(0.0001))
+    weights = spark.createDataFrame([(k, "m", p, s, w) for k, w in (("long", 0.5), ("short", -0.2)) for p in (3, 12) for s in "ab"],
+                                    "scenario string, schedule string, decision_pos long, symbol string, weight double")
+    grid = spark.createDataFrame([(1.0, 50.0)], "cost_mult double, borrow_bp double")
+    assert accounting.lagged_returns(returns, cash, weights, grid).select("scenario").distinct().count() == 2
+    assert joins["value-path"] <= 3

@@ -84,7 +84,7 @@ def _long_path(daily: DataFrame, cash: DataFrame, on: Keys = ()) -> DataFrame:
 
     The part not invested grows with cash; a negative one (gross above 1) earns and pays nothing.
     """
-    level = cash_levels(cash, on)
+    level = stored(cash_levels(cash, on), "cash-levels")
     rows = (daily.join(level, [*on, "pos"]).withColumn("_f", F.col("seg") + 1)
             .join(level.select(*on, F.col("pos").alias("_f"), F.col("cash_level").alias("_c0")), [*on, "_f"]))
     rest, since = 1 - F.col("invested"), F.col("cash_level") - F.col("_c0")
@@ -135,11 +135,11 @@ def lagged_returns(panel: DataFrame, cash: DataFrame, targets: DataFrame, costs:
     wanted = (targets.withColumnRenamed("decision_pos", "seg")
               .join(segs.select(*on, "schedule", "seg", "is_first"), [*on, "schedule", "seg"]))
     w = F.col("weight")
-    daily = (wanted.join(rows, [*on, "schedule", "seg", "symbol"])
+    daily = stored(wanted.join(rows, [*on, "schedule", "seg", "symbol"])
              .groupBy(*keys, "schedule", "seg", "next_seg", "stop", "pos").agg(
                  F.sum(w * F.col("g0") * F.col("ret")).alias("pnl"), F.sum(F.abs(w) * F.col("g0")).alias("gross0"),
                  F.sum(F.when(w < 0, -w * F.col("g0")).otherwise(0.0)).alias("short0"),
-                 F.sum(F.abs(w) * F.col("g1")).alias("gross1"), F.sum(w).alias("invested"), (F.min(w) < 0).alias("shorts")))
+                 F.sum(F.abs(w) * F.col("g1")).alias("gross1"), F.sum(w).alias("invested"), (F.min(w) < 0).alias("shorts")), "book-days")
     packed = (daily.where("shorts").join(cash.select(*pos, "cash"), pos).groupBy(*keys, "schedule", "seg", "next_seg", "stop")
               .agg(F.sort_array(F.collect_list(F.struct("pos", "pnl", "gross0", "short0", "gross1", "cash"))).alias("days")))
     grid = costs.select(F.collect_list(F.struct("cost_mult", "borrow_bp"))).scalar()
