@@ -26,19 +26,21 @@ def indexed(months: DataFrame, keys: Keys, order: str = "month") -> DataFrame:
 
 
 SALTS = 32
+#: Tasks of a resampling.  Its inputs are small however large the replicates are that a task makes of them, so their size must not set it.
+PARTS = 64
 
 
 def _arrays(v: DataFrame, keys: list[str], columns: Keys) -> DataFrame:
     """One row per scenario with its periods in order, copied once per salt so that no length is a hot key."""
     packed = v.groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct("i", *columns))).alias("_v"))
     return packed.select(*keys, "n", *[F.col(f"_v.{c}").alias(c) for c in columns]).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(PARTS, "n", "salt")
 
 
 def _replicates(v: DataFrame, count: int) -> DataFrame:
-    """(n, b, salt) for every scenario length."""
+    """(n, b, salt) for every scenario length, where the scenarios of that length and salt are: replicates are made there and stay there."""
     return (v.select("n").distinct().withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(count))))
-            .withColumn("salt", F.col("b") % SALTS).repartition("n", "b"))
+            .withColumn("salt", F.col("b") % SALTS).repartition(PARTS, "n", "salt"))
 
 
 def _rows(n: Column) -> Column:
@@ -49,20 +51,24 @@ def stationary_draws(replicates: DataFrame, block_lens: Sequence[float], seed: i
     """(n, b, salt, which, picks): the resampled indices of replicate b for the block length ``which``.
 
     A step restarts at a uniform index with probability 1/block length, else moves to the successor with
-    wrap-around.  The walk of a replicate is folded inside its row.
+    wrap-around.  The picks of a replicate are the runs between its restarts, laid end to end inside its row.
     """
     lens = F.array(*[F.lit(float(x)) for x in block_lens])
     n = F.col("n")
     drawn = replicates.withColumn("_d", F.transform(_rows(n), lambda i: digest(F.lit(seed), F.col("b"), i))).withColumn(
         "which", F.explode(F.sequence(F.lit(0), F.lit(len(block_lens) - 1))))
 
-    def step(a: Column, d: Column) -> Column:
-        restart = (F.size(a["picks"]) == 0) | (unit_draw(d, 0) < 1 / lens[F.col("which")])
-        pick = F.when(restart, F.floor(unit_draw(d, 1) * n)).otherwise((a["at"] + 1) % n).cast("int")
-        return F.struct(pick.alias("at"), F.array_append(a["picks"], pick).alias("picks"))
+    def restart(d: Column, i: Column) -> Column:
+        return F.when((i == 0) | (unit_draw(d, 0) < 1 / lens[F.col("which")]), F.struct(i.alias("at"), F.floor(unit_draw(d, 1) * n).alias("pick")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("picks"))
-    return drawn.select("n", "b", "which", "salt", F.aggregate("_d", start, step, lambda a: a["picks"]).alias("picks"))
+    def runs(starts: Column) -> Column:
+        def run(s: Column, k: Column) -> Column:
+            stop = F.coalesce(F.get(starts, k + 1)["at"].cast("long"), n)
+            return F.transform(F.sequence(F.lit(0).cast("long"), stop - s["at"] - 1), lambda j: ((s["pick"] + j) % n).cast("int"))
+        return F.flatten(F.transform(starts, run))
+
+    starts = F.filter(F.transform("_d", restart), lambda s: s.isNotNull())
+    return drawn.select("n", "b", "which", "salt", F.transform(F.array(starts), runs)[0].alias("picks"))
 
 
 #: Resampled means within this of zero are zero up to rounding, whatever order they were summed in; they count as not above it.
@@ -79,7 +85,7 @@ def stationary_bootstrap(months: DataFrame, keys: Keys = ("scenario",), block_le
     keys = list(keys)
     v = indexed(months.select(*keys, order, value), keys, order)
     draws = stationary_draws(_replicates(v, n_boot), block_lens, seed)
-    ann = (draws.join(_arrays(v, keys, [value]), ["n", "salt"])
+    ann = (draws.hint("merge").join(_arrays(v, keys, [value]), ["n", "salt"])
            .select(*keys, "which", (F.exp(12 * _total("picks", value) / F.col("n")) - 1).alias("_ann")))
     lens = F.array(*[F.lit(float(x)) for x in block_lens])
     boot = ann.groupBy(*keys, "which").agg(
@@ -105,7 +111,7 @@ def sign_flip(periods: DataFrame, keys: Keys = ("scenario",), n_perm: int = 10_0
         uniform(F.lit(seed), b, i, F.lit("sign")) < 0.5, -1.0).otherwise(1.0)))
     point = v.groupBy(*keys).agg(F.avg(value).alias("observed"), F.count(F.lit(1)).alias("n_periods"))
     flipped = F.aggregate(F.zip_with("signs", value, lambda s, x: s * x), F.lit(0.0), lambda a, x: a + x) / F.col("n")
-    means = (signs.join(_arrays(v, keys, [value]), ["n", "salt"]).select(*keys, flipped.alias("_m")).join(point, keys))
+    means = (signs.hint("merge").join(_arrays(v, keys, [value]), ["n", "salt"]).select(*keys, flipped.alias("_m")).join(point, keys))
     add = 1 if plus_one else 0
     # permuted sums that equal the observed one up to rounding count as reaching it
     slack = 1e-12 * F.abs("observed")
@@ -128,7 +134,7 @@ def day_bootstrap(values: DataFrame, keys: Keys = ("variant",), n_boot: int = 20
     b, n = F.col("b"), F.col("n")
     draws = _replicates(v, n_boot).withColumn("picks", F.transform(_rows(n), lambda k: F.floor(
         uniform(F.lit(seed), b, k, F.lit("day")) * n).cast("int")))
-    means = (draws.join(_arrays(v, keys, ["_sum", "_cnt"]), ["n", "salt"])
+    means = (draws.hint("merge").join(_arrays(v, keys, ["_sum", "_cnt"]), ["n", "salt"])
              .select(*keys, (_total("picks", "_sum") / _total("picks", "_cnt")).alias("_m")))
     boot = means.groupBy(*keys).agg(
         F.percentile("_m", F.lit(0.025)).alias("ci_low_95"), F.percentile("_m", F.lit(0.975)).alias("ci_high_95"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, replications
 from ..operators.blocks import numbered
+from ..session import stored
 from ..sources import records, tables
 from . import accounting as acc
 from . import ctes as c
@@ -31,8 +32,8 @@ def world_panels(spark, folder):
 
 def screened(spark, folder):
     def build():
-        p = world_panels(spark, folder)
-        cash = align.cash_rate(numbered(p.select("ts").distinct(), []), panels.cash(spark, folder, "week"), causal=False)
+        p = stored(world_panels(spark, folder), "world-panels")
+        cash = stored(align.cash_rate(numbered(p.select("ts").distinct(), []), stored(panels.cash(spark, folder, "week"), "world-rates"), causal=False), "world-cash")
         # the returns of one world are turned round, so that variants pass there and none does in the other
         scale = F.when(F.col("world") == "odd_lines", -SCALE).otherwise(SCALE)
         bp = F.when(F.col("asset") < "NF", 1.5).otherwise(3.0)
