@@ -130,3 +130,33 @@ def test_features_do_not_depend_on_the_cut(spark):
 def test_empty_table_gives_no_rows(spark):
     source = Replay(spark.createDataFrame([], "symbol string, ts timestamp, price double"))
     assert source.to_table(stateful.live_outcomes(source.stream, 3), "none").count() == 0
+
+
+def test_quotes_of_many_symbols_share_few_keys(spark, monkeypatch):
+    """Two symbols in one state, a restart between quote and bar, a silence, equal moments."""
+    monkeypatch.setattr(stateful, "SHARDS", 1, raising=False)
+    feed = Feed(spark, "symbol long, second long, is_bar boolean, id long, value double")
+    result = stateful.quoted_bars(feed.stream, idle_ms=600_000)
+    feed.send(result, [(1, 0, False, 10, 1.0), (2, 5, True, 20, 9.0), (2, 10, False, 21, 2.0), (1, 20, True, 11, 5.0), (1, 20, False, 13, 4.0), (1, 20, False, 12, 3.0)])
+    feed.send(result, [(2, 500, True, 22, 6.0), (1, 700, True, 14, 7.0)])
+    got = feed.send(result, [(1, 710, False, 15, 8.0), (1, 711, True, 16, 8.5), (None, 9000, None, None, None)]).toPandas()
+    assert sorted(got.itertuples(index=False, name=None)) == [(1, 11, 5.0, 13, 4.0), (1, 16, 8.5, 15, 8.0), (2, 22, 6.0, 21, 2.0)]
+
+
+def test_a_state_entry_holds_a_batch_of_rows(spark):
+    """Waiting rows cost one call of the state server per batch and not one per row."""
+    import pandas as pd
+    from tidemark.streaming.eventtime import EventOrder
+
+    class Waiting:
+        calls = 0
+
+        def appendValue(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def appendList(self, values):
+            self.calls += len(values)
+    order = EventOrder("symbol", ["us", "price"], "", "", None, ["us"], [], None)
+    order.waiting, order._wake = Waiting(), lambda us: None
+    list(order.handleInputRows(("a",), iter([pd.DataFrame({"us": range(1000), "price": 1.5})]), None))
+    assert order.waiting.calls == 1 and order.waiting.value[0] == list(range(1000))

@@ -1,6 +1,6 @@
 """Keyed operators that work in event-time order, on ``transformWithStateInPandas``.
 
-A key's rows wait in a typed list state until the watermark has passed them.  An event-time timer then hands the rows that
+A key's rows wait in a typed list state, one entry of column arrays per batch that came in, until the watermark has passed them.  An event-time timer then hands the rows that
 are due, sorted by time, to ``advance`` together with what the key carried over.  So results depend neither on the cut
 into micro-batches nor on the order of arrival inside the allowed delay.  Rows older than the watermark are dropped by
 Spark and counted (``replay.late_rows``).  State is bounded by the delay (rows that wait) plus what ``advance`` carries.
@@ -9,6 +9,7 @@ Spark and counted (``replay.late_rows``).  State is bounded by the delay (rows t
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -62,29 +63,32 @@ class EventOrder(StatefulProcessor):
         for batch in rows:
             first = int(batch["us"].min())
             oldest = first if oldest is None else min(oldest, first)
-            self.waiting.appendList([tuple(_plain(v) for v in row)
-                                     for row in batch[self.columns].itertuples(index=False, name=None)])
+            self.waiting.appendValue(tuple([_plain(v) for v in batch[c].tolist()] for c in self.columns))
         if oldest is not None:
             self._wake(oldest)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = list(self.waiting.get())
-        at = self.columns.index("us")
-        due = [row for row in waiting if row[at] <= passed]
-        later = [row for row in waiting if row[at] > passed]
-        if due:
-            out = self._advance(due)
-            if later:
-                self.waiting.put(later)
-            else:
+        chunks = list(self.waiting.get())
+        rows = {c: list(chain.from_iterable(chunk[i] for chunk in chunks)) for i, c in enumerate(self.columns)}
+        frame = pd.DataFrame(rows, columns=self.columns)
+        due = frame["us"].to_numpy(dtype=np.int64) <= passed
+        later = None
+        if due.any():
+            out = self._advance(frame[due])
+            if due.all():
                 self.waiting.clear()
+            else:
+                keep = np.flatnonzero(~due).tolist()
+                self.waiting.put([tuple([rows[c][i] for i in keep] for c in self.columns)])
             if out is not None and len(out):
                 out.insert(0, self.key, [key[0]] * len(out))
                 yield out[self.outputs]
-        if later:
-            self._wake(min(row[at] for row in later))
+        if not due.all():
+            later = int(frame["us"][~due].min())
+        if later is not None:
+            self._wake(later)
         elif self.idle_ms is not None and self.newest.exists():
             ends = self.newest.get()[0] + self.idle_ms * 1000
             if ends <= passed:
@@ -96,8 +100,8 @@ class EventOrder(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _advance(self, due: Carry) -> pd.DataFrame | None:
-        frame = pd.DataFrame(due, columns=self.columns).sort_values(self.order, kind="stable", ignore_index=True)
+    def _advance(self, due: pd.DataFrame) -> pd.DataFrame | None:
+        frame = due.sort_values(self.order, kind="stable", ignore_index=True)
         carry, out = self.advance(list(self.carried.get()), frame)
         if carry:
             self.carried.put(carry)
@@ -124,5 +128,5 @@ def in_event_time(stream: DataFrame, columns: list[str], advance: Advance, carry
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     names = ["us", *columns]
     outputs = [f.split()[0] for f in out_schema.split(", ")]
-    processor = EventOrder(key, names, ", ".join(f"{n} {types[n]}" for n in names), carry_schema, advance, ["us", *order], outputs, idle_ms)
+    processor = EventOrder(key, names, ", ".join(f"{n} array<{types[n]}>" for n in names), carry_schema, advance, ["us", *order], outputs, idle_ms)
     return rows.groupBy(key).transformWithStateInPandas(processor, out_schema, "append", "EventTime")

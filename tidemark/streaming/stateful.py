@@ -19,26 +19,43 @@ FEATURES = ("log_return", "realized_vol", "orderbook_imbalance", "spread_norm",
 BAR = ("price", "volume", "trade_count", "bid", "ask", "bid_volume", "ask_volume")
 
 
+#: Groups of symbols that share a state, so that what Spark spends on a key is not spent on every symbol.
+SHARDS = 512
+
+
 def quoted_bars(rows: DataFrame, delay: str | None = "0 seconds", idle_ms: int | None = None) -> DataFrame:
     """Latest quote at or before each bar of one stream of (symbol, ts, is_bar, id, value).
 
-    Of quotes of the same moment the largest id counts; bars before the first quote are dropped.  The last quote is carried.
+    Of quotes of the same moment the largest id counts; bars before the first quote are dropped.  The last quote of each symbol is
+    carried; after ``idle_ms`` without a row of its symbol it is forgotten.  Symbols are dealt over ``SHARDS`` keys.
     """
+    idle = None if idle_ms is None else idle_ms * 1000
+
     def advance(carry: Carry, due: pd.DataFrame) -> tuple[Carry, pd.DataFrame]:
-        bar = due["is_bar"].to_numpy(dtype=bool)
-        ids, values = due["id"].to_numpy(), due["value"].to_numpy()
-        if carry:
-            bar, ids, values = np.append(False, bar), np.append(carry[0][0], ids), np.append(carry[0][1], values)
-        last = np.maximum.accumulate(np.where(bar, -1, np.arange(len(bar))))
-        hit = np.flatnonzero(bar & (last >= 0))
+        held = carry[0] if carry else ([], [], [], [])
+        symbol, us, ids = (np.append(np.array(h, dtype=np.int64), due[c].to_numpy(dtype=np.int64)) for h, c in zip(held, ("symbol", "us", "id")))
+        values = np.append(np.array(held[3], dtype=float), due["value"].to_numpy(dtype=float))
+        bar = np.append(np.zeros(len(held[0]), dtype=bool), due["is_bar"].to_numpy(dtype=bool))
+        order = np.argsort(symbol, kind="stable")
+        symbol, us, ids, values, bar = (x[order] for x in (symbol, us, ids, values, bar))
+        at = np.arange(len(us))
+        fresh = np.append(True, symbol[1:] != symbol[:-1])
+        ends = np.append(np.flatnonzero(fresh)[1:] - 1, len(us) - 1)
+        if idle is not None:
+            fresh[1:] |= us[1:] - us[:-1] >= idle
+        last = np.maximum.accumulate(np.where(bar, -1, at))
+        known = last >= np.maximum.accumulate(np.where(fresh, at, 0))
+        hit = np.flatnonzero(bar & known)
         quote = last[hit]
-        out = pd.DataFrame({"event_id": ids[hit], "value": values[hit], "quote_id": ids[quote], "quote_value": values[quote]})
-        held = last[-1] if len(last) else -1
-        return [(int(ids[held]), float(values[held]))] if held >= 0 else [], out
-
-    return in_event_time(rows, ["is_bar", "id", "value"], advance, "id long, value double",
-                         "symbol long, event_id long, value double, quote_id long, quote_value double", delay=delay, idle_ms=idle_ms,
-                         order=("is_bar", "id"))
+        out = pd.DataFrame({"symbol": symbol[hit], "event_id": ids[hit], "value": values[hit], "quote_id": ids[quote], "quote_value": values[quote]})
+        ends = ends[known[ends] if idle is None else known[ends] & (us[ends] + idle > us.max())]
+        kept = last[ends]
+        return [(symbol[ends].tolist(), us[ends].tolist(), ids[kept].tolist(), values[kept].tolist())] if len(ends) else [], out
+
+    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("symbol"), F.lit(SHARDS)) + F.lit(0) * F.col("symbol"))
+    return in_event_time(sharded, ["symbol", "is_bar", "id", "value"], advance,
+                         "symbol array<bigint>, us array<bigint>, id array<bigint>, value array<double>",
+                         "symbol long, event_id long, value double, quote_id long, quote_value double", key="shard", delay=delay, order=("is_bar", "id"))
 
 
 def _windows(x: np.ndarray, n: int) -> np.ndarray:
