@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -51,6 +52,18 @@ def test_sample_holds_every_id_before_any_second_text(spark):
     assert len(got) == len(set(got)) == 22 and {r["doc_id"] for r in got} == {*range(1, 12), 50} and sum(r["label"] for r in got) == 2
 
 
+def test_the_driver_never_holds_the_sample(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    tracemalloc.start()
+    try:
+        model = toxicity.train(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.weights.any() and peak < 3 * model.weights.nbytes
+
+
 def test_constant_model_without_both_classes(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = toxicity.train(docs, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int"))

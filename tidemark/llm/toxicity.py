@@ -10,7 +10,6 @@ rows, so that the score is a probability.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,10 +89,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, case_weights: np.ndarray, or
     names = np.flatnonzero(ratio)
     place = np.zeros(size, dtype=np.int32)
     place[names] = np.arange(len(names))
-    rows = [place[r[ratio[r] != 0]] for r in rows]
-    starts = np.cumsum([0, *map(len, rows)])
+    starts = np.cumsum([0, *(int((ratio[r] != 0).sum()) for r in rows)])
     n_rows = len(rows)
-    column = np.concatenate(rows)
+    column = np.empty(starts[-1], dtype=np.int32)
+    for k, r in enumerate(rows):
+        column[starts[k]:starts[k + 1]] = place[r[ratio[r] != 0]]
     del rows[:]
     factor = ratio[names]
     weight, bias = np.zeros(len(names)), float(np.log(rate / (1 - rate)))
@@ -156,15 +156,36 @@ def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS,
         parts = np.split(bucket.astype("<i4"), np.cumsum(np.bincount(row, minlength=len(texts)))[:-1])
         return pa.RecordBatch.from_arrays([cols["doc_id"], cols["label"], pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "label", "buckets"])
 
-    # read back one partition at a time: the driver holds the sample's buckets once
-    found = stored(rows.mapInArrow(per_chunk(work), "doc_id long, label int, buckets binary"), "toxicity-sample")
-    held = sorted(((r["label"], zlib.crc32(str(r["doc_id"]).encode()), bytes(r["buckets"])) for r in found.toLocalIterator()))
-    buckets = [np.frombuffer(b, dtype="<i4") for _, _, b in held]
-    label = np.array([y for y, _, _ in held], dtype=float)
-    del held
-    seen = {k: max(1, int((label == k).sum())) for k in (0, 1)}
-    weight = np.where(label == 1, total.get(1, 0) / seen[1], total.get(0, 0) / seen[0]) if len(label) else np.empty(0)
-    return fit(buckets, label, weight)
+    return fitted(stored(rows.mapInArrow(per_chunk(work), "doc_id long, label int, buckets binary"), "toxicity-sample"), total)
+
+
+def fitted(sample: DataFrame, total: dict[int, int]) -> Model:
+    """The model of a stored sample of (doc_id, label, buckets); ``total`` has the labelled rows of each class.
+
+    The sample is bounded and one task of an executor fits it: no bucket of it passes through the driver, which gets the weights only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, buckets = [], []
+        for batch in batches:
+            labels += batch.column(0).to_pylist()
+            buckets += [np.frombuffer(b.as_buffer(), dtype="<i4") for b in batch.column(1)]
+        label = np.array(labels, dtype=float)
+        seen = {k: max(1, int((label == k).sum())) for k in (0, 1)}
+        weight = np.where(label == 1, total.get(1, 0) / seen[1], total.get(0, 0) / seen[0]) if len(label) else np.empty(0)
+        model = fit(buckets, label, weight)
+        names = np.flatnonzero(model.weights).astype("<i4")
+        yield pa.RecordBatch.from_arrays([pa.array([names.tobytes()], pa.binary()), pa.array([model.weights[names].tobytes()], pa.binary()), pa.array([float(model.bias)])],
+                                         names=["names", "weights", "bias"])
+
+    order = ["label", F.crc32(F.col("doc_id").cast("string").cast("binary")), "buckets"]
+    got = (sample.coalesce(1).sortWithinPartitions(*order).select("label", "buckets")
+           .mapInArrow(run, "names binary, weights binary, bias double").collect())
+    if not got:
+        return fit([], np.empty(0), np.empty(0))
+    weights = np.zeros(1 << BITS, dtype=np.float32)
+    weights[np.frombuffer(got[0]["names"], dtype="<i4")] = np.frombuffer(got[0]["weights"], dtype=np.float32)
+    return Model(weights, got[0]["bias"])
 
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
