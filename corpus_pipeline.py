@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import forest, packing, suffixes, templates, toxicity
 from tidemark.llm.common import table
-from tidemark.session import stored
+from tidemark.session import small_batches, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -40,8 +41,17 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("n-gram join", one_of_each_class), ("suffix dedup", cut_repeats),
-                                   ("decontamination", drop_leaks), ("packing", pack_sequences)]
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage in a session that hands texts to Python a few megabytes at a time; the rows are the same."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [(name, in_small_batches(stage)) for name, stage in [
+    ("toxicity", drop_toxic), ("n-gram join", one_of_each_class), ("suffix dedup", cut_repeats), ("decontamination", drop_leaks), ("packing", pack_sequences)]]
 ORACLE_SQL: str | None = None
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -90,3 +91,17 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 100), (200, 201)], "a long, b long")
     got = {r["node"]: r["head"] for r in components(edges).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 200: 200, 201: 200}
+
+
+def test_prefixes_take_little_memory():
+    rows = np.sort(np.random.default_rng(3).integers(0, 2, (40_000, 12), dtype=np.uint8).view("V12")[:, 0]).view(np.uint8).reshape(-1, 12)
+    unlike = rows[1:] != rows[:-1]
+    want = np.where(unlike.any(axis=1), unlike.argmax(axis=1), 12)
+    assert common_prefix(rows).tolist() == [0, *want] == common_prefix(rows, 7).tolist()
+    wide = np.zeros((40_000, 333), dtype=np.uint8)
+    tracemalloc.start()
+    try:
+        assert (common_prefix(wide)[1:] == 333).all()
+        assert tracemalloc.get_traced_memory()[1] < wide.nbytes / 3
+    finally:
+        tracemalloc.stop()

@@ -3,10 +3,12 @@
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tidemark import session
 from tidemark.llm import forest, oracles, toxicity
 from tidemark.llm.tokens import vocabulary
 
@@ -74,3 +76,23 @@ def test_packed_pieces_hold_every_token(steps):
 def test_run_applies_all_stages(spark, steps):
     got = corpus_pipeline.run(spark, FOLDER).toPandas()
     assert isinstance(got, pd.DataFrame) and set(got.columns) == set(steps[5].columns) and len(got)
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    def probe(spark, docs, folder):
+        return docs.select(docs["text"]).mapInArrow(sizes, "n long")
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('abcdefgh', 1000) AS text")
+    got = [r.n for r in corpus_pipeline.in_small_batches(probe)(spark, docs, FOLDER).collect()]
+    assert sum(got) > 3000 * 8000 and max(got) < 2 * session.BATCH_BYTES
+    spark.conf.set(name, "1000000")
+    session.small_batches(spark)
+    assert spark.conf.get(name) == "1000000"
+    spark.conf.unset(name)

@@ -7,12 +7,13 @@ import numpy as np
 END = object()
 
 
-def common_prefix(rows: np.ndarray) -> np.ndarray:
-    """Length of the prefix each row of a byte matrix shares with the row before it; 0 for the first."""
+def common_prefix(rows: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Length of the prefix each row of a byte matrix shares with the row before it; 0 for the first.  Compares ``step`` rows at a time."""
     out = np.zeros(len(rows), dtype=np.int64)
-    if len(rows) > 1:
-        unlike = rows[1:] != rows[:-1]
-        out[1:] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), rows.shape[1])
+    for a in range(1, len(rows), step):
+        now = rows[a:a + step]
+        unlike = now != rows[a - 1:a - 1 + len(now)]
+        out[a:a + step] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), rows.shape[1])
     return out
 
 

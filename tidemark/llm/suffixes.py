@@ -34,6 +34,7 @@ REACH = 128
 GRAM = 8
 RECORDS_PER_BUCKET = 60_000
 RUN_RECORDS = 100_000
+CHUNK_CHARS = 250_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,7 +102,7 @@ def _heads(rows: DataFrame, width: int, reach: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([cols["key"], ragged(head_hashes(data, anchor, width, reach), np.bincount(owner, minlength=len(texts)), pa.int64())],
                                           names=["key", "heads"])
 
-    return rows.mapInArrow(per_chunk(work), "key long, heads array<long>").select("key", F.explode("heads").alias("head"))
+    return rows.mapInArrow(per_chunk(work, limit=CHUNK_CHARS), "key long, heads array<long>").select("key", F.explode("heads").alias("head"))
 
 
 def _packed(matrix: np.ndarray) -> bytes:
@@ -132,16 +133,15 @@ def _runs(rows: DataFrame, buckets: int, width: int, reach: int) -> DataFrame:
 
         def written() -> tuple[pa.RecordBatch, pa.RecordBatch]:
             nonlocal number
-            suffix, before, least, most, head, key, first, last, anchor = (np.concatenate(c) for c in zip(*held))
-            bucket = (head.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
-            wide = np.concatenate([bucket.astype(">i4").view(np.uint8).reshape(-1, 4), suffix, before, least[:, None], most[:, None]], axis=1)
+            wide, bucket, key, first, last, anchor = (np.concatenate(c) for c in zip(*held))
+            held.clear()
             order = np.argsort(np.ascontiguousarray(wide).view(f"V{wide.shape[1]}")[:, 0], kind="stable") if len(wide) else np.empty(0, dtype=np.int64)
-            wide = wide[order]
+            wide, bucket = wide[order], bucket[order]
             new = common_prefix(wide) < wide.shape[1]
             new[0] = True
             rec = np.cumsum(new) - 1
             often = np.minimum(np.bincount(rec), 2).astype(np.uint8)
-            kept = order[new]
+            kept = np.flatnonzero(new)
             out: dict[str, list] = {name: [] for name in RUN_FIELDS.names}
 
             def put(**values: object) -> None:
@@ -151,15 +151,16 @@ def _runs(rows: DataFrame, buckets: int, width: int, reach: int) -> DataFrame:
             edges = np.flatnonzero(np.r_[True, np.diff(bucket[kept]) != 0, True])
             place = np.empty(len(kept), dtype=np.int64)
             for a, b in zip(edges[:-1], edges[1:]):
-                part = kept[a:b]
-                prefix = common_prefix(suffix[part])
+                part = wide[kept[a:b]]
+                suffix, before = part[:, 4:4 + width], part[:, 4 + width:-2]
+                prefix = common_prefix(suffix)
                 place[a:b] = np.arange(b - a)
-                put(kind="run", bucket=int(bucket[part[0]]), run=number, prefix=_packed(prefix.astype(np.uint8)), rest=zstandard.ZstdCompressor(level=1).compress(
-                    front_coded(suffix[part], prefix)), before=_packed(before[part]), sizes=_packed(np.stack([least[part], most[part], often[a:b]], axis=1)))
+                put(kind="run", bucket=int(bucket[kept[a]]), run=number, prefix=_packed(prefix.astype(np.uint8)), rest=zstandard.ZstdCompressor(level=1).compress(
+                    front_coded(suffix, prefix)), before=_packed(before), sizes=_packed(np.concatenate([part[:, -2:], often[a:b, None]], axis=1)))
             runs = pa.RecordBatch.from_pydict(out, schema=RUN_FIELDS)
             n = len(order)
             nulls = {name: pa.nulls(n, RUN_FIELDS.field(name).type) for name in ("prefix", "rest", "before", "sizes")}
-            found = {"kind": pa.array(["occ"] * n), "bucket": pa.array(bucket[order], pa.int32()), "run": pa.array(np.full(n, number)),
+            found = {"kind": pa.array(["occ"] * n), "bucket": pa.array(bucket, pa.int32()), "run": pa.array(np.full(n, number)),
                      "rec": pa.array(place[rec].astype(np.int32)), **nulls, "text_key": pa.array(list(key[order]), pa.binary()),
                      "first": pa.array(first[order].astype(np.int32)), "last": pa.array(last[order].astype(np.int32)), "anchor": pa.array(anchor[order].astype(np.int32))}
             number += 1
@@ -182,15 +183,16 @@ def _runs(rows: DataFrame, buckets: int, width: int, reach: int) -> DataFrame:
             back = anchor[:, None] - 1 - np.arange(reach - 1)[None, :]
             before = np.where(back >= first[:, None], data[np.maximum(back, 0)], 0).astype(np.uint8)
             keys = np.array(cols["text_key"].to_pylist(), dtype=object)[owner]
-            held.append((suffix, before, (anchor - last).astype(np.uint8), (anchor - first).astype(np.uint8), head, keys,
-                         first - begins[owner], last - begins[owner], anchor - begins[owner]))
+            bucket = (head.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+            wide = np.concatenate([bucket.astype(">i4").view(np.uint8).reshape(-1, 4), suffix, before, (anchor - last).astype(np.uint8)[:, None],
+                                   (anchor - first).astype(np.uint8)[:, None]], axis=1)
+            held.append((wide, bucket, keys, first - begins[owner], last - begins[owner], anchor - begins[owner]))
             return len(anchor)
 
-        for found in per_chunk(work)(batches):
+        for found in per_chunk(work, limit=CHUNK_CHARS)(batches):
             count += found
             if count >= RUN_RECORDS:
                 yield from written()
-                held.clear()
                 count = 0
         if count:
             yield from written()

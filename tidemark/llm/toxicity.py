@@ -25,6 +25,7 @@ from .common import distinct, per_chunk, smallest_hashes, spans, text_rows
 BITS = 20
 ORDERS = (4, 6)
 TOXIC_ROWS, OTHER_ROWS = 1_200, 2_000
+CHUNK_CHARS = 250_000
 LEVELS, LEVEL_MIX = 4, 0x5BD1E995
 THRESHOLD = 0.3
 BLANKS = re.compile(r"\s+")
@@ -156,7 +157,7 @@ def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS,
         parts = np.split(bucket.astype("<i4"), np.cumsum(np.bincount(row, minlength=len(texts)))[:-1])
         return pa.RecordBatch.from_arrays([cols["doc_id"], cols["label"], pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "label", "buckets"])
 
-    return fitted(stored(rows.mapInArrow(per_chunk(work), "doc_id long, label int, buckets binary"), "toxicity-sample"), total)
+    return fitted(stored(rows.mapInArrow(per_chunk(work, limit=CHUNK_CHARS), "doc_id long, label int, buckets binary"), "toxicity-sample"), total)
 
 
 def fitted(sample: DataFrame, total: dict[int, int]) -> Model:
@@ -199,7 +200,7 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     def work(cols: dict[str, pa.Array], texts: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([cols["doc_id"], pa.array(shared.value.score(texts))], names=["doc_id", "score"])
 
-    got = text_rows(documents, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(per_chunk(work), "doc_id long, score double")
+    got = text_rows(documents, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(per_chunk(work, limit=CHUNK_CHARS), "doc_id long, score double")
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -214,6 +215,6 @@ def not_toxic(documents: DataFrame, model: Model, threshold: float = THRESHOLD)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             held = texts.tolist()
-            yield pd.Series(np.concatenate([np.empty(0), *(shared.value.score(held[a:b]) for a, b in spans([len(t) for t in held]))]))
+            yield pd.Series(np.concatenate([np.empty(0), *(shared.value.score(held[a:b]) for a, b in spans([len(t) for t in held], CHUNK_CHARS))]))
 
     return documents.where(~(scored(F.coalesce(F.col("text").cast("string"), F.lit(""))) >= threshold))

@@ -23,6 +23,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to the Python workers in batches of about ``BATCH_BYTES``, unless the session sets a size of its own.
+
+    By default a batch has up to 10,000 rows, which the executor and each worker hold at once.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 _BASES: dict[str, str] = {}
 
 
