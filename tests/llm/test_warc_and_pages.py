@@ -68,6 +68,61 @@ def test_equal_payloads_are_stored_once(spark):
     assert warc.read(spark, none).count() == 0
 
 
+def test_inflating_does_not_read_the_rest_for_every_member(monkeypatch):
+    parts = _archive(300, True)
+    data, fed, inflater = b"".join(parts), [], warc.zlib.decompressobj
+
+    class Counted:
+        def __init__(self, wbits):
+            self.own = inflater(wbits)
+
+        def decompress(self, piece):
+            fed.append(len(piece))
+            return self.own.decompress(piece)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counted)
+    assert len(_payloads(warc.salvage(data))) == 300
+    assert sum(fed) <= len(data) + 300 * 8192 < 300 * len(data) / 4
+
+
+@pytest.mark.parametrize("size", [1, 7, 300, 1 << 30])
+def test_any_pieces_give_the_same_records(monkeypatch, size):
+    parts = _archive(6, True)
+    broken = bytearray(parts[2])
+    broken[len(broken) // 2] ^= 0xFF
+    for data in (b"".join(parts), b"".join([parts[0], bytes(broken), warc.EMPTY_MEMBER, parts[3], b"garbage", parts[4], parts[5][:-30]]), parts[0][:-8] + bytes(8) + parts[1]):
+        want = list(warc.salvage(data))
+        with monkeypatch.context() as patch:
+            patch.setattr(warc, "PIECE_BYTES", size)
+            assert list(warc.salvage(data)) == want
+
+
+def test_payloads_stay_where_they_are_read(spark):
+    rows = [(3, "u3", "same", "x"), (9, "u9", "same", "x"), (None, "n", "same", "x"), (4, "u4", "other", "x")]
+    pages = warc.hashed(spark.createDataFrame(rows, PAGES))
+    got = warc.resolved(pages, warc.repeated(pages))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["page_id"]: (r["refers_to"], r["payload"], r["payload_bytes"]) for r in got.collect()} == {
+        3: (9, None, 4), 9: (None, b"same", 4), None: (9, None, 4), 4: (None, b"other", 5)}
+
+
+def test_many_groups_and_no_payloads_give_the_same_records(spark, monkeypatch):
+    rows = [(k, f"u{k}", f"<p>{k % 7}</p>" if k % 3 else f"<p>page {k}</p>", "x") for k in range(60)] + [(None, None, "<p>1</p>", None)]
+    pages, found = spark.createDataFrame(rows, PAGES), []
+    for most in (warc.BROADCAST_PAYLOADS, 0):
+        monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", most)
+        path = scratch(spark, "test-warc")
+        warc.write(pages, path)
+        whole, bare = warc.read(spark, path), warc.read(spark, path, payloads=False)
+        assert bare.columns == whole.columns[:-1] and sorted(bare.collect(), key=str) == sorted(whole.drop("payload").collect(), key=str)
+        found.append(sorted((tuple(r) for r in whole.drop("path", "start", "end").collect()), key=str))
+    assert found[0] == found[1] and len(found[0]) == 61 and sum(r[3] == "revisit" for r in found[0]) == 34
+
+
 def test_blocks_of_untidy_markup():
     got = extraction.blocks('<div class="a b">one &amp; two<br>three<p>four<p>five <b>six</b></div><script>x="</p>"</script><!-- no --><li>a<li>b &am')
     assert [b.text for b in got] == ["one & two three", "four", "five six", "a", "b &am"]

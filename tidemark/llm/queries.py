@@ -55,7 +55,7 @@ def op5_grammar_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op7_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write(table(spark, folder, "pages"), path)
-    return (warc.read(spark, path).where("kind = 'record'")
+    return (warc.read(spark, path, payloads=False).where("kind = 'record'")
             .select(F.col("record_id").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                     F.col("refers_to").try_cast("long").alias("refers_to")))
 

@@ -19,8 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import discard, stored
+
 RECORDS_PER_FILE = 2_000
 GZIP_LEVEL = 2
+#: Payloads that repeat are broadcast up to this number and joined by shuffle beyond.
+BROADCAST_PAYLOADS = 200_000
+#: A member is inflated from pieces of so many bytes: what follows its end in a piece is copied.
+PIECE_BYTES = 8_192
 GZIP_MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = gzip.compress(b"", 9, mtime=0)
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -38,57 +44,81 @@ def _line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value)
 
 
-def record(record_id: str, uri: str, payload: bytes, payload_digest: str, refers_to: str | None) -> bytes:
-    """One response or, with ``refers_to``, revisit record; a revisit holds no payload but its digest and length."""
+def record(record_id: str, uri: str, payload: bytes, payload_digest: str, refers_to: str | None, payload_bytes: int | None = None) -> bytes:
+    """One response or, with ``refers_to``, revisit record; a revisit holds no payload but its digest and length.
+
+    With ``payload_bytes`` given, the payload of a revisit need not be.
+    """
+    size = len(payload) if payload_bytes is None else payload_bytes
     revisit = refers_to is not None
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (b"" if revisit else payload)
     head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{record_id}>"),
             ("WARC-Date", FIXED_DATE), ("WARC-Target-URI", _line(uri)),
             *([("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
               if revisit else []),
-            ("WARC-Payload-Digest", f"sha1:{payload_digest}"), ("X-Payload-Length", str(len(payload))),
+            ("WARC-Payload-Digest", f"sha1:{payload_digest}"), ("X-Payload-Length", str(size)),
             ("WARC-Block-Digest", f"sha1:{digest(block)}"),
             ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     lines = "".join(f"{k}: {v}\r\n" for k, v in head)
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def resolved(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, payload_sha1, refers_to): which pages repeat the payload of another.
-
-    Of the pages with one payload of at least ``least_bytes`` bytes, the largest ``page_id`` stands for itself and the others refer
-    to it; smaller payloads always stand for themselves.  NULL html is empty.  A NULL ``page_id`` is below every other; repeated
-    rows of the largest id all stand for themselves.  The ids of a payload are reduced to one before they are shuffled; payloads that occur
-    once are never joined to anything.
-    """
+def hashed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload, payload_sha1); NULL html and urls are empty."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("payload_sha1", F.sha1("payload"))
-    groups = (rows.where(F.octet_length("payload") >= least_bytes).groupBy("payload_sha1")
-              .agg(F.max("page_id").alias("_largest"), F.count(F.lit(1)).alias("_n"))
-              .where((F.col("_n") > 1) & F.col("_largest").isNotNull()).drop("_n"))
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("_largest")), F.col("_largest"))
-    return rows.join(groups, "payload_sha1", "left").withColumn("refers_to", refers).drop("_largest")
+    return rows.withColumn("payload_sha1", F.sha1("payload"))
+
+
+def repeated(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(payload_sha1, largest): the payloads of at least ``least_bytes`` bytes that occur more than once, with their largest ``page_id``.
+
+    A payload without any ``page_id`` is left out.  The ids of a payload are reduced to one before they are shuffled.
+    """
+    return (rows.where(F.octet_length("payload") >= least_bytes).groupBy("payload_sha1")
+            .agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("_n"))
+            .where((F.col("_n") > 1) & F.col("largest").isNotNull()).drop("_n"))
+
+
+def resolved(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(page_id, url, payload, payload_bytes, payload_sha1, refers_to): which rows repeat the payload of another.
+
+    Of the pages of a group of ``repeated`` payloads, the largest ``page_id`` stands for itself and the others refer to it, without
+    their payload; all other pages stand for themselves.  A NULL ``page_id`` is below every other; repeated rows of the largest
+    id all stand for themselves.  Rows stay where they are read as long as the groups can be broadcast.
+    """
+    if groups.count() <= BROADCAST_PAYLOADS:
+        groups = F.broadcast(groups)
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest"))
+    return (rows.join(groups, "payload_sha1", "left").withColumn("refers_to", refers)
+            .select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"),
+                    F.octet_length("payload").alias("payload_bytes"), "payload_sha1", "refers_to"))
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Archives of (``page_id``, ``url``, ``html``) below ``path``; an empty table writes no record; further columns are ignored."""
+    """Archives of (``page_id``, ``url``, ``html``) below ``path``; an empty table writes no record; further columns are ignored.
+
+    Of equal payloads of at least ``least_bytes`` bytes that of the largest id is stored; smaller ones always stand for themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page, url, payload, sha1, refers in zip(*(batch.column(i) for i in range(5))):
+            for page, url, payload, size, sha1, refers in zip(*(batch.column(i) for i in range(6))):
                 ref = refers.as_py()
                 name = "" if page.as_py() is None else str(page.as_py())
-                raw = record(name, url.as_py(), payload.as_py(), base64.b32encode(bytes.fromhex(sha1.as_py())).decode(),
-                             None if ref is None else str(ref))
+                raw = record(name, url.as_py(), payload.as_py() or b"", base64.b32encode(bytes.fromhex(sha1.as_py())).decode(),
+                             None if ref is None else str(ref), size.as_py())
                 out.append(gzip.compress(raw, GZIP_LEVEL, mtime=0))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
-    members = resolved(pages, least_bytes).select("page_id", "url", "payload", "payload_sha1", "refers_to").mapInArrow(run, "member binary")
+    rows = hashed(pages)
+    groups = stored(repeated(rows, least_bytes), "repeated-payloads")
+    members = resolved(rows, groups).mapInArrow(run, "member binary")
     (members.select(F.col("member").cast("string").alias("value")).write.mode("errorifexists")
      .option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
      .option("maxRecordsPerFile", records_per_file).text(path))
+    discard(groups)
 
 
 class Damaged(Exception):
@@ -99,14 +129,16 @@ def _member(data: bytes, at: int) -> tuple[bytes, int, str | None, bool]:
     """What the member at ``at`` holds, its end, and None; or what was inflated before it failed, ``at``, the reason, and whether
     these bytes are as they were written (the member is only cut off).
     """
-    unzip = zlib.decompressobj(31)
+    unzip, out = zlib.decompressobj(31), []
     try:
-        raw = unzip.decompress(data[at:] if at == 0 else memoryview(data)[at:])
+        for start in range(at, len(data), PIECE_BYTES):
+            piece = data[start:start + PIECE_BYTES]
+            out.append(unzip.decompress(piece))
+            if unzip.eof:
+                return b"".join(out), start + len(piece) - len(unzip.unused_data), None, True
     except zlib.error as error:
         return _before_failure(data, at), at, f"gzip member: {error}", False
-    if not unzip.eof:
-        return raw + unzip.flush(), at, "gzip member is cut off", True
-    return raw, len(data) - len(unzip.unused_data), None, True
+    return b"".join(out) + unzip.flush(), at, "gzip member is cut off", True
 
 
 def _before_failure(data: bytes, at: int, step: int = 4096) -> bytes:
@@ -239,11 +271,15 @@ def _page(urn: str | None) -> str | None:
     return urn[len("<urn:page:"):-1] if urn and urn.startswith("<urn:page:") else urn
 
 
-def read(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
-    """Rows of kind ``record`` and ``gap`` of all archives below ``path``; a task holds one archive at a time."""
+def read(spark: SparkSession, path: str, verify: bool = True, payloads: bool = True) -> DataFrame:
+    """Rows of kind ``record`` and ``gap`` of all archives below ``path``; a task holds one archive at a time.
+
+    Without ``payloads`` that column stays in the tasks, which read and verify it all the same.
+    """
+    fields = READ_SCHEMA.split(", ") if payloads else READ_SCHEMA.split(", ")[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in READ_SCHEMA.split(", ")]
+        names = [f.split()[0] for f in fields]
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()]
         for batch in batches:
             for where, content in zip(batch.column(0), batch.column(1)):
@@ -255,12 +291,12 @@ def read(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
                     rows.append((got["kind"], where.as_py(), got["start"], got["end"], got.get("reason"), _page(head.get("warc-record-id")),
                                  head.get("warc-type"), head.get("warc-target-uri"), _page(head.get("warc-refers-to")),
                                  head.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                                 int(size) if size and size.isdigit() else None if payload is None else len(payload), payload))
-                    held += len(payload or b"")
+                                 int(size) if size and size.isdigit() else None if payload is None else len(payload), *[payload] * payloads))
+                    held += len(payload or b"") * payloads
                     if held > 8_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                         rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, READ_SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ", ".join(fields))
